@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules
+from . import near_dups, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": rules.op3_quality_rules,
+    "op7_near_duplicates": near_dups.op7_near_duplicates,
 }
 
 #: DuckDB SQL by query; what trained models, hashes or files decide has none and is tested by brute force.
