@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dups, rules
+from . import near_dups, pii, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": rules.op3_quality_rules,
+    "op6_personal_data": pii.op6_personal_data,
     "op7_near_duplicates": near_dups.op7_near_duplicates,
 }
 
