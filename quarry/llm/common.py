@@ -38,13 +38,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with fn called on slices of TEXT_ROWS rows."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = TEXT_ROWS) -> DataFrame:
+    """mapInArrow with fn called on slices of so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXT_ROWS):
-                yield fn(batch.slice(at, TEXT_ROWS))
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

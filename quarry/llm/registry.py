@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dups, pii, rules
+from . import mixing, near_dups, packing, pii, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": rules.op3_quality_rules,
     "op6_personal_data": pii.op6_personal_data,
     "op7_near_duplicates": near_dups.op7_near_duplicates,
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 #: DuckDB SQL by query; what trained models, hashes or files decide has none and is tested by brute force.
