@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dups, packing, pii, rules
+from . import imatch, mixing, near_dups, packing, pii, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": rules.op3_quality_rules,
+    "op5_shard_lookup": sharding.op5_shard_lookup,
     "op6_personal_data": pii.op6_personal_data,
     "op7_near_duplicates": near_dups.op7_near_duplicates,
+    "op8_document_fingerprints": imatch.op8_document_fingerprints,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
