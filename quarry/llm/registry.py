@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, mixing, near_dups, packing, pii, rules, sharding
+from . import imatch, mixing, near_dups, packing, pii, rans, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": rules.op3_quality_rules,
+    "op4_rans_files": rans.op4_rans_files,
     "op5_shard_lookup": sharding.op5_shard_lookup,
     "op6_personal_data": pii.op6_personal_data,
     "op7_near_duplicates": near_dups.op7_near_duplicates,
