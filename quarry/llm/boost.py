@@ -75,18 +75,30 @@ class Boosted:
         return out
 
 
-def platt(score: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic fit of y on score, lightly held to slope 1."""
-    a, b = 1.0, 0.0
+def held_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, rounds: int = 60) -> np.ndarray:
+    """Weights of a logistic fit held to a prior, by Newton's steps that are halved until they help."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + strength * ((w - prior) ** 2).sum() / 2)
+
+    w, now = prior.astype(float), loss(prior.astype(float))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(a * score + b)))
-        w = p * (1 - p)
-        g = np.array([((p - y) * score).sum() + (a - 1), (p - y).sum() + 0.01 * b])
-        h = np.array([[(w * score * score).sum() + 1, (w * score).sum()], [(w * score).sum(), w.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        g = x.T @ (p - y) + strength * (w - prior)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w)), g)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w, before, now = w - size * step, now, loss(w - size * step)
+        if before - now < 1e-9:
             break
+    return w
+
+
+def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic fit of y on score, lightly held to slope 1 and offset 0."""
+    a, b = held_logistic(np.stack([score, np.ones(len(score))], axis=1), y, np.array([1.0, 0.0]))
     return float(a), float(b)
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, tidy, word_count
+from .common import WORD, documents, materialize, tidy, word_count
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -129,5 +129,42 @@ def mix(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the words that the mix takes, as rows with the columns of docs.
+
+    Blocks of one document that a pass takes side by side are one row again, so
+    a document whose blocks are all taken comes whole, once for each pass; the
+    text is the taken words with single spaces, n_chars is its length, and
+    other columns are the document's.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    flat = docs.toDF(*names)
+    at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "source")}
+    basic = flat.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source"))
+    placed, _, drawn = plan(sized(basic))
+    part = pieces(placed).select("sid", "block", "first", "start", "length").join(drawn.select("sid", "block", "pass"), ["sid", "block"])
+    # Neighbouring pieces of a document in a pass: their start less the words before them in the pass is alike.
+    inside = Window.partitionBy("sid", "first", "pass").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("group", F.col("start") - F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    spans = part.groupBy("sid", "first", "pass", "group").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+    spans = spans.groupBy("sid", "first").agg(F.sort_array(F.collect_list(F.struct("pass", "start", "length"))).alias("spans"))
+    keys = placed.where("size > 0").select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "sid", "first")
+    wanted = keys.join(spans, ["sid", "first"])
+    # Rows alike in doc_id, text and source are matched one to one by their number.
+    alike = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(*c))
+    wanted = wanted.withColumn("nth", alike("d", "m"))
+    marked = flat.withColumn("d", F.col(at["doc_id"]).cast("long")).withColumn("m", F.xxhash64(tidy(F.col(at["text"])), tidy(F.col(at["source"]))))
+    marked = marked.withColumn("nth", alike("d", "m"))
+    right = wanted.select(F.col("d").alias("d2"), F.col("m").alias("m2"), F.col("nth").alias("n2"), "spans")
+    taken = marked.join(right, F.col("d").eqNullSafe(F.col("d2")) & (F.col("m") == F.col("m2")) & (F.col("nth") == F.col("n2")))
+    words = F.regexp_extract_all(F.col(at["text"]), F.lit(WORD), F.lit(0))
+    texts = F.transform("spans", lambda s: F.array_join(F.slice(F.col("words"), (s["start"] + 1).cast("int"), s["length"].cast("int")), " "))
+    out = taken.withColumn("words", words).withColumn(at["text"], F.explode(texts))
+    if "n_chars" in docs.columns:
+        n = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n, F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names).toDF(*docs.columns)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, mixing, near_dups, packing, pii, rans, repeats, rules, sharding
+from . import cotrain, imatch, mixing, near_dups, packing, pii, rans, repeats, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": cotrain.op1_quality_classifier,
     "op2_repeated_strings": repeats.op2_repeated_strings,
     "op3_quality_rules": rules.op3_quality_rules,
     "op4_rans_files": rans.op4_rans_files,
