@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import rules
+from quarry.llm import mixing, near_dups, packing, pii, rules
 from quarry.llm.common import documents, materialize
 
 STAGES = [
     ("quality rules", rules.keep_good),
+    ("near-duplicates", near_dups.one_of_each),
+    ("personal data", pii.redact),
+    ("mixing", mixing.mixed_documents),
+    ("packing", packing.pack_documents),
 ]
 
 #: Learned rules, hashes and models decide; SQL cannot express them.  tests/llm holds run() against brute force.
