@@ -23,7 +23,7 @@ def stale(found: DataFrame, indexed: DataFrame, *, key: str, changed: str, done:
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """base with the rows of changes in place of those with their keys."""
-    return base.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)
+    return base.join(changes.select(*keys).distinct(), keys, "left_anti").select(*base.columns).unionByName(changes)
 
 
 def replace_by(base: DataFrame, changes: DataFrame, group: str) -> DataFrame:
@@ -33,7 +33,7 @@ def replace_by(base: DataFrame, changes: DataFrame, group: str) -> DataFrame:
 
 def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame, key: str = "video_id") -> dict[str, DataFrame]:
     gone = ids.select(key).distinct()
-    return {name: df.join(gone, key, "left_anti") for name, df in tables.items()}
+    return {name: df.join(gone, key, "left_anti").select(*df.columns) for name, df in tables.items()}
 
 
 def purge_other_models(df: DataFrame, current: str) -> tuple[DataFrame, DataFrame]:

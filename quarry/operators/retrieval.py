@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
@@ -78,7 +79,7 @@ def sparse_top_k(df: DataFrame, query: str, k: int = POOL, *, id: str = "chunk_i
     words = [w for w in _words(query)]
     spark = df.sparkSession
     if not words:
-        return spark.createDataFrame([], df.select(id).schema.add("score", "double").add("rank", "int"))
+        return spark.createDataFrame([], StructType([df.schema[id], StructField("score", DoubleType()), StructField("rank", IntegerType())]))
     distinct = sorted(set(words))
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.UNICODE_WORD), F.lit(1))
     counts = [F.size(F.filter("tokens", _equals(w))).alias(f"_{i}") for i, w in enumerate(distinct)]
