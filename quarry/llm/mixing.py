@@ -34,7 +34,7 @@ SEED = 20_240_229
 ROUNDS = 14
 CHUNK = 16_384
 #: Documents in a bucket, about: the unit of one window's work.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def _swap(x: Column, r: Column, n: Column, key: Column) -> Column:
@@ -96,7 +96,9 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed = placed.join(sources.select(F.col("source").alias("q"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("q")))
     placed = placed.select("doc_id", "source", "size", "mark", "sid", "source_size", "target", (F.col("base") + F.col("before")).alias("first"))
     chunks = sources.where("draws > 0").select("sid", "blocks", "low", "draws", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(draws - 1) div {CHUNK}"))).alias("chunk"))
-    drawn = chunks.repartition("sid", "chunk").withColumn("draw", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least("draws", (F.col("chunk") + 1) * CHUNK) - 1)))
+    # A few rows grow to all draws: the number of tasks is fixed, or adaptive planning would leave one.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = chunks.repartition(parts, "sid", "chunk").withColumn("draw", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least("draws", (F.col("chunk") + 1) * CHUNK) - 1)))
     drawn = drawn.withColumn("pass", F.expr("draw div blocks"))
     drawn = drawn.withColumn("block", permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(SEED), "sid", "pass")))
     drawn = drawn.withColumn("slot", permuted(F.col("low") + F.col("draw"), F.lit(max(1, slots)).cast("long"), F.lit(SEED), back=True))
@@ -122,7 +124,8 @@ def mix(docs: DataFrame) -> DataFrame:
     placed, _, drawn = plan(sized(docs))
     times = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"))
     part = pieces(placed).select("sid", "block", "first", "length")
-    got = part.join(times, ["sid", "block"]).groupBy("sid", "first").agg(F.sum(F.col("length") * F.col("times")).alias("got"))
+    # Planned from the size of sources, draws look small enough to broadcast; they are not.
+    got = part.join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "first").agg(F.sum(F.col("length") * F.col("times")).alias("got"))
     # Rows without words share their place with a neighbour's: they take nothing.
     got = got.select(F.col("sid").alias("g"), F.col("first").alias("f"), "got")
     out = placed.join(got, (F.col("sid") == F.col("g")) & (F.col("first") == F.col("f")) & (F.col("size") > 0), "left")
@@ -142,7 +145,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "source")}
     basic = flat.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source"))
     placed, _, drawn = plan(sized(basic))
-    part = pieces(placed).select("sid", "block", "first", "start", "length").join(drawn.select("sid", "block", "pass"), ["sid", "block"])
+    part = pieces(placed).select("sid", "block", "first", "start", "length").join(drawn.select("sid", "block", "pass").hint("merge"), ["sid", "block"])
     # Neighbouring pieces of a document in a pass: their start less the words before them in the pass is alike.
     inside = Window.partitionBy("sid", "first", "pass").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("group", F.col("start") - F.coalesce(F.sum("length").over(inside), F.lit(0)))
