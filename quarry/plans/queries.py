@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import asof, maintain, retrieval, select, windows
+from ..operators import asof, chunking, maintain, retrieval, select, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -464,3 +464,15 @@ def stream_select(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def json_fields(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+# --- chunking ----------------------------------------------------------------------
+
+
+@query()
+def chunk_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as transcripts, a turn every ten seconds; a fold in time, which SQL does not express."""
+    rows = read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("video_id"), F.lit("body").alias("kind"), F.col("turn").alias("seq"), (F.col("turn") * 10_000).alias("start_ms"), "text")
+    rows = windows.segment_ends(rows, ["video_id", "kind"], "seq")
+    videos = rows.select("video_id").distinct().select("video_id", F.lit("t").alias("title"), F.lit("c").alias("channel"), F.lit("youtube").alias("platform"), F.array(F.lit("x")).alias("tags"))
+    return chunking.chunk_segments(rows, videos).select("video_id", "chunk_index", "chunk_start_ms", "chunk_end_ms", F.length("chunk_text").alias("n_chars"))

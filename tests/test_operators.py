@@ -170,3 +170,24 @@ def test_identifiers(spark):
     df = spark.createDataFrame([(0, "yt:abc", "abc", "https://y/abc"), (1, "yt:abcd", "abcd", "https://y/abcd")], "position int, video_id string, raw_id string, url string")
     find = lambda x: [r["raw_id"] for r in select.resolve_identifier(df, x).collect()]
     assert find("https://y/abcd") == ["abcd"] and find("yt:abc") == ["abc"] and find("see /abc?x") == ["abc"] and find("zzz") == []
+
+
+def test_library(spark):
+    from quarry.plans.api import HashingEmbedder, Library, embed_column, truncated
+
+    e = HashingEmbedder(64)
+    videos = spark.createDataFrame([("yt:a", "Bread", "Baker", "youtube", "u1", 60000, 10), ("tt:b", "Cars", "Racer", "tiktok", "u2", 20000, 20)], "video_id string, title string, channel string, platform string, url string, duration_ms bigint, date_saved bigint")
+    rows = [(1, "yt:a", "youtube", "header", 0, None, None, "Title: Bread baking"), (2, "yt:a", "youtube", "body", 0, 0, 40000, "knead the dough and bake bread"), (3, "tt:b", "tiktok", "header", 0, None, None, "Title: Cars racing bread"), (4, "tt:b", "tiktok", "body", 0, 0, 9000, "fast cars on a track")]
+    chunks = embed_column(spark.createDataFrame(rows, "chunk_id bigint, video_id string, platform string, chunk_type string, chunk_index int, chunk_start_ms bigint, chunk_end_ms bigint, chunk_text string"), "chunk_text", e)
+    frames = embed_column(spark.createDataFrame([(1, "yt:a", "youtube", 10000, "p1"), (2, "yt:a", "youtube", 30000, "p2"), (3, "tt:b", "tiktok", 5000, "p3")], "frame_id bigint, video_id string, platform string, frame_ms bigint, frame_path string"), "frame_path", e)
+    lib = Library(videos, chunks, frames, e)
+    got = lib.search("bread").collect()
+    assert got[0]["video_id"] == "yt:a" and {r["chunk_id"]: r["frame_ids"] for r in got}[2] == [1, 2]
+    assert {r["video_id"] for r in lib.search("bread", platform="tiktok").collect()} == {"tt:b"}
+    assert {r["video_id"] for r in lib.search("bread", since_iso="1970-01-01T00:00:00.015Z").collect()} == {"tt:b"}
+    assert lib.search_frames("p3", 1).first()["frame_id"] == 3
+    assert [r["video_id"] for r in lib.find_similar("yt:a").collect()] == ["tt:b"]
+    assert [r["frame_id"] for r in lib.view_frames("yt:a", [29000, 31000]).collect()] == [2] and lib.view_frames("yt:a").count() == 2
+    assert [r["video_id"] for r in lib.list_videos().collect()] == ["tt:b", "yt:a"] and lib.get_video("yt:a").first()["frames"] == [10000, 30000]
+    assert lib.get_transcript("yt:a").first()["chunk_text"].startswith("knead") and lib.stats().count() == 3
+    assert truncated(list(range(300)))[-2:] == [254, 299]
