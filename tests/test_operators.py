@@ -14,8 +14,8 @@ def vector(seed):
 
 @pytest.fixture(scope="module")
 def vault(spark):
-    videos = spark.createDataFrame([("yt:abc123", "youtube", "Best AI Avatar Tools 2025", 600000, 1), ("ig:DEF456", "instagram", "HeyGen Demo Reel", 60000, 2), ("tt:789xyz", "tiktok", "Top AI Tools I Use", 29000, 3)], "video_id string, platform string, title string, duration_ms bigint, date_saved bigint")
-    rows = [(1, "yt:abc123", "youtube", "header", None, None, "Title / Channel", 1), (2, "yt:abc123", "youtube", "description", None, None, "walk-through of HeyGen, Synthesia", 2), (3, "yt:abc123", "youtube", "body", 420000, 480000, "best tool I use daily is HeyGen", 3), (4, "yt:abc123", "youtube", "body", 480000, 540000, "Synthesia is another great option", 4), (5, "ig:DEF456", "instagram", "header", None, None, "header", 5), (6, "ig:DEF456", "instagram", "body", 0, 30000, "Create AI influencers", 6), (7, "tt:789xyz", "tiktok", "header", None, None, "header", 7), (8, "tt:789xyz", "tiktok", "body", 0, 29000, "top AI tools I use", 8)]
+    videos = spark.createDataFrame([("yt:abc123", "youtube", "Ten tools of a year", 600000, 1), ("ig:DEF456", "instagram", "Alpha demo", 60000, 2), ("tt:789xyz", "tiktok", "Tools I use", 29000, 3)], "video_id string, platform string, title string, duration_ms bigint, date_saved bigint")
+    rows = [(1, "yt:abc123", "youtube", "header", None, None, "Title / Channel", 1), (2, "yt:abc123", "youtube", "description", None, None, "a look at Alpha, Omega", 2), (3, "yt:abc123", "youtube", "body", 420000, 480000, "what I use every day is Alpha", 3), (4, "yt:abc123", "youtube", "body", 480000, 540000, "Omega would do as well", 4), (5, "ig:DEF456", "instagram", "header", None, None, "header", 5), (6, "ig:DEF456", "instagram", "body", 0, 30000, "make ai people", 6), (7, "tt:789xyz", "tiktok", "header", None, None, "header", 7), (8, "tt:789xyz", "tiktok", "body", 0, 29000, "the ai tools I use", 8)]
     chunks = spark.createDataFrame([(*r[:7], MODEL, vector(r[7])) for r in rows], "chunk_id bigint, video_id string, platform string, chunk_type string, chunk_start_ms bigint, chunk_end_ms bigint, chunk_text string, model_version string, embedding array<float>")
     return videos, chunks.cache()
 
@@ -31,9 +31,9 @@ def test_dense_top_k(vault):
 
 def test_sparse_top_k(vault):
     _, chunks = vault
-    got = [r["chunk_id"] for r in retrieval.sparse_top_k(chunks, "HeyGen?", 50).collect()]
+    got = [r["chunk_id"] for r in retrieval.sparse_top_k(chunks, "Alpha?", 50).collect()]
     assert set(got) == {2, 3}
-    assert [r["chunk_id"] for r in retrieval.sparse_top_k(chunks, "heygen ai", 50, where=F.col("platform") == "instagram").collect()] == [6]
+    assert [r["chunk_id"] for r in retrieval.sparse_top_k(chunks, "alpha ai", 50, where=F.col("platform") == "instagram").collect()] == [6]
     assert retrieval.sparse_top_k(chunks, "---", 50).count() == 0
 
 
