@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of text a Python worker holds at a time (Arrow's own setting counts rows, not bytes).
 TEXT_ROWS = 256
+#: Bytes of text it holds at a time, unless one row has more.
+TEXT_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +40,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each text of a column; 0 for other kinds."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not len(column) or not wide and not pa.types.is_string(column.type) and not pa.types.is_binary(column.type):
+        return np.zeros(len(column), dtype=np.int64)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.diff(offsets).astype(np.int64)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = TEXT_ROWS) -> DataFrame:
-    """mapInArrow with fn called on slices of so many rows."""
+    """mapInArrow with fn called on slices of at most so many rows and about TEXT_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield fn(batch.slice(at, rows))
+            upto = np.cumsum(sum((_sizes(c) for c in batch.columns), np.zeros(batch.num_rows, dtype=np.int64)))
+            at = 0
+            while at < batch.num_rows:
+                room = TEXT_BYTES + (upto[at - 1] if at else 0)
+                end = max(at + 1, min(at + rows, int(np.searchsorted(upto, room, side="right"))))
+                yield fn(batch.slice(at, end - at))
+                at = end
 
     return df.mapInArrow(run, schema)
 
