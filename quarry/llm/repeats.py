@@ -203,7 +203,7 @@ def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     oh.append(h[a + m])
                     os.append(sig[a + m])
                     spans.append([s << 32 | e for s, e in _merged(found)])
-        return pd.DataFrame({"h": np.array(oh, dtype=np.int64), "sig": np.array(os, dtype=np.int64), "spans": spans})
+        return pd.DataFrame({"h": np.array(oh, dtype=np.int64), "sig": np.array(os, dtype=np.int64), "spans": pd.Series(spans, dtype=object)})
 
     for frame in batches:
         frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)

@@ -75,6 +75,16 @@ def test_left_extensions_part_groups():
     assert found == {(1, 2, (0, 1, 2)), (2, 2, (0, 1)), (1, 3, (0, 2))}
 
 
+def test_groups_that_cover_nothing():
+    """A batch of anchors whose surroundings all differ makes an empty frame that Arrow can read as lists."""
+    import pandas as pd
+    import pyarrow as pa
+
+    frame = pd.DataFrame({"h": [1, 1, 2], "sig": [1, 2, 3], "n": [1, 1, 1], "lead": [0, 0, 0], "seg": [b"a" * 200, b"b" * 200, b"c" * 200]})
+    out = pd.concat(list(repeats._covered(iter([frame]))))
+    assert len(out) == 0 and pa.Array.from_pandas(out["spans"], type=pa.list_(pa.int64())).type == pa.list_(pa.int64())
+
+
 def test_anchors_are_leftmost_least():
     h = np.random.default_rng(0).integers(0, 6, 500).astype(np.uint64) << np.uint64(8)
     at = repeats.anchors(h, 9)
