@@ -115,12 +115,16 @@ def fingerprints(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     rows = rows.withColumn("row", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.col("text")))
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut)))
-    rows = rows.select("part", "row", "doc_id", "own", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("v"))
-    # The row's own facts ride with an empty term, so a text without terms stays.
-    exploded = rows.select("part", "row", "doc_id", "own", "n_chars", "edited_sha256", "v.kind", F.explode(F.concat(F.array(F.lit("")), terms(F.col("v.t")))).alias("term"))
+    facts = F.struct("doc_id", "own", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")).alias("facts")
+    rows = rows.select("part", "row", facts, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("v"))
+    # The text is left behind before its terms become rows; its facts ride with an empty term, so a text without terms stays.
+    rows = rows.select("part", "row", "facts", F.col("v.kind").alias("kind"), terms(F.col("v.t")).alias("terms"))
+    none = F.lit(None).cast(rows.schema["facts"].dataType)
+    entries = F.concat(F.array(F.struct(F.lit("").alias("term"), F.col("facts"))), F.transform("terms", lambda t: F.struct(t.alias("term"), none.alias("facts"))))
+    exploded = rows.select("part", "row", "kind", F.explode(entries).alias("e")).select("part", "row", "kind", "e.term", "e.facts")
     found = exploded.join(lex, "term", "left").where((F.col("term") == "") | F.col("kept").isNotNull())
     entry = F.when(F.col("kept").isNotNull(), F.struct("term", "kept"))
-    facts = F.max(F.when(F.col("term") == "", F.struct("doc_id", "own", "n_chars", "edited_sha256"))).alias("facts")
+    facts = F.max("facts").alias("facts")
     lists = found.groupBy("part", "row", "kind").agg(F.array_sort(F.collect_list(entry)).alias("found"), facts)
     hashed = lists.select("part", "row", "kind", "facts", _hashes(F.col("found")).alias("h"))
     whole = hashed.groupBy("part", "row").agg(F.max("facts").alias("facts"), F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("h"), F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("e"))
