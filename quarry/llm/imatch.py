@@ -115,8 +115,8 @@ def fingerprints(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     rows = rows.withColumn("row", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.col("text")))
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut)))
-    facts = F.struct("doc_id", "own", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")).alias("facts")
-    rows = rows.select("part", "row", facts, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("v"))
+    rows = rows.withColumn("facts", F.struct("doc_id", "own", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")))
+    rows = rows.select("part", "row", "facts", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("v"))
     # The text is left behind before its terms become rows; its facts ride with an empty term, so a text without terms stays.
     rows = rows.select("part", "row", "facts", F.col("v.kind").alias("kind"), terms(F.col("v.t")).alias("terms"))
     none = F.lit(None).cast(rows.schema["facts"].dataType)
