@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, tidy
+from .common import documents, materialize, tidy
 
 #: The band: terms in at least one of 5,000 and at most one of 4 documents.
 LEAST_SHARE, MOST_SHARE = 1 / 5000, 1 / 4
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tidy(F.col("text")).alias("text"))
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lex = lexicon(docs)
+    lex = materialize(lexicon(docs), "lexicon")
     if lex.count() <= BROADCAST_TERMS:
         lex = F.broadcast(lex)
     rows = with_next(docs, _ranges(docs, parts)).repartition(parts, "part")
@@ -125,7 +125,7 @@ def fingerprints(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     found = exploded.join(lex, "term", "left").where((F.col("term") == "") | F.col("kept").isNotNull())
     entry = F.when(F.col("kept").isNotNull(), F.struct("term", "kept"))
     facts = F.max("facts").alias("facts")
-    lists = found.groupBy("part", "row", "kind").agg(F.array_sort(F.collect_list(entry)).alias("found"), facts)
+    lists = found.groupBy("part", "row", "kind").agg(F.sort_array(F.collect_list(entry)).alias("found"), facts)
     hashed = lists.select("part", "row", "kind", "facts", _hashes(F.col("found")).alias("h"))
     whole = hashed.groupBy("part", "row").agg(F.max("facts").alias("facts"), F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("h"), F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("e"))
     order = Window.partitionBy("part").orderBy("row")
