@@ -8,13 +8,16 @@ stays.  Two texts agree on a coordinate with the probability of their weighted
 Jaccard similarity, and a text costs its number of shingles plus about
 ``DARTS`` darts, not shingles times coordinates.
 
-Bands of coordinates are joined on equal keys.  A bucket is never paired with
-itself: in each round its members are compared with a few partners among them,
-and rounds go on, with other partners and twice as many, in the buckets that
-still hold several classes of which the last round joined some.  A similar pair
-shares thirteen buckets at 0.8, most of them few texts' own, so it is met even
-where a common passage makes a large bucket that never joins.  Every link is verified exactly on the whole texts.
-Classes are connected components.
+Bands of coordinates are joined on equal keys.  First a few rounds compare a
+bucket's members with one partner among them, another one in each bucket and
+round, which joins most copies in work that follows the rows.  Then every
+bucket that still holds texts of several classes which have not met is finished
+exactly: its members are dealt into blocks, a task compares the texts of two
+blocks with one another and returns no more links than join their classes.  So
+each pair that shares a bucket is compared or already in one class; what stays
+within the largest class of a bucket is not compared again, and buckets of the
+same texts are finished once.  Every link is verified exactly on the whole
+texts.  Classes are connected components.
 
 Defined results: equal texts are one class, the empty text (and null) among
 them; a text of fewer than five words is one shingle of all its words; a text
@@ -43,6 +46,10 @@ COORDINATES = BANDS * BAND_ROWS
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
 #: Pairs with one partner that one task verifies.
 PARTNER_SHARE = 512
+#: Rounds with a partner for each bucket, before what is left is finished exactly.
+PARTNER_ROUNDS = 2
+#: Texts and bytes of a block, about, and elements whose overlaps are counted at a time.
+BLOCK_ROWS, BLOCK_BYTES, ELEMENTS = 256, 4 << 20, 4_096
 
 _POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -191,6 +198,69 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return similarities(both).where(F.col("similarity") >= SIMILARITY).select("u", "v")
 
 
+def _links(table: pa.Table) -> pa.Table:
+    """(u, v), a forest of the classes that similar texts join, for rows (class, block, text) of one block or two."""
+    key, row, rows = Shingles().of(table["text"])
+    key, row, count = weighted(key, row)
+    size = np.bincount(row, weights=count, minlength=rows)
+    # The nth time of a shingle is an element of its own: a weighted set is a set.
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    element, row = mix(np.repeat(key, count) + nth.astype(np.uint64) * _A), np.repeat(row, count)
+    _, name, often = np.unique(element, return_inverse=True, return_counts=True)
+    shared = often > 1
+    column = (np.cumsum(shared) - 1)[name][shared[name]]
+    row = row[shared[name]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    block = table["block"].to_numpy()
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    both = np.zeros((len(left), len(right)), dtype=np.float64)
+    for low in range(0, int(shared.sum()), ELEMENTS):
+        at = slice(*np.searchsorted(column, [low, low + ELEMENTS]))
+        has = np.zeros((rows, min(ELEMENTS, int(shared.sum()) - low)), dtype=np.float32)
+        has[row[at], column[at] - low] = 1
+        both += has[left] @ has[right].T
+    value = both / np.maximum(size[left][:, None] + size[right] - both, 1)
+    names = sorted({bytes(c) for c in table["class"].to_pylist()})
+    code = np.searchsorted(np.array([c.hex() for c in names]), [bytes(c).hex() for c in table["class"].to_pylist()])
+    i, j = np.nonzero(value >= SIMILARITY)
+    up = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for a, b in np.unique(np.stack([code[left[i]], code[right[j]]]), axis=1).T.tolist():
+        x, y = top(a), top(b)
+        if x != y:
+            up[x] = y
+            out.append((names[a], names[b]))
+    return pa.table({"u": pa.array([o[0] for o in out], pa.binary()), "v": pa.array([o[1] for o in out], pa.binary())})
+
+
+def _finished(now: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) of all similar texts of different classes that share a bucket, for rows (key, node, class)."""
+    rows = now.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g"))
+    rows = rows.join(same.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    parts = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES)).cast("int")
+    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "class", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > top.n")
+    buckets = buckets.select("key", F.col("top.class").alias("major"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("minors"), blocks(F.col("top.n"), F.col("top.bytes")).alias("majors"))
+    # Blocks of the largest class meet those of the others only.
+    rows = rows.join(buckets, "key").withColumn("in_major", F.col("class") == F.col("major"))
+    own = F.xxhash64("key", "node")
+    rows = rows.withColumn("block", F.when(F.col("in_major"), F.col("minors") + F.pmod(own, "majors")).otherwise(F.pmod(own, "minors")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("in_major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
+    met = rows.select("key", "node", "class", "block", F.explode(others).alias("other")).select("key", "node", "class", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    met = met.join(texts, "node").select("key", "low", "high", "class", "block", "text")
+    return met.groupBy("key", "low", "high").applyInArrow(_links, "u binary, v binary").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(node, root) of every text that is similar to another, for docs (node, text) with copies."""
     keys = band_keys(docs).groupBy("node").agg(F.first("keys").alias("keys"))
@@ -203,32 +273,30 @@ def classes(docs: DataFrame) -> DataFrame:
     now = rows.withColumn("class", F.col("node"))
     found = wanted.withColumn("class", F.col("node"))
     tried: DataFrame | None = None
-    turn = 0
-    while True:
-        # Partners for each bucket, other ones and twice as many each round: of each slot, whoever comes first in the round's order.
-        order, one = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node")), F.struct("node", "class")
-        slot = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(2 << turn)).alias("slot")
-        slots = now.groupBy("key", slot).agg(F.min_by(one, order).alias("lead"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("n"))
-        mixed = slots.groupBy("key").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("n").alias("n"), F.count("*").alias("leads")).where("c0 < c1").select("key", "n", "leads")
-        met = now.join(slots.select("key", "lead").join(mixed.select("key"), "key"), "key").where("class != lead.class")
-        low, high = F.least("lead", one), F.greatest("lead", one)
-        pairs = met.select(low.alias("p"), high.alias("q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.class").alias("ca"), F.col("q.class").alias("cb")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        fresh = materialize(_verified(pairs, texts), "links")
-        if fresh.isEmpty():
-            break
-        tried = pairs.select("a", "b") if tried is None else tried.unionAll(pairs.select("a", "b"))
+    for turn in range(PARTNER_ROUNDS + 1):
+        if turn == PARTNER_ROUNDS:
+            fresh = materialize(_finished(now, texts), "links")
+        else:
+            # The partner of a bucket: whoever comes first in the round's and the bucket's own order.
+            order, one = F.struct(F.xxhash64("key", "node", F.lit(turn)), F.col("node")), F.struct("node", "class")
+            mixed = now.groupBy("key").agg(F.min_by(one, order).alias("lead"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("key", "lead", "n")
+            met = now.join(mixed.select("key", "lead"), "key").where("class != lead.class")
+            low, high = F.least("lead", one), F.greatest("lead", one)
+            pairs = met.select(low.alias("p"), high.alias("q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.class").alias("ca"), F.col("q.class").alias("cb")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "pairs")
+            fresh = materialize(_verified(pairs, texts), "links")
+            tried = pairs.select("a", "b") if tried is None else tried.unionAll(pairs.select("a", "b"))
         moved = materialize(components(fresh.distinct()), "classes").withColumnRenamed("node", "class")
         relabel = lambda df: df.join(moved, "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")  # noqa: E731, B023
         found = materialize(relabel(found), "found")
-        # Where everyone was a partner, all have met; where no two classes became one, partners chosen at random say that none will.
-        open_ = now.join(mixed.where("n > leads").select("key"), "key", "left_semi").withColumnRenamed("class", "old")
-        open_ = materialize(open_.join(moved.withColumnRenamed("class", "old"), "old", "left").select("key", "node", "old", F.coalesce("root", "old").alias("class")), "buckets")
-        merged = open_.groupBy("key", "old").agg(F.min("class").alias("class")).groupBy("key").agg(F.count("*").alias("before"), F.countDistinct("class").alias("after"))
-        now = materialize(open_.join(merged.where("after < before and after > 1").select("key"), "key", "left_semi").select("key", "node", "class"), "buckets")
-        turn += 1
+        if turn < PARTNER_ROUNDS:
+            # Two have met; any other bucket stays open while it holds several classes.
+            open_ = relabel(now.join(mixed.where("n > 2").select("key"), "key", "left_semi")).select("key", "node", "class")
+            open_ = materialize(open_, "buckets")
+            several = open_.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
+            now = open_.join(several, "key", "left_semi")
     return found.select("node", F.col("class").alias("root"))
 
 

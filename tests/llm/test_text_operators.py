@@ -255,6 +255,46 @@ def test_a_chain_is_one_class(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def template_family(groups=4, large=250):
+    """Texts of one long template each, most with much text of their own; the two with little of it are the only similar ones."""
+    rows = []
+    for g in range(groups):
+        template = [f"t{g}.{k}" for k in range(104)]
+        for m in range(large + 2):
+            rows.append((1000 * g + m, " ".join(template + [f"o{g}.{m}.{k}" for k in range(10 if m >= large else 30)])))
+    return rows
+
+
+def test_similar_texts_in_a_crowded_bucket(spark):
+    rows = template_family()
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "class_id", "class_size").collect()
+    want = [x for g in range(4) for x in true_classes([r for r in rows if r[0] // 1000 == g])]
+    assert sum(n for _, _, n in want) == len(rows) + 2 * 4
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_finished_buckets_equal_brute_force(spark, monkeypatch, block):
+    """Without partners all is left to the blocks, also those of several blocks and of classes already joined."""
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", block)
+    rows = [(i, " ".join(["a b c d e f g h"] * (i % 3) + [f"w{i % 4}.{k // (1 + i % 5)}" for k in range(40)])) for i in range(40)]
+    bags = [shingles(t) for _, t in rows]
+    node = lambda i: bytes([i])
+    group = [0 if i < 15 else i for i in range(40)]
+    now = spark.createDataFrame([(k, bytearray(node(i)), bytearray(node(group[i]))) for k in (1, 2) for i in range(40) if k == 1 or i % 2], "key bigint, node binary, class binary")
+    texts = spark.createDataFrame([(bytearray(node(i)), t) for i, t in rows], "node binary, text string")
+    up = {g: {g} for g in group}
+    for i in range(40):
+        for j in range(i):
+            both = sum((bags[i] & bags[j]).values())
+            if both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= near_dups.SIMILARITY and up[group[i]] is not up[group[j]]:
+                one = up[group[i]] | up[group[j]]
+                up |= {g: one for g in one}
+    links = near_dups._finished(now, texts)
+    roots = {bytes(r["node"])[0]: bytes(r["root"])[0] for r in components(links).collect()}
+    assert len(roots) > 4 and {g: roots.get(g, g) for g in group} == {g: min(up[g]) for g in group}
+
+
 def test_one_of_each(spark, edge, empty):
     kept = near_dups.one_of_each(spark, edge, "").collect()
     assert sorted((r["doc_id"] for r in kept), key=lambda x: (x is None, x or 0)) == [1, 4, 6, 7, 8, 9, 10, 11, 12, 12, None] and len(kept[0]) == 9
