@@ -43,7 +43,8 @@ WIDE = (
     r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{2,6}){2,4})(?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z.])(?:\+|00)?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20./-]{0,2}[0-9]{3,4}[\x20./-]{0,2}[0-9]{3,4}(?![0-9A-Za-z])",
 )
-WIDE_GATE = (r"(?i)@|[(\[{\x20]dot[)\]}\x20]", "[0-9]", "[0-9]", "[0-9]")
+#: Part of what each generator must match: texts without it have no match.
+WIDE_GATE = (rf"(?i){AT}[a-z0-9-]++{DOT}[a-z0-9-]", "[0-9]", "[0-9]", "[0-9]")
 CUES = (r"(?i)mail|contact|write|reach", r"(?i)\bip\b|host|server|addr", r"(?i)card|visa|credit|payment|master|amex", r"(?i)phone|tel|call|fax|mobile|cell|dial")
 AGAINST = r"(?i)isbn|order|version|\bv\b|date|id\b|serial|invoice|item|total|part|#|\$|password|token|key"
 FEATURES = ("kind", "digits", "groups", "length", "separators", "luhn", "bytes_ok", "has_at", "letters", "glued_left", "glued_right", "cue", "against", "lead", "spelt", "bracket", "longest")
@@ -161,8 +162,8 @@ def examples(seed: int = 5, n: int = EXAMPLES) -> list[tuple[str, int, int, int,
         kind, good = i % 4, bool(rng.random() < 0.5)
         cue, wrong = "", ""
         if kind == 0:
-            at, dot = pick((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "))
-            span = f"{word()}{pick('', '.' + word(), digits(2))}{at}{word()}{dot}{pick('com', 'org', 'net', 'de', 'fr')}" if good else pick(f"{word()} at {word()} {word()}.{word()}", f"{word()} dot {word()}", f"{word()} at {word()}.{digits(1)}")
+            at, dot = pick((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), (" (at) ", "."), (" [at] ", "."))
+            span = f"{word()}{pick('', '.' + word(), digits(2))}{at}{word()}{dot}{pick('com', 'org', 'net', 'de', 'fr')}" if good else pick(f"{word()} at {word()} {word()}.{word()}", f"{word()} at {word()}.{pick('com', 'org', 'net')}", f"{word()} dot {word()}", f"{word()} at {word()}.{digits(1)}")
             cue = pick("mail ", "contact ", "write to ", "")
         elif kind == 1:
             byte = lambda: str(int(rng.integers(1, 256)))

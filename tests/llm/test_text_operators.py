@@ -188,6 +188,21 @@ def test_trees_find_more_and_leave_prose(spark, model):
     assert got[0] == "phone:12:26" and got[1] == "email:9:31" and got[2] == "card:6:22,card:23:39" and got[3:] == ["", ""]
 
 
+SPELT = ["mail jane.doe (at) example.com now", "write to jane[at]example.org", "jane {at} example.org", "jane at example.org", "a@b.c", "a (AT) b dot c", "a at b [dot] c", "meet at noon. then", "a dot b", "at a.b", "", "a@b", "x (at)y.z@w.v"]
+
+
+def test_gates_lose_no_candidates(spark):
+    df = spark.createDataFrame([(t,) for t in SPELT + [t for t, *_ in pii.examples(seed=9, n=400)]], "text string")
+    for pattern, gate in zip(pii.WIDE, pii.WIDE_GATE):
+        got = df.select("text", pii._matches(F.col("text"), pattern, gate).alias("a"), pii._matches(F.col("text"), pattern, "").alias("b")).collect()
+        assert [r["text"] for r in got if r["a"] != r["b"]] == []
+
+
+def test_a_spelt_at_with_a_plain_dot_is_found(spark, model):
+    got = [r["spans"] for r in pii.find_spans(spark.createDataFrame([(t,) for t in SPELT[:2]], "text string"), *model).select(pii._joined("spans").alias("spans")).collect()]
+    assert got == ["email:5:30", "email:9:28"]
+
+
 def test_model_on_unseen_examples(spark, model):
     trees, thresholds = model
     rows = pii.examples(seed=77, n=400)
