@@ -20,7 +20,7 @@ STAGES = [
     ("packing", packing.pack_documents),
 ]
 
-#: Learned rules, hashes and models decide; SQL cannot express them.  tests/llm holds run() against brute force.
+#: Learned rules, hashes and models decide; SQL cannot express them.  tests/llm holds single operators, not run(), against brute force.
 ORACLE_SQL = None
 
 
