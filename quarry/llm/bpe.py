@@ -18,8 +18,10 @@ import numpy as np
 import pandas as pd
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
-_MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Primes and bases of the two hashes of a byte range.
+_FIELDS = ((2_147_483_647, 1_299_709_931), (2_147_483_629, 886_513_027))
+#: Bytes of a buffer whose sums need no reduction term by term.
+_SHORT = 1 << 23
 #: Bytes of text that are worked on at a time, unless one text is longer.
 BATCH_BYTES = 2 << 20
 #: Distinct pre-tokens a worker remembers before it starts afresh.
@@ -60,22 +62,48 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     return out
 
 
+def _powers_mod(n: int, base: int, prime: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo a prime below 2**31."""
+    out = np.ones(n, dtype=np.uint64)
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        out[done : done + step] = out[:step] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+        done += step
+    return out.astype(np.uint32)
+
+
 class RangeHash:
-    """64-bit polynomial hashes of any byte ranges of a buffer, by prefix sums."""
+    """62-bit hashes of any byte ranges of a buffer, by prefix sums: two polynomials, each modulo a prime.
+
+    Modulo a power of two some strings (those of Thue and Morse) collide for
+    every base; modulo primes none do so by their structure.
+    """
 
     def __init__(self) -> None:
-        self._pow = powers(0, _MULT)
-        self._inv = powers(0, _INV)
+        self._room = 0
 
     def load(self, buf: np.ndarray) -> None:
         n = len(buf) + 1
-        if len(self._pow) < n:
-            self._pow, self._inv = powers(n + n // 4, _MULT), powers(n + n // 4, _INV)
-        self._sum = np.zeros(n, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self._pow[: n - 1], out=self._sum[1:])
+        if self._room < n:
+            self._room = n + n // 4
+            self._pow = [_powers_mod(self._room, base, prime) for prime, base in _FIELDS]
+            self._inv = [_powers_mod(self._room, pow(base, -1, prime), prime) for prime, base in _FIELDS]
+        self._sum = []
+        plus = buf.astype(np.uint64) + np.uint64(1)
+        for (prime, _), power in zip(_FIELDS, self._pow):
+            term = plus * power[: n - 1]
+            if n > _SHORT:
+                term %= np.uint64(prime)
+            total = np.zeros(n, dtype=np.uint64)
+            np.cumsum(term, out=total[1:])
+            self._sum.append(total)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self._sum[end] - self._sum[start]) * self._inv[start]
+        h = np.zeros(len(start), dtype=np.uint64)
+        for (prime, _), total, inverse in zip(_FIELDS, self._sum, self._inv):
+            m = np.uint64(prime)
+            h = (h << np.uint64(31)) | ((total[end] - total[start]) % m * inverse[start] % m)
         h ^= (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         return mix(h)
 
@@ -97,6 +125,29 @@ def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return values[index]
 
 
+def differs(a: np.ndarray, start: np.ndarray, end: np.ndarray, b: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a[start:end] is another string than b[other:other+length], range by range."""
+    own = end - start
+    bad = own != length
+    size = np.where(bad, 0, own)
+    wrong = np.flatnonzero(gather(a, start, size) != gather(b, other, size))
+    if len(wrong):
+        bad[np.searchsorted(np.cumsum(size), wrong, side="right")] = True
+    return bad
+
+
+def string_codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Small numbers for byte ranges, equal for equal bytes only: ranges of equal key are compared with the first of them."""
+    code, keys = pd.factorize(key)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1)) if len(code) else np.zeros(0, dtype=np.int64)
+    like = first[code]
+    bad = np.flatnonzero(differs(buf, start, end, buf, start[like], (end - start)[like]))
+    if len(bad):
+        names: dict[bytes, int] = {}
+        code[bad] = [names.setdefault(buf[a:b].tobytes(), len(keys) + len(names)) for a, b in zip(start[bad].tolist(), end[bad].tolist())]
+    return code
+
+
 def pretokens(buf: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of the GPT-2 pre-tokens of texts that lie end to end in buf; no text is empty."""
     n = len(buf)
@@ -152,10 +203,15 @@ class FastEncoder:
         self._start = np.zeros(1 << 16, dtype=np.int64)
         self._len = np.zeros(1 << 16, dtype=np.int64)
         self._used = 0
+        self._raw = np.zeros(1 << 20, dtype=np.uint8)  # the words themselves: a hash alone proves nothing
+        self._raw_start = np.zeros(1 << 16, dtype=np.int64)
+        self._raw_len = np.zeros(1 << 16, dtype=np.int64)
+        self._raw_used = 0
 
     def _learn(self, keys: list[int], raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
         """Ask the library's model for the ids of new pre-tokens, raw[start[i]:end[i]]."""
-        text = gather(np.frombuffer(raw, dtype=np.uint8), start, end - start).tobytes().decode("latin-1").translate(BYTE_CHARS)
+        letters = gather(np.frombuffer(raw, dtype=np.uint8), start, end - start)
+        text = letters.tobytes().decode("latin-1").translate(BYTE_CHARS)
         cuts = np.concatenate([[0], np.cumsum(end - start)]).tolist()
         split = self._model.tokenize
         found = [[t.id for t in split(text[a:b])] for a, b in zip(cuts, cuts[1:])]
@@ -163,17 +219,24 @@ class FastEncoder:
         count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         base, at = len(self._index), self._used
         while base + len(keys) > len(self._start):
-            self._start = np.concatenate([self._start, np.zeros_like(self._start)])
-            self._len = np.concatenate([self._len, np.zeros_like(self._len)])
+            for name in ("_start", "_len", "_raw_start", "_raw_len"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        while self._raw_used + len(letters) > len(self._raw):
+            self._raw = np.concatenate([self._raw, np.zeros_like(self._raw)])
         while at + len(ids) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         self._ids[at : at + len(ids)] = ids
         self._start[base : base + len(keys)] = at + np.cumsum(count) - count
         self._len[base : base + len(keys)] = count
         self._used = at + len(ids)
+        self._raw[self._raw_used : self._raw_used + len(letters)] = letters
+        self._raw_start[base : base + len(keys)] = self._raw_used + np.array(cuts[:-1], dtype=np.int64)
+        self._raw_len[base : base + len(keys)] = end - start
+        self._raw_used += len(letters)
         self._index.update(zip(keys, range(base, base + len(keys))))
 
-    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, ids of each text, and the texts for which they are wrong: those with a word that shares another's hash."""
         raw = b"".join(texts)
         buf = np.frombuffer(raw, dtype=np.uint8)
         size = np.array([len(t) for t in texts], dtype=np.int64)
@@ -198,7 +261,8 @@ class FastEncoder:
         ids = gather(self._ids, self._start[place], length)
         upto = np.concatenate([[0], np.cumsum(length)])
         cut = np.searchsorted(ts, np.concatenate([start, [len(buf)]]))
-        return ids, upto[cut[1:]] - upto[cut[:-1]]
+        wrong = differs(buf, ts, te, self._raw, self._raw_start[place], self._raw_len[place])
+        return ids, upto[cut[1:]] - upto[cut[:-1]], np.unique(np.searchsorted(end, ts[wrong], side="right"))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Null texts count as empty."""
@@ -225,7 +289,14 @@ class FastEncoder:
         whole: list[np.ndarray] = []
         order: list[int] = []
         for now, raws in parts:
-            ids, n = self._plain(raws)
+            ids, n, wrong = self._plain(raws)
+            if len(wrong):
+                odd += [now[i] for i in wrong.tolist()]
+                left = np.setdiff1d(np.arange(len(now)), wrong).tolist()
+                now, raws = [now[i] for i in left], [raws[i] for i in left]
+                if not now:
+                    continue
+                ids, n, _ = self._plain(raws)
             counts[now] = n
             whole.append(ids)
             order += now

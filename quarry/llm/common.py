@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of text a Python worker holds at a time (Arrow's own setting counts rows, not bytes).
 TEXT_ROWS = 256
 #: Bytes of text it holds at a time, unless one row has more.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors and the driver share no folder")
         named = tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -37,7 +39,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these, once nothing reads them any more."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def _sizes(column: pa.Array) -> np.ndarray:
@@ -49,18 +61,24 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return np.diff(offsets).astype(np.int64)
 
 
+def sliced(batch: pa.RecordBatch, rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most so many rows and about TEXT_BYTES."""
+    upto = np.cumsum(sum((_sizes(c) for c in batch.columns), np.zeros(batch.num_rows, dtype=np.int64)))
+    at = 0
+    while at < batch.num_rows:
+        room = TEXT_BYTES + (upto[at - 1] if at else 0)
+        end = max(at + 1, min(at + rows, int(np.searchsorted(upto, room, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = TEXT_ROWS) -> DataFrame:
     """mapInArrow with fn called on slices of at most so many rows and about TEXT_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            upto = np.cumsum(sum((_sizes(c) for c in batch.columns), np.zeros(batch.num_rows, dtype=np.int64)))
-            at = 0
-            while at < batch.num_rows:
-                room = TEXT_BYTES + (upto[at - 1] if at else 0)
-                end = max(at + 1, min(at + rows, int(np.searchsorted(upto, room, side="right"))))
-                yield fn(batch.slice(at, end - at))
-                at = end
+            for part in sliced(batch, rows):
+                yield fn(part)
 
     return df.mapInArrow(run, schema)
 

@@ -8,16 +8,20 @@ stays.  Two texts agree on a coordinate with the probability of their weighted
 Jaccard similarity, and a text costs its number of shingles plus about
 ``DARTS`` darts, not shingles times coordinates.
 
-Bands of coordinates are joined on equal keys.  First a few rounds compare a
-bucket's members with one partner among them, another one in each bucket and
-round, which joins most copies in work that follows the rows.  Then every
-bucket that still holds texts of several classes which have not met is finished
-exactly: its members are dealt into blocks, a task compares the texts of two
-blocks with one another and returns no more links than join their classes.  So
-each pair that shares a bucket is compared or already in one class; what stays
-within the largest class of a bucket is not compared again, and buckets of the
-same texts are finished once.  Every link is verified exactly on the whole
-texts.  Classes are connected components.
+Bands of coordinates are joined on equal keys.  First a few rounds give each
+text one partner, the one of its buckets' leads that it meets most often; texts
+found similar become one class, and later rounds and buckets know a class by
+one of its texts.  So a round verifies no more pairs than there are texts, and
+a group of copies shrinks by half or better each time.  Then every bucket that
+still holds several classes is finished exactly.  A bucket with many texts
+outside its largest class (a template that much text shares) is parted by
+prefixes first: with elements in one order for all, rarest first, two texts of
+similarity 0.8 have an element among the first fifth of each, so only texts
+that share such an element are compared.  Members are dealt into blocks; a task
+compares the texts of two blocks and returns no more links than join their
+classes.  So each pair that shares a bucket is compared or already in one
+class, and none is lost but those that share no bucket.  Every link is verified
+on the whole texts.  Classes are connected components.
 
 Defined results: equal texts are one class, the empty text (and null) among
 them; a text of fewer than five words is one shingle of all its words; a text
@@ -28,13 +32,15 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import RangeHash, mix, powers
-from .common import documents, map_arrow, materialize, text_buffer, tidy, words_of
+from .common import documents, forget, map_arrow, materialize, sliced, text_buffer, tidy, words_of
 from .components import components
 
 SHINGLE = 5
@@ -46,10 +52,12 @@ COORDINATES = BANDS * BAND_ROWS
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
 #: Pairs with one partner that one task verifies.
 PARTNER_SHARE = 512
-#: Rounds with a partner for each bucket, before what is left is finished exactly.
-PARTNER_ROUNDS = 2
+#: Rounds with one partner for each text, before what is left is finished exactly.
+PARTNER_ROUNDS = 3
 #: Texts and bytes of a block, about, and elements whose overlaps are counted at a time.
 BLOCK_ROWS, BLOCK_BYTES, ELEMENTS = 256, 4 << 20, 4_096
+#: Cells in which elements are counted to order them: a fixed size, whatever the corpus.
+CELLS = 1 << 18
 
 _POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -198,14 +206,25 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return similarities(both).where(F.col("similarity") >= SIMILARITY).select("u", "v")
 
 
-def _links(table: pa.Table) -> pa.Table:
-    """(u, v), a forest of the classes that similar texts join, for rows (class, block, text) of one block or two."""
-    key, row, rows = Shingles().of(table["text"])
+#: A worker's own, made once.
+_MADE: list[Shingles] = []
+
+
+def _elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, row) of texts as plain sets, the nth time of a shingle being an element of its own, and each row's size."""
+    if not _MADE:
+        _MADE.append(Shingles())
+    key, row, rows = _MADE[0].of(column)
     key, row, count = weighted(key, row)
     size = np.bincount(row, weights=count, minlength=rows)
-    # The nth time of a shingle is an element of its own: a weighted set is a set.
     nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    element, row = mix(np.repeat(key, count) + nth.astype(np.uint64) * _A), np.repeat(row, count)
+    return mix(np.repeat(key, count) + nth.astype(np.uint64) * _A), np.repeat(row, count), size
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """(u, v), a forest of the classes that similar texts join, for rows (class, block, text) of one block or two."""
+    rows = len(table)
+    element, row, size = _elements(table["text"])
     _, name, often = np.unique(element, return_inverse=True, return_counts=True)
     shared = often > 1
     column = (np.cumsum(shared) - 1)[name][shared[name]]
@@ -242,9 +261,59 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([o[0] for o in out], pa.binary()), "v": pa.array([o[1] for o in out], pa.binary())})
 
 
-def _finished(now: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) of all similar texts of different classes that share a bucket, for rows (key, node, class)."""
-    rows = now.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(key, node): for each of texts (node, text) the elements of which a similar text must share one.
+
+    Any order of elements that all texts share will do; rarest first keeps the
+    buckets small.  Rarity is counted in CELLS cells, so what every task gets
+    of it has a fixed size.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for part in sliced(batch):
+                total += np.bincount((_elements(part.column(0))[0] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
+
+    often = texts.select("text").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rarity = np.zeros(CELLS, dtype=np.int64)
+    rarity[often["cell"].to_numpy(dtype=np.int64)] = often["n"].to_numpy(dtype=np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        element, row, size = _elements(batch.column(1))
+        order = np.lexsort((element, shared.value[(element % np.uint64(CELLS)).astype(np.int64)], row))
+        element, row = element[order], row[order]
+        begin = np.searchsorted(row, np.arange(len(size)))
+        head = np.flatnonzero(np.arange(len(row)) - begin[row] <= (size - np.ceil(SIMILARITY * size - 1e-9))[row])
+        return pa.RecordBatch.from_arrays([pa.array(element[head].view(np.int64)), batch.column(0).take(pa.array(row[head]))], ["key", "node"])
+
+    return map_arrow(texts.select("node", "text"), run, "key bigint, node binary")
+
+
+def _parted(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """now (key, node, class) with buckets of several classes only, those with many texts outside their largest class parted by prefixes."""
+    kinds = now.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("top"), F.sum("n").alias("n")).where("n > top")
+    kinds = materialize(kinds.select("key", (F.col("n") - F.col("top") > BLOCK_ROWS).alias("many")), "open")
+    rows = materialize(now.join(kinds, "key"), "open-rows")
+    forget(kinds)
+    spent.append(rows)
+    plain, crowd = rows.where("not many").drop("many"), rows.where("many").select("node", "class").distinct()
+    if crowd.isEmpty():
+        return plain
+    heads = prefixes(texts.join(crowd.select("node"), "node", "left_semi")).join(crowd, "node")
+    heads = materialize(heads.select("key", "node", "class"), "heads")
+    spent.append(heads)
+    several = heads.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
+    return plain.select("key", "node", "class").unionByName(heads.join(several, "key", "left_semi").select("key", "node", "class"))
+
+
+def _finished(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """Links (u, v) of all similar texts of different classes that share a bucket, for rows (key, node, class); spent gets what it writes."""
+    rows = _parted(now, texts, spent).join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    # Buckets of the same texts are finished once.
     same = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g"))
     rows = rows.join(same.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
     parts = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
@@ -261,42 +330,53 @@ def _finished(now: DataFrame, texts: DataFrame) -> DataFrame:
     return met.groupBy("key", "low", "high").applyInArrow(_links, "u binary, v binary").distinct()
 
 
+def _partners(now: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of texts and their classes for rows (key, node, class): no more than there are texts.
+
+    A bucket's lead is the first of its texts in an order that all buckets of
+    the round share, so copies that share many buckets have few leads.  A text
+    meets the lead that it shares most buckets with.
+    """
+    order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
+    one = now.groupBy("key", "class").agg(F.min(order)["node"].alias("node")) if turn else now
+    lead = one.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("class"))).alias("lead"))
+    met = one.join(lead, "key").where("class != lead.class")
+    met = met.groupBy("node", "class", F.col("lead.order.node").alias("a"), F.col("lead.class").alias("ca")).agg(F.count("*").alias("n"))
+    best = met.groupBy("node", "class").agg(F.max(F.struct("n", "a", "ca")).alias("best"))
+    return best.select(F.col("best.a").alias("a"), F.col("node").alias("b"), F.col("best.ca").alias("ca"), F.col("class").alias("cb"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(node, root) of every text that is similar to another, for docs (node, text) with copies."""
     keys = band_keys(docs).groupBy("node").agg(F.first("keys").alias("keys"))
-    rows = materialize(keys.select("node", F.explode("keys").alias("key")), "bands")
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = materialize(rows.join(crowded, "key"), "buckets")
+    bands = materialize(keys.select("node", F.explode("keys").alias("key")), "bands")
+    crowded = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rows = materialize(bands.join(crowded, "key"), "buckets")
     wanted = rows.select("node").distinct()
     texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
+    forget(bands)
     now = rows.withColumn("class", F.col("node"))
     found = wanted.withColumn("class", F.col("node"))
-    tried: DataFrame | None = None
+    old: list[DataFrame] = []
     for turn in range(PARTNER_ROUNDS + 1):
         if turn == PARTNER_ROUNDS:
-            fresh = materialize(_finished(now, texts), "links")
+            fresh = materialize(_finished(now, texts, old), "links")
         else:
-            # The partner of a bucket: whoever comes first in the round's and the bucket's own order.
-            order, one = F.struct(F.xxhash64("key", "node", F.lit(turn)), F.col("node")), F.struct("node", "class")
-            mixed = now.groupBy("key").agg(F.min_by(one, order).alias("lead"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("key", "lead", "n")
-            met = now.join(mixed.select("key", "lead"), "key").where("class != lead.class")
-            low, high = F.least("lead", one), F.greatest("lead", one)
-            pairs = met.select(low.alias("p"), high.alias("q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.class").alias("ca"), F.col("q.class").alias("cb")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "pairs")
-            fresh = materialize(_verified(pairs, texts), "links")
-            tried = pairs.select("a", "b") if tried is None else tried.unionAll(pairs.select("a", "b"))
-        moved = materialize(components(fresh.distinct()), "classes").withColumnRenamed("node", "class")
-        relabel = lambda df: df.join(moved, "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")  # noqa: E731, B023
+            pairs = materialize(_partners(now, turn), "pairs")
+            fresh = materialize(_verified(pairs, texts).distinct(), "links")
+            forget(pairs)
+        moved = materialize(components(fresh), "classes")
+        relabel = lambda df: df.join(moved.withColumnRenamed("node", "class"), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")  # noqa: E731, B023
         found = materialize(relabel(found), "found")
         if turn < PARTNER_ROUNDS:
-            # Two have met; any other bucket stays open while it holds several classes.
-            open_ = relabel(now.join(mixed.where("n > 2").select("key"), "key", "left_semi")).select("key", "node", "class")
-            open_ = materialize(open_, "buckets")
-            several = open_.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
-            now = open_.join(several, "key", "left_semi")
+            # A bucket stays open while it holds several classes.
+            part = materialize(relabel(now).select("key", "node", "class"), "buckets")
+            several = part.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
+            now = part.join(several, "key", "left_semi")
+        forget(*old, fresh, moved)
+        old = [found, part]
+    forget(texts, rows)
     return found.select("node", F.col("class").alias("root"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import RangeHash, mix, powers
+from .bpe import RangeHash, mix, powers, string_codes
 from .common import documents, map_arrow, text_buffer, words_of
 
 #: Labelled rows that rules are fitted on, at most; taken in order of a hash of doc_id.
@@ -74,6 +74,7 @@ def _statistics():
         inside = np.cumsum(inside[:-1]).astype(bool)
         lead = (buf & 0xC0) != 0x80
         word_hash = hashes.of(ws, we)
+        code = string_codes(buf, ws, we, word_hash)
         salt = row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         # Windows of WINDOW words inside a text.
         n = len(ws)
@@ -85,7 +86,10 @@ def _statistics():
             at = np.flatnonzero(row[WINDOW - 1 :] == row[: n - WINDOW + 1])
             key = mix((total[at + WINDOW] - total[at]) * state["inv"][at] + salt[at])
             order = np.argsort(key)
-            same = key[order][1:] == key[order][:-1]
+            a, b = at[order[1:]], at[order[:-1]]
+            same = (key[order][1:] == key[order][:-1]) & (row[a] == row[b])
+            for k in range(WINDOW):  # equal words, not equal hashes only
+                same &= code[a + k] == code[b + k]
             twice = np.zeros(len(at), dtype=bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
@@ -93,10 +97,10 @@ def _statistics():
             np.add.at(cover, at[twice], 1)
             np.add.at(cover, at[twice] + WINDOW, -1)
             n_repeat = count(row[np.cumsum(cover[:-1]) > 0])
-        distinct = np.unique(mix(word_hash + salt), return_index=True)[1]
+        distinct = np.unique(row * (int(code.max(initial=0)) + 1) + code, return_index=True)[1]
         again = np.zeros(n, dtype=bool)
         if n:
-            again[1:] = (word_hash[1:] == word_hash[:-1]) & (row[1:] == row[:-1])
+            again[1:] = (code[1:] == code[:-1]) & (row[1:] == row[:-1])
         # Lines with a word, equal to an earlier line of the text.
         cuts = np.zeros(len(buf) + 1, dtype=bool)
         cuts[np.flatnonzero(buf == 10) + 1] = True
@@ -107,7 +111,8 @@ def _statistics():
         le = le - ((le > ls) & (buf[np.maximum(le - 1, 0)] == 10)) if len(buf) else le
         has_word = np.searchsorted(ws, le) > np.searchsorted(ws, ls)
         ls, le, line_row = ls[has_word], le[has_word], line_row[has_word]
-        line_key = mix(hashes.of(ls, le) + line_row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        line = string_codes(buf, ls, le, hashes.of(ls, le))
+        line_key = line_row * (int(line.max(initial=0)) + 1) + line
         n_lines = count(line_row)
         n_dup = n_lines - count(line_row[np.unique(line_key, return_index=True)[1]])
         out = {

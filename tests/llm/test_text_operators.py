@@ -288,6 +288,72 @@ def test_similar_texts_in_a_crowded_bucket(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def near_copies(n=400, words=300, changed=(1, 9), seed=3):
+    """Copies of one text with a few words changed each: pairs lie on both sides of the threshold."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{k}" for k in range(words)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.integers(0, words, rng.integers(*changed)).tolist():
+            own[k] = f"c{i}.{k}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_a_bucket_of_near_copies_joins(spark):
+    rows = near_copies() + [(5000 + i, t.replace("b1 ", "x ")) for i, (_, t) in enumerate(near_copies(60, 40, (2, 5), seed=4))]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "class_id", "class_size").collect()
+    assert sorted(map(tuple, got)) == sorted(true_classes(rows[:400]) + true_classes(rows[400:]))
+
+
+def test_partners_are_no_more_than_texts(spark):
+    rows = near_copies(200)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select(near_dups.node_of(F.col("text")).alias("node"), "text")
+    now = near_dups.band_keys(docs).select("node", F.explode("keys").alias("key")).withColumn("class", F.col("node"))
+    for turn in (0, 1):
+        pairs = near_dups._partners(now, turn).collect()
+        assert 0 < len(pairs) <= 200 and len({bytes(p["b"]) for p in pairs}) == len(pairs) and all(p["a"] != p["b"] for p in pairs)
+
+
+def test_prefixes_meet_in_all_similar_pairs(spark):
+    rows = near_copies(60, 120, (1, 4)) + [(900 + i, "short text " * i) for i in range(4)]
+    df = spark.createDataFrame([(bytearray([i // 256, i % 256]), t) for i, t in rows], "node binary, text string")
+    own = {}
+    for r in near_dups.prefixes(df).collect():
+        own.setdefault(bytes(r["node"]), set()).add(r["key"])
+    name = lambda i: bytes([i // 256, i % 256])
+    near = 0
+    for i, a in rows:
+        for j, b in rows:
+            x, y = shingles(a), shingles(b)
+            both = sum((x & y).values())
+            if i < j and both and both >= 0.8 * (sum(x.values()) + sum(y.values()) - both):
+                near += 1
+                assert own[name(i)] & own[name(j)]
+    assert near > 100 and max(map(len, own.values())) <= 25
+
+
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_strings_that_defeat_powers_of_two_are_told_apart(spark):
+    from quarry.llm.bpe import RangeHash, string_codes
+
+    buf = np.frombuffer((THUE + MORSE).encode(), dtype=np.uint8)
+    h = RangeHash()
+    h.load(buf)
+    start, end = np.array([0, 1024, 0]), np.array([1024, 2048, 1024])
+    assert len(set(h.of(start, end).tolist())) == 2
+    assert string_codes(buf, start, end, np.zeros(3, dtype=np.uint64)).tolist() == [0, 1, 0]
+    rows = [(1, f"{THUE}\n{MORSE}\n{THUE}"), (2, " ".join([*"abcdefg", THUE, *"abcdefg", MORSE]))]
+    got = {r["doc_id"]: r for r in rules.text_statistics(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [(got[i]["n_words"], got[i]["n_dup_lines"], got[i]["n_repeat_words"]) for i in (1, 2)] == [(counts(t)[0], counts(t)[3], counts(t)[4]) for _, t in rows]
+    pair = [(i, " ".join(["w1 w2 w3 w4", w, "w5 w6 w7 w8"])) for i, w in enumerate((THUE, MORSE))]
+    assert {r["class_id"] for r in near_dups.near_duplicates(spark.createDataFrame(pair, "doc_id bigint, text string")).collect()} == {0, 1}
+
+
 @pytest.mark.parametrize("block", [256, 7])
 def test_finished_buckets_equal_brute_force(spark, monkeypatch, block):
     """Without partners all is left to the blocks, also those of several blocks and of classes already joined."""
@@ -305,7 +371,7 @@ def test_finished_buckets_equal_brute_force(spark, monkeypatch, block):
             if both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= near_dups.SIMILARITY and up[group[i]] is not up[group[j]]:
                 one = up[group[i]] | up[group[j]]
                 up |= {g: one for g in one}
-    links = near_dups._finished(now, texts)
+    links = near_dups._finished(now, texts, [])
     roots = {bytes(r["node"])[0]: bytes(r["root"])[0] for r in components(links).collect()}
     assert len(roots) > 4 and {g: roots.get(g, g) for g in group} == {g: min(up[g]) for g in group}
 

@@ -41,6 +41,17 @@ def test_encoder_equals_the_library(fast, library, texts):
     assert ids.tolist() == [i for t in texts for i in library(t)] and counts.tolist() == [len(library(t)) for t in texts]
 
 
+def test_encoder_tells_words_of_one_hash_apart(library, monkeypatch):
+    from quarry.llm import bpe
+
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = [thue, thue.translate(str.maketrans("ab", "ba")), "plain words", None]
+    want = [i for t in texts for i in library(t)]
+    assert FastEncoder(packing.vocabulary()).encode(texts)[0].tolist() == want
+    monkeypatch.setattr(bpe.RangeHash, "of", lambda self, start, end: np.zeros(len(start), dtype=np.uint64))
+    assert FastEncoder(packing.vocabulary()).encode(texts)[0].tolist() == want
+
+
 def test_encoder_forgets_and_goes_on(library, monkeypatch):
     from quarry.llm import bpe
 
