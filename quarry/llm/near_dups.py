@@ -11,9 +11,9 @@ Jaccard similarity, and a text costs its number of shingles plus about
 Bands of coordinates are joined on equal keys.  First a few rounds give each
 text one partner, the one of its buckets' leads that it meets most often; texts
 found similar become one class, and later rounds and buckets know a class by
-one of its texts.  So a round verifies no more pairs than there are texts, and
-a group of copies shrinks by half or better each time.  Then every bucket that
-still holds several classes is finished exactly.  A bucket with many texts
+one of its texts.  So a round verifies no more pairs than there are texts.
+Then every bucket that still holds several classes is finished exactly.  A
+large class meets the other texts of all its buckets at once.  A bucket with many texts
 outside its largest class (a template that much text shares) is parted by
 prefixes first: with elements in one order for all, rarest first, two texts of
 similarity 0.8 have an element among the first fifth of each, so only texts
@@ -293,8 +293,26 @@ def prefixes(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("node", "text"), run, "key bigint, node binary")
 
 
+def _by_class(now: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """Rows (key, node, class) with a bucket of its own for each large class and the texts of others that share one of its buckets.
+
+    A large class lies in many buckets that are nearly alike; so its texts meet
+    what else is there once, not once a bucket.
+    """
+    large = materialize(now.select("class", "node").distinct().groupBy("class").count().where(F.col("count") > BLOCK_ROWS).select("class"), "large")
+    spent.append(large)
+    if large.isEmpty():
+        return now
+    there = now.join(large, "class").select("key", F.col("class").alias("large")).distinct()
+    other = now.join(there, "key").where("class != large").select("large", "node", "class")
+    own = now.join(large, "class").select(F.col("class").alias("large"), "node", "class")
+    groups = other.unionByName(own).distinct().select(F.xxhash64(F.lit("class"), "large").alias("key"), "node", "class")
+    return now.join(large, "class", "left_anti").select("key", "node", "class").unionByName(groups)
+
+
 def _parted(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
-    """now (key, node, class) with buckets of several classes only, those with many texts outside their largest class parted by prefixes."""
+    """Rows (key, node, class) of buckets with several classes, those with many texts outside their largest class parted by prefixes."""
+    now = _by_class(now, spent)
     kinds = now.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("top"), F.sum("n").alias("n")).where("n > top")
     kinds = materialize(kinds.select("key", (F.col("n") - F.col("top") > BLOCK_ROWS).alias("many")), "open")
     rows = materialize(now.join(kinds, "key"), "open-rows")
