@@ -12,12 +12,12 @@ Bands of coordinates are joined on equal keys.  First a few rounds give each
 text one partner, the one of its buckets' leads that it meets most often; texts
 found similar become one class, and later rounds and buckets know a class by
 one of its texts.  So a round verifies no more pairs than there are texts.
-Then every bucket that still holds several classes is finished exactly.  A
-large class meets the other texts of all its buckets at once.  A bucket with many texts
-outside its largest class (a template that much text shares) is parted by
-prefixes first: with elements in one order for all, rarest first, two texts of
-similarity 0.8 have an element among the first fifth of each, so only texts
-that share such an element are compared.  Members are dealt into blocks; a task
+What buckets
+of several classes are left is finished exactly, by prefixes: with elements in
+one order for all, rarest first, two texts of similarity 0.8 have an element in
+common among the first fifth of each, so only texts that share such an element
+are compared, however much text a template gives them all.  A large class meets
+the others of all its elements at once.  Members are dealt into blocks; a task
 compares the texts of two blocks and returns no more links than join their
 classes.  So each pair that shares a bucket is compared or already in one
 class, and none is lost but those that share no bucket.  Every link is verified
@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -262,7 +263,7 @@ def _links(table: pa.Table) -> pa.Table:
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """(key, node): for each of texts (node, text) the elements of which a similar text must share one.
+    """(key, node, class, bytes): for each of texts (node, class, text) the elements of which a similar text must share one.
 
     Any order of elements that all texts share will do; rarest first keeps the
     buckets small.  Rarity is counted in CELLS cells, so what every task gets
@@ -283,54 +284,43 @@ def prefixes(texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        element, row, size = _elements(batch.column(1))
+        element, row, size = _elements(batch.column(2))
         order = np.lexsort((element, shared.value[(element % np.uint64(CELLS)).astype(np.int64)], row))
         element, row = element[order], row[order]
         begin = np.searchsorted(row, np.arange(len(size)))
         head = np.flatnonzero(np.arange(len(row)) - begin[row] <= (size - np.ceil(SIMILARITY * size - 1e-9))[row])
-        return pa.RecordBatch.from_arrays([pa.array(element[head].view(np.int64)), batch.column(0).take(pa.array(row[head]))], ["key", "node"])
+        at = pa.array(row[head])
+        long = pc.cast(pc.binary_length(batch.column(2)), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(element[head].view(np.int64)), *(c.take(at) for c in (batch.column(0), batch.column(1), long))], ["key", "node", "class", "bytes"])
 
-    return map_arrow(texts.select("node", "text"), run, "key bigint, node binary")
+    return map_arrow(texts.select("node", "class", "text"), run, "key bigint, node binary, class binary, bytes bigint")
 
 
 def _by_class(now: DataFrame, spent: list[DataFrame]) -> DataFrame:
-    """Rows (key, node, class) with a bucket of its own for each large class and the texts of others that share one of its buckets.
+    """Rows (key, node, class, bytes) with a bucket of its own for each large class and the texts of others that share one of its buckets.
 
     A large class lies in many buckets that are nearly alike; so its texts meet
     what else is there once, not once a bucket.
     """
     large = materialize(now.select("class", "node").distinct().groupBy("class").count().where(F.col("count") > BLOCK_ROWS).select("class"), "large")
     spent.append(large)
-    if large.isEmpty():
-        return now
     there = now.join(large, "class").select("key", F.col("class").alias("large")).distinct()
-    other = now.join(there, "key").where("class != large").select("large", "node", "class")
-    own = now.join(large, "class").select(F.col("class").alias("large"), "node", "class")
-    groups = other.unionByName(own).distinct().select(F.xxhash64(F.lit("class"), "large").alias("key"), "node", "class")
-    return now.join(large, "class", "left_anti").select("key", "node", "class").unionByName(groups)
-
-
-def _parted(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
-    """Rows (key, node, class) of buckets with several classes, those with many texts outside their largest class parted by prefixes."""
-    now = _by_class(now, spent)
-    kinds = now.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("top"), F.sum("n").alias("n")).where("n > top")
-    kinds = materialize(kinds.select("key", (F.col("n") - F.col("top") > BLOCK_ROWS).alias("many")), "open")
-    rows = materialize(now.join(kinds, "key"), "open-rows")
-    forget(kinds)
-    spent.append(rows)
-    plain, crowd = rows.where("not many").drop("many"), rows.where("many").select("node", "class").distinct()
-    if crowd.isEmpty():
-        return plain
-    heads = prefixes(texts.join(crowd.select("node"), "node", "left_semi")).join(crowd, "node")
-    heads = materialize(heads.select("key", "node", "class"), "heads")
-    spent.append(heads)
-    several = heads.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
-    return plain.select("key", "node", "class").unionByName(heads.join(several, "key", "left_semi").select("key", "node", "class"))
+    other = now.join(there, "key").where("class != large").select("large", "node", "class", "bytes")
+    own = now.join(large, "class").select(F.col("class").alias("large"), "node", "class", "bytes")
+    groups = other.unionByName(own).distinct().select(F.xxhash64(F.lit("class"), "large").alias("key"), "node", "class", "bytes")
+    return now.join(large, "class", "left_anti").select("key", "node", "class", "bytes").unionByName(groups)
 
 
 def _finished(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
-    """Links (u, v) of all similar texts of different classes that share a bucket, for rows (key, node, class); spent gets what it writes."""
-    rows = _parted(now, texts, spent).join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    """Links (u, v) of all similar texts of different classes among those of rows (key, node, class); spent gets what it writes.
+
+    It looks at all texts of buckets that are still open, and so at every pair that shares one.
+    """
+    heads = materialize(prefixes(texts.join(now.select("node", "class").distinct(), "node")), "heads")
+    several = heads.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
+    rows = materialize(heads.join(several, "key", "left_semi"), "shared")
+    spent += [heads, rows]
+    rows = _by_class(rows, spent)
     # Buckets of the same texts are finished once.
     same = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g"))
     rows = rows.join(same.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")

@@ -320,7 +320,7 @@ def test_prefixes_meet_in_all_similar_pairs(spark):
     rows = near_copies(60, 120, (1, 4)) + [(900 + i, "short text " * i) for i in range(4)]
     df = spark.createDataFrame([(bytearray([i // 256, i % 256]), t) for i, t in rows], "node binary, text string")
     own = {}
-    for r in near_dups.prefixes(df).collect():
+    for r in near_dups.prefixes(df.withColumn("class", F.col("node"))).collect():
         own.setdefault(bytes(r["node"]), set()).add(r["key"])
     name = lambda i: bytes([i // 256, i % 256])
     near = 0
