@@ -1,13 +1,15 @@
 """Mixing sources to target weights, by blocks.
 
 Each source's words are laid end to end and cut into blocks of ``BLOCK``
-words.  Output slots are numbered; a pseudorandom permutation of all slots
-tells each slot its source and its draw number within the source, so a shard
-of consecutive slots holds a multinomial draw of sources, conditioned on the
-totals (free draws would miss the targets of small sources by their standard
-deviation).  A draw's number goes through the source's own permutation of its
-blocks, anew for each pass over the source, and slots and blocks are joined by
-that index.
+words.  The mix is a row of output shards of ``SHARD`` slots, a slot for each
+block.  Every shard draws its slots' sources by itself, seeded by its number,
+with probabilities in proportion to the targets: a multinomial count of each
+source.  A source's slots, in order of shard and slot, are its draws 0, 1, 2 ...;
+each goes through the source's own pseudorandom permutation of its blocks, anew
+for each pass over the source, and slots and blocks are joined by that index.
+Free draws would miss the targets of small sources by their standard deviation
+(a tenth for a source of 100 blocks); so the draws of a source beyond its
+target, which lie in the last shards, go to the sources that got too few.
 
 Only built-in functions are used.  A hot source is never in one task: offsets
 come from sums per (source, bucket) and a window within the bucket, and the
@@ -33,21 +35,20 @@ BLOCK, SHARD = 64, 4096
 SEED = 20_240_229
 ROUNDS = 14
 CHUNK = 16_384
-#: Documents in a bucket, about: the unit of one window's work.
-BUCKET_ROWS = 4_000
+#: Documents in a bucket, about: the unit of one window's work; shards whose counts are summed at a time.
+BUCKET_ROWS, SHARD_GROUP = 4_000, 1_024
 
 
 def _swap(x: Column, r: Column, n: Column, key: Column) -> Column:
-    """One round of the swap-or-not shuffle of 0 .. n-1: its own inverse."""
+    """One round of the swap-or-not shuffle of 0 .. n-1."""
     other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
     top = F.greatest(x, other)
     return F.when(F.pmod(F.xxhash64(top, r, key), F.lit(2)) == 1, other).otherwise(x)
 
 
-def permuted(x: Column, n: Column, key: Column, *, back: bool = False) -> Column:
-    """x's place in a pseudorandom permutation of 0 .. n-1 chosen by key; with back, what has place x."""
-    rounds = F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if back else F.sequence(F.lit(1), F.lit(ROUNDS))
-    return F.aggregate(rounds, x.cast("long"), lambda at, r: _swap(at, r, n, key))
+def permuted(x: Column, n: Column, key: Column) -> Column:
+    """x's place in a pseudorandom permutation of 0 .. n-1 chosen by key."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), lambda at, r: _swap(at, r, n, key))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -73,8 +74,8 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(placed, sources, drawn) for docs (doc_id, source, size, mark).
 
     placed: the rows with sid, source_size, target and first, the place of the row's first word in its source; sid and first name a row that has words.
-    sources: source, sid, source_size, target, blocks, draws, low - the first of its draws among all.
-    drawn: sid, block, pass, slot - one row per slot.
+    sources: source, sid, source_size, target, blocks, draws, low - the draws of sources before it.
+    drawn: shard, slot, sid, block, pass - one row per slot.
     """
     sized = materialize(docs.select("doc_id", "source", "size", "mark"), "sizes")
     rows = sized.count()
@@ -89,20 +90,52 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     sources = sources.withColumn("sid", F.row_number().over(by_name)).withColumn("low", F.sum("draws").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) - F.col("draws"))
     sources = materialize(sources, "sources")
-    slots = sources.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0]
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(parts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     placed = placed.join(sources.select(F.col("source").alias("q"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("q")))
     placed = placed.select("doc_id", "source", "size", "mark", "sid", "source_size", "target", (F.col("base") + F.col("before")).alias("first"))
-    chunks = sources.where("draws > 0").select("sid", "blocks", "low", "draws", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(draws - 1) div {CHUNK}"))).alias("chunk"))
-    # A few rows grow to all draws: the number of tasks is fixed, or adaptive planning would leave one.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = chunks.repartition(parts, "sid", "chunk").withColumn("draw", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least("draws", (F.col("chunk") + 1) * CHUNK) - 1)))
+    return placed, sources, draws(sources)
+
+
+def _numbers(rows: DataFrame, n: str, name: str, parts: int) -> DataFrame:
+    """rows with name, each of 0 .. n - 1, of any n: by chunks, so that no row grows in one task; the number of tasks is fixed, as adaptive planning would leave one."""
+    chunks = rows.where(F.col(n) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {CHUNK}"))))
+    return chunks.repartition(parts, "sid", "chunk").withColumn(name, F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(n, (F.col("chunk") + 1) * CHUNK) - 1))).drop("chunk")
+
+
+def draws(sources: DataFrame) -> DataFrame:
+    """drawn of plan() for its sources."""
+    spark = sources.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = int(sources.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0])
+    shards = -(-total // SHARD)
+    # Every draw there will be is a ticket; a slot draws one of all, so a source in proportion to its draws.
+    tickets = _numbers(sources.select("sid", "draws", "low"), "draws", "draw", parts).select((F.col("low") + F.col("draw")).alias("ticket"), "sid")
+    slots = spark.range(0, shards, 1, max(1, min(shards, parts))).withColumnRenamed("id", "shard")
+    slots = slots.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(SHARD), F.lit(total) - F.col("shard") * SHARD) - 1)))
+    slots = slots.withColumn("ticket", F.pmod(F.xxhash64(F.lit(SEED), "shard", "slot"), F.lit(max(1, total)).cast("long")))
+    in_shard = Window.partitionBy("shard", "sid").orderBy("slot")
+    drawn = slots.join(tickets.hint("merge"), "ticket").select("shard", "slot", "sid", F.row_number().over(in_shard).cast("long").alias("nth"))
+    drawn = materialize(drawn, "slots")
+    # How many slots a source has in the shards before: sums of groups of shards, then of shards within a group.
+    counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n")).withColumn("group", F.expr(f"shard div {SHARD_GROUP}"))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("sid", "group").agg(F.sum("n").alias("n")).withColumn("base", upto(Window.partitionBy("sid").orderBy("group"))).select("sid", "group", "base")
+    counts = counts.withColumn("inner", upto(Window.partitionBy("sid", "group").orderBy("shard"))).join(groups, ["sid", "group"])
+    counts = materialize(counts.select("shard", "sid", "n", (F.col("base") + F.col("inner")).alias("before")), "shard-counts")
+    named = sources.select("sid", "draws", "blocks")
+    drawn = drawn.join(counts.drop("n"), ["shard", "sid"]).join(named, "sid").withColumn("draw", F.col("before") + F.col("nth") - 1)
+    # Slots over a source's target, numbered by shard and slot: one row a shard that has some, and those are the last ones.
+    spare = drawn.where("draw >= draws").select("shard", "slot")
+    held = spare.groupBy("shard").agg(F.count("*").alias("n")).withColumn("base", upto(Window.orderBy("shard"))).select("shard", "base")
+    spare = spare.withColumn("at", F.row_number().over(Window.partitionBy("shard").orderBy("slot"))).join(held, "shard").select("shard", "slot", (F.col("base") + F.col("at") - 1).alias("place"))
+    short = named.join(counts.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))).withColumn("n", F.greatest(F.col("draws") - F.col("got"), F.lit(0)))
+    short = _numbers(short.withColumn("base", upto(Window.orderBy("sid"))), "n", "more", parts)
+    short = short.select((F.col("base") + F.col("more")).alias("place"), "sid", "blocks", (F.col("got") + F.col("more")).alias("draw"))
+    drawn = drawn.where("draw < draws").select("shard", "slot", "sid", "blocks", "draw").unionByName(spare.join(short, "place").drop("place"))
     drawn = drawn.withColumn("pass", F.expr("draw div blocks"))
-    drawn = drawn.withColumn("block", permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(SEED), "sid", "pass")))
-    drawn = drawn.withColumn("slot", permuted(F.col("low") + F.col("draw"), F.lit(max(1, slots)).cast("long"), F.lit(SEED), back=True))
-    return placed, sources, drawn.select("sid", "block", "pass", "slot")
+    return drawn.select("shard", "slot", "sid", permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(SEED), "sid", "pass")).alias("block"), "pass")
 
 
 def pieces(placed: DataFrame) -> DataFrame:
@@ -120,16 +153,16 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of docs."""
+    """doc_id, source, size, source_size, target, taken, and the first and last shard that has words of it (null if none), of every row of docs."""
     placed, _, drawn = plan(sized(docs))
-    times = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    times = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"), F.min("shard").alias("s0"), F.max("shard").alias("s1"))
     part = pieces(placed).select("sid", "block", "first", "length")
     # Planned from the size of sources, draws look small enough to broadcast; they are not.
-    got = part.join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "first").agg(F.sum(F.col("length") * F.col("times")).alias("got"))
+    got = part.join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "first").agg(F.sum(F.col("length") * F.col("times")).alias("got"), F.min("s0").alias("first_shard"), F.max("s1").alias("last_shard"))
     # Rows without words share their place with a neighbour's: they take nothing.
-    got = got.select(F.col("sid").alias("g"), F.col("first").alias("f"), "got")
+    got = got.select(F.col("sid").alias("g"), F.col("first").alias("f"), "got", "first_shard", "last_shard")
     out = placed.join(got, (F.col("sid") == F.col("g")) & (F.col("first") == F.col("f")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -170,4 +203,4 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard")
