@@ -5,19 +5,24 @@ occur in at least ``LEAST_SHARE`` and at most ``MOST_SHARE`` of documents, a
 band of inverse document frequency; its size is at most the mean number of
 distinct terms of a document over ``LEAST_SHARE``, whatever the corpus, and is
 checked before it is broadcast (beyond ``BROADCAST_TERMS`` it is joined by
-shuffle).  A document's distinct lexicon terms, sorted, are hashed once for
-each of ``len(RATES)`` randomised lexicons; lexicon j keeps a term with
-probability 1/RATES[j], so that some fit short texts and some fit long ones.
+shuffle).  Randomised lexicon j of level l keeps a term of the band with
+probability 2**-l.  A text's level depends on its number of terms, so that
+each of its lexicons keeps few of them, enough to tell texts apart and so few
+that an edit spares some lexicons whole; its distinct terms, sorted, are hashed
+once for each of ``LEXICONS`` lexicons of its level and of the next, so texts
+of somewhat different length share a level.
 
 Only built-in functions are used.  The documents are dealt once, by ranges of
-doc_id; each range also gets the first rows of the next, so a document's
-successor is in its own task, and term lists are gathered there again.
+doc_id and a hash of the text; each range also gets the first row of the next,
+so a document's successor is in its own task, and term lists are gathered there
+again.
 
 Defined results: a null text counts as empty; documents are ordered by doc_id
 (null first), then by a hash of the text; the last one's successor is the
-first; a single document succeeds itself; repeated rows are rows of their own;
-an empty table gives an empty result; other columns are ignored.  Texts without
-a lexicon term have the fingerprint of no terms, alike in all lexicons.
+first; a single document succeeds itself; repeated rows are rows of their own
+(rows alike in doc_id and text lie in one range); an empty table gives an empty
+result; other columns are ignored.  A text without a lexicon term has a
+fingerprint of its whole text, so it is like equal texts only.
 """
 
 from __future__ import annotations
@@ -27,10 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, tidy
 
-#: The band: terms in at least one of 5,000 and at most one of 4 documents.
-LEAST_SHARE, MOST_SHARE = 1 / 5000, 1 / 4
+#: The band: terms in at least one of 5,000 and at most one of 20 documents.
+LEAST_SHARE, MOST_SHARE = 1 / 5000, 1 / 20
 BROADCAST_TERMS = 4_000_000
-RATES = (2, 2, 4, 4, 8, 8, 8, 16, 16, 16, 32, 32, 64, 64, 128, 128)
+#: Lexicons of each level; a text's level leaves each at least so many terms on average, and less than twice as many.
+LEXICONS, KEPT = 12, 1.5
+#: The last level that four bits can say, less the next one.
+LEVELS = 14
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -40,65 +48,85 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, *, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """(term, kept): terms of the band, with the randomised lexicons that keep each, as bits."""
+    """(term, kept): terms of the band; four bits of kept for each lexicon say the last level that keeps the term."""
     n = docs.count()
     counted = docs.select(F.explode(terms(tidy(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    bits = F.lit(0)
-    for j, rate in enumerate(RATES):
-        bits = bits + F.when(F.pmod(F.xxhash64("term", F.lit(j)), F.lit(rate)) == 0, F.lit(1 << j)).otherwise(F.lit(0))
+    bits = F.lit(0).cast("long")
+    for j in range(LEXICONS):
+        # Zeros at the end of a hash: l or more of them with probability 2**-l.
+        tail = F.xxhash64("term", F.lit(j)).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(0x10000))
+        level = F.least(F.bit_count(tail.bitwiseAND(-tail) - 1), F.lit(LEVELS + 1))
+        bits = bits + F.shiftleft(level.cast("long"), 4 * j)
     low, high = max(2, least * n), max(2, most * n)
     return counted.where((F.col("df") >= low) & (F.col("df") <= high)).select("term", bits.alias("kept"))
 
 
-def _ranges(docs: DataFrame, parts: int) -> list[int]:
-    """At most parts - 1 values of doc_id that split the rows about evenly."""
-    if parts < 2:
-        return []
-    cuts = docs.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    return sorted(set(cuts or []))
+def _ranges(docs: DataFrame, parts: int) -> tuple[int, list[tuple[int, int]]]:
+    """(ranges of rows without doc_id, at most parts - 1 pairs of doc_id and hash that split the others about evenly); an id with many rows has several."""
+    values = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts) if parts > 1 else F.lit(None)
+    rows, none, found = docs.agg(F.count("*"), F.sum(F.col("doc_id").isNull().cast("long")), values).first()
+    times: dict[int, int] = {}
+    for v in found or ():
+        times[v] = times.get(v, 0) + 1
+    # The hash is uniform, so an id that is k cuts is split by even steps of it.
+    cuts = [(v, _step(i, k)) for v, k in sorted(times.items()) for i in range(k)]
+    return max(1, round(parts * (none or 0) / max(1, rows))), cuts
 
 
-def with_next(docs: DataFrame, cuts: list[int]) -> DataFrame:
-    """docs (doc_id, text) as (part, at, doc_id, text, own): dealt by ranges of doc_id, each range in order of at,
+def _step(i: int, k: int) -> int:
+    """Where part i of k of the hashes begins."""
+    return -(1 << 63) + (i << 64) // k
+
+
+def with_next(docs: DataFrame, ranges: tuple[int, list[tuple[int, int]]]) -> DataFrame:
+    """docs (doc_id, text) as (part, at, doc_id, text, own): dealt by ranges of doc_id and hash, each range in order of at,
     with copies (own = false) of the next range's first rows at its end."""
     spark = docs.sparkSession
-    part = F.when(F.col("doc_id").isNull(), F.lit(0))
+    first, cuts = ranges
+
     # Binary search, so that a row costs the logarithm of the number of ranges.
-    def search(lo: int, hi: int) -> Column:
+    def search(lo: int, hi: int, below) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    placed = docs.withColumn("part", part.otherwise(search(0, len(cuts))))
-    # The first id of each range that has rows: one row a range, at most len(cuts) + 1.
-    first = sorted((r["part"], r["some"] > 0, r["least"]) for r in placed.groupBy("part").agg(F.min("doc_id").alias("least"), F.sum(F.col("doc_id").isNull().cast("int")).alias("some")).collect())
-    heads = [(None if null else least, first[i - 1][0], i == 0) for i, (_, null, least) in enumerate(first)]
-    head = spark.createDataFrame(heads, "head long, to int, wraps boolean")
-    rows = placed.join(F.broadcast(head), F.col("doc_id").eqNullSafe(F.col("head")), "left")
+        return F.when(below(mid), search(lo, mid, below)).otherwise(search(mid + 1, hi, below))
+
+    before = lambda i: (F.col("doc_id") < F.lit(cuts[i][0])) | (F.col("doc_id") == F.lit(cuts[i][0])) & (F.col("h") < F.lit(cuts[i][1]))
+    nulls = search(0, first - 1, lambda i: F.col("h") < F.lit(_step(i + 1, first)))
+    placed = docs.withColumn("h", F.xxhash64("text"))
+    placed = placed.withColumn("part", F.when(F.col("doc_id").isNull(), nulls).otherwise(first + search(0, len(cuts), before)))
+    # The first row of each range that has rows, by id and hash: one row a range.
+    heads = sorted((r["part"], r["least"]) for r in placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("least")).collect())
+    to = [(least["doc_id"], least["h"], heads[i - 1][0], i == 0) for i, (_, least) in enumerate(heads)]
+    head = spark.createDataFrame(to, "head long, head_h long, to int, wraps boolean")
+    rows = placed.join(F.broadcast(head), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")), "left")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("lap"), F.lit(True).alias("own"))
     copy = F.struct(F.col("to").alias("part"), F.when(F.col("wraps"), 2).otherwise(1).alias("lap"), F.lit(False).alias("own"))
     rows = rows.withColumn("copy", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    at = F.struct(F.col("copy.lap"), F.col("doc_id").isNotNull().alias("some"), F.col("doc_id"), F.xxhash64("text").alias("h"))
+    at = F.struct(F.col("copy.lap"), F.col("doc_id").isNotNull().alias("some"), F.col("doc_id"), F.col("h"))
     return rows.select(F.col("copy.part").alias("part"), at.alias("at"), "doc_id", "text", F.col("copy.own").alias("own"))
 
 
-def _hashes(found: Column) -> Column:
-    """One long for each randomised lexicon from the sorted array of struct<term, kept>; 0 if it keeps none."""
-
-    def one(j: int) -> Column:
-        kept = F.transform(F.filter(found, lambda t: t["kept"].bitwiseAND(F.lit(1 << j)) != 0), lambda t: t["term"])
-        return F.when(F.size(kept) > 0, F.xxhash64(F.lit(j), F.array_join(kept, " "))).otherwise(F.lit(0).cast("long"))
-
-    return F.array(*(one(j) for j in range(len(RATES))))
+def _print(found: Column, own: Column) -> Column:
+    """struct<level, h> from the sorted array of struct<term, kept>: a long for each lexicon of the level, then of the next, 0 where it keeps no term."""
+    level = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.floor(F.log2(F.size(found) / F.lit(KEPT))).cast("int")))
+    upto = lambda t, j: F.pmod(F.call_function("shiftright", t["kept"], 4 * j), F.lit(16))
+    lists = F.transform(F.sequence(F.lit(0), F.lit(LEXICONS - 1)), lambda j: F.filter(found, lambda t: upto(t, j) >= level))
+    name = lambda x, j: F.when(F.size(x) > 0, F.xxhash64(j, F.array_join(F.transform(x, lambda t: t["term"]), " "))).otherwise(F.lit(0).cast("long"))
+    both = F.concat(F.transform(lists, name), F.transform(lists, lambda x, j: name(F.filter(x, lambda t: upto(t, j) > level), j)))
+    some = F.exists(both, lambda x: x != 0)
+    return F.when(some, F.struct(level.alias("level"), both.alias("h"))).otherwise(F.struct(F.lit(0).alias("level"), F.array_repeat(own, 2 * LEXICONS).alias("h")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the lexicons that keep a term of either; 1 if none does."""
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    some = F.size(F.filter(pairs, lambda p: (p["x"] != 0) | (p["y"] != 0)))
-    same = F.size(F.filter(pairs, lambda p: (p["x"] == p["y"]) & (p["x"] != 0)))
-    return F.when(some == 0, F.lit(1.0)).otherwise(same / some)
+    """Share of equal hashes among the lexicons of common levels that keep a term of either; 0 if none does."""
+    low, high = (lambda x: F.slice(x["h"], 1, LEXICONS)), (lambda x: F.slice(x["h"], LEXICONS + 1, LEXICONS))
+    x = F.when(a["level"] == b["level"], a["h"]).when(a["level"] == b["level"] - 1, high(a)).when(a["level"] - 1 == b["level"], low(a)).otherwise(F.array().cast("array<bigint>"))
+    y = F.when(a["level"] == b["level"], b["h"]).when(a["level"] == b["level"] - 1, low(b)).when(a["level"] - 1 == b["level"], high(b)).otherwise(F.array().cast("array<bigint>"))
+    pairs = F.zip_with(x, y, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    some = F.size(F.filter(pairs, lambda z: (z["p"] != 0) | (z["q"] != 0)))
+    same = F.size(F.filter(pairs, lambda z: (z["p"] == z["q"]) & (z["p"] != 0)))
+    return F.when(some == 0, F.lit(0.0)).otherwise(same / some)
 
 
 def fingerprints(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
@@ -115,22 +143,22 @@ def fingerprints(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     rows = rows.withColumn("row", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.col("text")))
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut)))
-    rows = rows.withColumn("facts", F.struct("doc_id", "own", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")))
-    rows = rows.select("part", "row", "facts", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("v"))
-    # The text is left behind before its terms become rows; its facts ride with an empty term, so a text without terms stays.
-    rows = rows.select("part", "row", "facts", F.col("v.kind").alias("kind"), terms(F.col("v.t")).alias("terms"))
+    rows = rows.withColumn("facts", F.struct("doc_id", "own", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("whole"), F.xxhash64("edited").alias("edited_whole")))
+    # The texts are left behind before their terms become rows; a term of both is one row.  The facts ride with an empty term, so a text without terms stays.
+    rows = rows.select("part", "row", "facts", terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
     none = F.lit(None).cast(rows.schema["facts"].dataType)
-    entries = F.concat(F.array(F.struct(F.lit("").alias("term"), F.col("facts"))), F.transform("terms", lambda t: F.struct(t.alias("term"), none.alias("facts"))))
-    exploded = rows.select("part", "row", "kind", F.explode(entries).alias("e")).select("part", "row", "kind", "e.term", "e.facts")
+    entry = lambda x, where: F.transform(x, lambda t: F.struct(t.alias("term"), F.lit(where).alias("where"), none.alias("facts")))
+    entries = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("where"), F.col("facts"))), entry(F.array_intersect("a", "b"), 3), entry(F.array_except("a", "b"), 1), entry(F.array_except("b", "a"), 2))
+    exploded = rows.select("part", "row", F.explode(entries).alias("e")).select("part", "row", "e.term", "e.where", "e.facts")
     found = exploded.join(lex, "term", "left").where((F.col("term") == "") | F.col("kept").isNotNull())
-    entry = F.when(F.col("kept").isNotNull(), F.struct("term", "kept"))
-    facts = F.max("facts").alias("facts")
-    lists = found.groupBy("part", "row", "kind").agg(F.sort_array(F.collect_list(entry)).alias("found"), facts)
-    hashed = lists.select("part", "row", "kind", "facts", _hashes(F.col("found")).alias("h"))
-    whole = hashed.groupBy("part", "row").agg(F.max("facts").alias("facts"), F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("h"), F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("e"))
+    entry = F.when(F.col("kept").isNotNull(), F.struct("term", "kept", "where"))
+    lists = found.groupBy("part", "row").agg(F.sort_array(F.collect_list(entry)).alias("found"), F.max("facts").alias("facts"))
+    of = lambda kind: F.filter("found", lambda t: t["where"].bitwiseAND(F.lit(kind)) != 0)
+    lists = lists.select("part", "row", "facts", of(1).alias("a"), of(2).alias("b"))
+    whole = lists.select("part", "row", "facts", _print(F.col("a"), F.col("facts.whole")).alias("h"), _print(F.col("b"), F.col("facts.edited_whole")).alias("e"))
     order = Window.partitionBy("part").orderBy("row")
     whole = whole.withColumn("after", F.coalesce(F.lead("h").over(order), F.col("h")))
-    text = lambda h: F.array_join(F.transform(h, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    text = lambda p: F.concat(F.lpad(p["level"].cast("string"), 2, "0"), F.array_join(F.transform(p["h"], lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), ""))
     return whole.where("facts.own").select(
         "facts.doc_id", "facts.n_chars", "facts.edited_sha256", text(F.col("h")).alias("fingerprint"), text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("h"), F.col("e")).alias("near_edited"), likeness(F.col("h"), F.col("after")).alias("near_next")
     )

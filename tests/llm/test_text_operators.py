@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -413,15 +414,65 @@ def test_components_by_stars(spark):
 # --- op8 ---------------------------------------------------------------------
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of columns of strings and 4-byte ints."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(4, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_print(text, lexicon):
+    """(level, hashes) of a text by the lexicon, a set of terms."""
+    own = sorted({t for t in re.split(r"[\x20\x09-\x0D]+", text.lower()) if t} & lexicon, key=str.encode)
+    level = max(1, min(imatch.LEVELS, int(np.floor(np.log2(len(own) / imatch.KEPT))))) if own else 1
+    out = []
+    for up in (level, level + 1):
+        for j in range(imatch.LEXICONS):
+            kept = [t for t in own if spark_hash(t, j) % (1 << up) == 0]
+            out.append(spark_hash(j, " ".join(kept)) if kept else 0)
+    return (level, out) if any(out) else (0, [spark_hash(text)] * len(out))
+
+
+def brute_likeness(a, b):
+    n = imatch.LEXICONS
+    by = [{(level + i // n, i % n): h for i, h in enumerate(hashes)} for level, hashes in (a, b)]
+    both = [(by[0][k], by[1][k]) for k in by[0].keys() & by[1].keys()]
+    if 0 in (a[0], b[0]) and a[0] != b[0]:
+        both = [(0, 1)]  # a whole text and terms have nothing in common
+    some = [(x, y) for x, y in both if x or y]
+    return sum(x == y for x, y in some) / len(some) if some else 0.0
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_fingerprints_equal_brute_force(spark, edge, parts):
+    rows = [(r[0], r[1] or "") for r in edge_rows()] + [(20 + i, (WORD.findall(edge_rows()[0][1])[i] + f" u{i // 2} v{i // 3} ") * (1 + i % 3) + "".join(f"w{k}.{i // 2} " for k in range(4 * i))) for i in range(30)] + [(7, f"hot id {i} {i % 4}") for i in range(40)] + [(None, f"no id {i} {i % 3}") for i in range(20)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1]), r[1]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lexicon = {r["term"] for r in imatch.lexicon(df).collect()}
+    assert len(lexicon) > 50
+    want = []
+    for i, (doc_id, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        a, e, b = (brute_print(t, lexicon) for t in (text, edited, after))
+        name = lambda p: f"{p[0]:02d}" + "".join(f"{h % (1 << 64):016x}" for h in p[1])
+        want.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), name(a), name(e), brute_likeness(a, e), brute_likeness(a, b)))
+    got = [tuple(r) for r in imatch.fingerprints(df, parts=parts).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_hot_ids_are_split(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    parts = [r["n"] for r in imatch.with_next(df, imatch._ranges(df, 20)).where("own").groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert sum(parts) == 4000 and max(parts) < 600 and len(parts) >= 15
+
+
 def test_fingerprints(edge, empty):
     rows = sorted((r for r in edge_rows() if r[0] is not None and r[0] != 12), key=lambda r: r[0])
-    df = edge.where("doc_id != 12")
-    got = sorted(imatch.fingerprints(df, parts=5).collect(), key=lambda r: r["doc_id"])
-    texts = [r[1] or "" for r in rows]
-    for i, (t, r) in enumerate(zip(texts, got)):
-        cut = len(t) // 4
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + texts[(i + 1) % len(texts)][:cut]).encode()).hexdigest()
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    got = sorted(imatch.fingerprints(edge.where("doc_id != 12"), parts=5).collect(), key=lambda r: r["doc_id"])
+    assert [r["n_chars"] for r in got] == [len(r[1] or "") for r in rows]
     assert got[0]["fingerprint"] == got[1]["fingerprint"] and got[0]["near_next"] == 1.0
     assert imatch.fingerprints(empty).count() == 0 and imatch.fingerprints(edge).count() == edge.count()
     alone = imatch.fingerprints(edge.where("doc_id = 8")).first()
