@@ -36,7 +36,7 @@ from .common import documents, materialize, tidy
 LEAST_SHARE, MOST_SHARE = 1 / 5000, 1 / 20
 BROADCAST_TERMS = 4_000_000
 #: Lexicons of each level; a text's level leaves each at least so many terms on average, and less than twice as many.
-LEXICONS, KEPT = 12, 1.5
+LEXICONS, KEPT = 10, 1.5
 #: The last level that four bits can say, less the next one.
 LEVELS = 14
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -61,40 +61,40 @@ def lexicon(docs: DataFrame, *, least: float = LEAST_SHARE, most: float = MOST_S
     return counted.where((F.col("df") >= low) & (F.col("df") <= high)).select("term", bits.alias("kept"))
 
 
-def _ranges(docs: DataFrame, parts: int) -> tuple[int, list[tuple[int, int]]]:
-    """(ranges of rows without doc_id, at most parts - 1 pairs of doc_id and hash that split the others about evenly); an id with many rows has several."""
+def _ranges(docs: DataFrame, parts: int) -> tuple[int, dict[int, int]]:
+    """(ranges of rows without doc_id, ids that split the others about evenly into parts, in order, each with its number of parts' rows)."""
     values = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts) if parts > 1 else F.lit(None)
     rows, none, found = docs.agg(F.count("*"), F.sum(F.col("doc_id").isNull().cast("long")), values).first()
-    times: dict[int, int] = {}
-    for v in found or ():
-        times[v] = times.get(v, 0) + 1
-    # The hash is uniform, so an id that is k cuts is split by even steps of it.
-    cuts = [(v, _step(i, k)) for v, k in sorted(times.items()) for i in range(k)]
+    cuts: dict[int, int] = {}
+    for v in sorted(found or ()):
+        cuts[v] = cuts.get(v, 0) + 1
     return max(1, round(parts * (none or 0) / max(1, rows))), cuts
 
 
-def _step(i: int, k: int) -> int:
-    """Where part i of k of the hashes begins."""
-    return -(1 << 63) + (i << 64) // k
-
-
-def with_next(docs: DataFrame, ranges: tuple[int, list[tuple[int, int]]]) -> DataFrame:
+def with_next(docs: DataFrame, ranges: tuple[int, dict[int, int]]) -> DataFrame:
     """docs (doc_id, text) as (part, at, doc_id, text, own): dealt by ranges of doc_id and hash, each range in order of at,
     with copies (own = false) of the next range's first rows at its end."""
     spark = docs.sparkSession
-    first, cuts = ranges
+    first, times = ranges
+    cuts = list(times)
+    hot = {v: k for v, k in times.items() if k > 1}
+    most = max(hot.values(), default=1)
 
     # Binary search, so that a row costs the logarithm of the number of ranges.
-    def search(lo: int, hi: int, below) -> Column:
+    def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(below(mid), search(lo, mid, below)).otherwise(search(mid + 1, hi, below))
-
-    before = lambda i: (F.col("doc_id") < F.lit(cuts[i][0])) | (F.col("doc_id") == F.lit(cuts[i][0])) & (F.col("h") < F.lit(cuts[i][1]))
-    nulls = search(0, first - 1, lambda i: F.col("h") < F.lit(_step(i + 1, first)))
+        return F.when(F.col("doc_id") < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    # The hash is uniform and orders the rows of an id, so even steps of it split an id that fills several ranges.
+    step = lambda k: F.least(k - 1, F.floor((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) * k)).cast("int")
+    inner = F.lit(most - 1)
+    if hot:
+        k = F.try_element_at(F.create_map(*(F.lit(x) for item in hot.items() for x in item)), F.col("doc_id"))
+        inner = F.when(k.isNotNull(), step(k)).otherwise(inner)
     placed = docs.withColumn("h", F.xxhash64("text"))
-    placed = placed.withColumn("part", F.when(F.col("doc_id").isNull(), nulls).otherwise(first + search(0, len(cuts), before)))
+    placed = placed.withColumn("part", F.when(F.col("doc_id").isNull(), step(F.lit(first))).otherwise(F.lit(first) + search(0, len(cuts)) * most + inner))
     # The first row of each range that has rows, by id and hash: one row a range.
     heads = sorted((r["part"], r["least"]) for r in placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("least")).collect())
     to = [(least["doc_id"], least["h"], heads[i - 1][0], i == 0) for i, (_, least) in enumerate(heads)]
@@ -107,15 +107,34 @@ def with_next(docs: DataFrame, ranges: tuple[int, list[tuple[int, int]]]) -> Dat
     return rows.select(F.col("copy.part").alias("part"), at.alias("at"), "doc_id", "text", F.col("copy.own").alias("own"))
 
 
+def _let(value: Column, of) -> Column:
+    """of(value) with value computed once, however often it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _print(found: Column, own: Column) -> Column:
     """struct<level, h> from the sorted array of struct<term, kept>: a long for each lexicon of the level, then of the next, 0 where it keeps no term."""
-    level = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.floor(F.log2(F.size(found) / F.lit(KEPT))).cast("int")))
-    upto = lambda t, j: F.pmod(F.call_function("shiftright", t["kept"], 4 * j), F.lit(16))
-    lists = F.transform(F.sequence(F.lit(0), F.lit(LEXICONS - 1)), lambda j: F.filter(found, lambda t: upto(t, j) >= level))
-    name = lambda x, j: F.when(F.size(x) > 0, F.xxhash64(j, F.array_join(F.transform(x, lambda t: t["term"]), " "))).otherwise(F.lit(0).cast("long"))
-    both = F.concat(F.transform(lists, name), F.transform(lists, lambda x, j: name(F.filter(x, lambda t: upto(t, j) > level), j)))
-    some = F.exists(both, lambda x: x != 0)
-    return F.when(some, F.struct(level.alias("level"), both.alias("h"))).otherwise(F.struct(F.lit(0).alias("level"), F.array_repeat(own, 2 * LEXICONS).alias("h")))
+    level = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.floor(F.log2(F.size(found) / F.lit(KEPT))))).cast("long")
+
+    def kept(terms: Column, j: int, least: Column) -> Column:
+        return F.filter(terms, lambda t: t["kept"].bitwiseAND(F.lit(15 << 4 * j)) >= least)
+
+    def name(terms: Column, j: int) -> Column:
+        return F.when(F.size(terms) > 0, F.xxhash64(F.lit(j), F.array_join(F.transform(terms, lambda t: t["term"]), " "))).otherwise(F.lit(0).cast("long"))
+
+    def two(j: int, at: Column) -> Column:
+        unit = F.lit(1 << 4 * j)
+        return _let(kept(found, j, at * unit), lambda own_terms: F.array(name(own_terms, j), name(kept(own_terms, j, (at + 1) * unit), j)))
+
+    def of(at: Column) -> Column:
+        def ordered(pairs: Column) -> Column:
+            both = F.concat(F.transform(pairs, lambda p: p[0]), F.transform(pairs, lambda p: p[1]))
+            whole = F.struct(F.lit(0).cast("long").alias("level"), F.array_repeat(own, 2 * LEXICONS).alias("h"))
+            return F.when(F.exists(pairs, lambda p: p[0] != 0), F.struct(at.alias("level"), both.alias("h"))).otherwise(whole)
+
+        return _let(F.array(*(two(j, at) for j in range(LEXICONS))), ordered)
+
+    return _let(level, of)
 
 
 def likeness(a: Column, b: Column) -> Column:
