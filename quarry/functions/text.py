@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Letters, marks and numbers of any script, and the underscore.
 UNICODE_WORD = r"(?U)(\w+)"
+#: What search counts as a word: letters, marks and numbers; the underscore parts words.
+SEARCH_WORD = r"[\p{L}\p{M}\p{N}]+"
+#: What marks a query of several parts.
+COMPOUND_MARKS = (" and ", " or ", " vs ", " und ", " oder ", " sowie ", ", ", "; ", "? ")
 PREFIXES = {"youtube": "yt", "instagram": "ig", "tiktok": "tt"}
 #: Characters that a file name may not have.
 UNSAFE = '/\\:*?"<>|'
@@ -189,9 +193,10 @@ def yaml_unquoted(text: Column) -> Column:
 
 
 def looks_compound(query: Column) -> Column:
-    """Whether a query has four words or a conjunction."""
-    padded = F.concat(F.lit(" "), F.lower(F.trim(query)), F.lit(" "))
-    return (F.size(F.split(F.trim(query), r"\s+")) >= 4) | padded.rlike(r" (and|or|vs|versus|und|oder) |[,;]")
+    """Whether a query has four words or one of COMPOUND_MARKS, with a blank before and after it."""
+    padded = F.concat(F.lit(" "), F.lower(query), F.lit(" "))
+    marked = F.exists(F.array(*map(F.lit, COMPOUND_MARKS)), lambda m: F.contains(padded, m))
+    return (F.size(F.split(F.trim(query), r"\s+")) >= 4) | marked
 
 
 def clamped(text: Column, limit: int = 10_000) -> Column:

@@ -2,7 +2,8 @@
 
 Both sides are merged per key in order of time; running first/last values give
 each left row its neighbours, so work and memory follow the number of rows,
-not of pairs.  A hot key can be split first with ``bucket_ms``.
+not of pairs.  All rows of one key are sorted in one task, which spills what it
+cannot hold; a key is a video here, so its rows are bounded by its length.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -14,7 +15,7 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
 POOL, TOP_K, PER_VIDEO = 50, 15, 2
 MOST = 50
-#: Rows of hits that may be broadcast: a top-k result is never larger.
+#: Rows of hits that may be broadcast: no top-k result is larger, whatever k is asked for.
 HIT_ROWS = 10_000
 
 
@@ -50,6 +51,7 @@ def dense_top_k(
         df = df.where(F.col("model_version") == model_version)
     df = df.where(V.width_is(F.col(vector), len(query)))
     keep = [id, "model_version"] if model_version is not None else [id]
+    k = max(1, min(int(k), HIT_ROWS))
     top = df.select(*keep, distance(F.col(vector), query, metric).alias("distance")).orderBy("distance", id).limit(k)
     if model_version is not None:
         top = top.where(F.col("model_version") == model_version).drop("model_version")
@@ -62,8 +64,8 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
 
 
 def postings(df: DataFrame, *, id: str = "chunk_id", text: str = "chunk_text") -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, doc_len); terms are lower-case runs of letters, marks, numbers and underscores."""
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.UNICODE_WORD), F.lit(1))
+    """(term, id, tf) and (id, doc_len); terms are lower-case runs of letters, marks and numbers."""
+    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.SEARCH_WORD), F.lit(0))
     rows = df.select(id, tokens.alias("tokens"))
     terms = rows.select(id, F.explode("tokens").alias("term")).groupBy("term", id).agg(F.count("*").alias("tf"))
     return terms, rows.select(id, F.size("tokens").alias("doc_len"))
@@ -76,12 +78,12 @@ def sparse_top_k(df: DataFrame, query: str, k: int = POOL, *, id: str = "chunk_i
     pass over the texts gives lengths and the counts of the query's words only,
     so no postings of other words are made or shuffled.
     """
-    words = [w for w in _words(query)]
+    words = query_words(query)
     spark = df.sparkSession
     if not words:
         return spark.createDataFrame([], StructType([df.schema[id], StructField("score", DoubleType()), StructField("rank", IntegerType())]))
     distinct = sorted(set(words))
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.UNICODE_WORD), F.lit(1))
+    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.SEARCH_WORD), F.lit(0))
     counts = [F.size(F.filter("tokens", _equals(w))).alias(f"_{i}") for i, w in enumerate(distinct)]
     flag = (where if where is not None else F.lit(True)).alias("_in")
     rows = df.select(id, flag, tokens.alias("tokens")).select(id, "_in", F.size("tokens").alias("_len"), *counts)
@@ -94,7 +96,7 @@ def sparse_top_k(df: DataFrame, query: str, k: int = POOL, *, id: str = "chunk_i
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         tf = F.col(f"_{i}")
         score = score - words.count(w) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("avg")))
-    top = both.select(id, score.alias("score")).orderBy("score", id).limit(k)
+    top = both.select(id, score.alias("score")).orderBy("score", id).limit(max(1, min(int(k), HIT_ROWS)))
     return ranked(top, [F.col("score"), F.col(id)])
 
 
@@ -102,10 +104,9 @@ def _equals(word: str):
     return lambda t: t == F.lit(word)
 
 
-def _words(query: str) -> list[str]:
-    import re
-
-    return re.findall(r"\w+", query.lower())
+def query_words(query: str) -> list[str]:
+    """The query's words, by the rule that texts are cut by."""
+    return regex.findall(T.SEARCH_WORD, query.lower())
 
 
 def rrf(lists: list[tuple[str, DataFrame]], *, id: str = "chunk_id", k: int = RRF_K) -> DataFrame:

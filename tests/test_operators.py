@@ -1,78 +1,200 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import asof, chunking, maintain, retrieval, select, windows
+from quarry.operators import asof, chunking, maintain, retrieval, select, text_index, windows
 
-MODEL, DIM = "m@768", 768
+MODEL, DIM = "hash/48", 48
+VOCABULARY = "amber basalt cedar delta ember fjord grove harbor inlet juniper kelp lagoon meadow nectar orchard prairie".split()
+PLATFORMS = ("youtube", "instagram", "tiktok")
 
 
-def vector(seed):
-    v = np.random.default_rng(seed).standard_normal(DIM).astype("float32")
-    return (v / np.linalg.norm(v)).tolist()
+def unit(rng):
+    v = rng.normal(size=DIM)
+    return (v / np.linalg.norm(v)).astype("float32").tolist()
 
 
-@pytest.fixture(scope="module")
-def vault(spark):
-    videos = spark.createDataFrame([("yt:abc123", "youtube", "Ten tools of a year", 600000, 1), ("ig:DEF456", "instagram", "Alpha demo", 60000, 2), ("tt:789xyz", "tiktok", "Tools I use", 29000, 3)], "video_id string, platform string, title string, duration_ms bigint, date_saved bigint")
-    rows = [(1, "yt:abc123", "youtube", "header", None, None, "Title / Channel", 1), (2, "yt:abc123", "youtube", "description", None, None, "a look at Alpha, Omega", 2), (3, "yt:abc123", "youtube", "body", 420000, 480000, "what I use every day is Alpha", 3), (4, "yt:abc123", "youtube", "body", 480000, 540000, "Omega would do as well", 4), (5, "ig:DEF456", "instagram", "header", None, None, "header", 5), (6, "ig:DEF456", "instagram", "body", 0, 30000, "make ai people", 6), (7, "tt:789xyz", "tiktok", "header", None, None, "header", 7), (8, "tt:789xyz", "tiktok", "body", 0, 29000, "the ai tools I use", 8)]
-    chunks = spark.createDataFrame([(*r[:7], MODEL, vector(r[7])) for r in rows], "chunk_id bigint, video_id string, platform string, chunk_type string, chunk_start_ms bigint, chunk_end_ms bigint, chunk_text string, model_version string, embedding array<float>")
-    return videos, chunks.cache()
+def library(seed=41, videos=7):
+    """Rows of a made-up collection: (videos, chunks, frames)."""
+    rng = np.random.default_rng(seed)
+    people, parts, frames = [], [], []
+    for i in range(videos):
+        name, platform = f"v{i:02d}", PLATFORMS[i % 3]
+        length = int(rng.integers(12, 200)) * 1000
+        people.append((name, platform, " ".join(rng.choice(VOCABULARY, 3)), length, 1000 + i))
+        kinds = ["header", "description"] + ["body"] * int(rng.integers(1, 6))
+        cuts = sorted(rng.integers(0, length, 2 * kinds.count("body")).tolist())
+        for k, kind in enumerate(kinds):
+            at = cuts[2 * (k - 2) : 2 * (k - 2) + 2] if kind == "body" else (None, None)
+            parts.append((100 * i + k, name, platform, kind, *at, " ".join(rng.choice(VOCABULARY, int(rng.integers(3, 15)))), MODEL if rng.random() < 0.9 else "old/48", unit(rng)))
+        if i != 4:  # one video without frames
+            frames += [(10_000 + 50 * i + k, name, platform, int(t), unit(rng)) for k, t in enumerate(sorted(set(rng.integers(0, length, 6).tolist())))]
+    return people, parts, frames
 
 
-def test_dense_top_k(vault):
-    _, chunks = vault
-    got = retrieval.dense_top_k(chunks, vector(3), 3).collect()
-    assert got[0]["chunk_id"] == 3 and got[0]["distance"] == pytest.approx(0, abs=1e-6) and [r["rank"] for r in got] == [1, 2, 3]
-    assert {r["chunk_id"] for r in retrieval.dense_top_k(chunks, vector(3), 50, platform="tiktok").collect()} == {7, 8}
-    assert retrieval.dense_top_k(chunks, vector(3), 50, model_version="other").count() == 0
-    assert retrieval.dense_top_k(chunks, [1.0, 2.0], 50).count() == 0
+PEOPLE, PARTS, FRAMES = library()
+DURATION = {v[0]: v[3] for v in PEOPLE}
 
 
-def test_sparse_top_k(vault):
-    _, chunks = vault
-    got = [r["chunk_id"] for r in retrieval.sparse_top_k(chunks, "Alpha?", 50).collect()]
-    assert set(got) == {2, 3}
-    assert [r["chunk_id"] for r in retrieval.sparse_top_k(chunks, "alpha ai", 50, where=F.col("platform") == "instagram").collect()] == [6]
-    assert retrieval.sparse_top_k(chunks, "---", 50).count() == 0
+def cosine_distance(a, b):
+    a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
+    return 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
 
 
-def ranks(spark, ids):
-    return spark.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "chunk_id bigint, rank int")
+def capped(ordered, group, most):
+    seen, out = {}, []
+    for x in ordered:
+        seen[group(x)] = seen.get(group(x), 0) + 1
+        if seen[group(x)] <= most:
+            out.append(x)
+    return out
 
 
-def test_rrf_prefers_what_both_lists_have(spark):
-    got = retrieval.rrf([("dense", ranks(spark, [9, 1, 2, 3])), ("sparse", ranks(spark, [9, 4, 5, 6]))]).orderBy(*retrieval.fused_order("chunk_id")).collect()
-    assert len(got) == 7 and got[0]["chunk_id"] == 9 and got[0]["score"] == pytest.approx(2 / 61)
-    assert [r["chunk_id"] for r in got[1:3]] == [1, 4] and got[2]["dense_rank"] is None
+@pytest.fixture(scope="module")
+def stored(spark):
+    videos = spark.createDataFrame(PEOPLE, "video_id string, platform string, title string, duration_ms bigint, date_saved bigint")
+    chunks = spark.createDataFrame(PARTS, "chunk_id bigint, video_id string, platform string, chunk_type string, chunk_start_ms bigint, chunk_end_ms bigint, chunk_text string, model_version string, embedding array<float>")
+    frames = spark.createDataFrame(FRAMES, "frame_id bigint, video_id string, platform string, frame_ms bigint, embedding array<float>")
+    return videos, chunks.cache(), frames.cache()
+
+
+@pytest.mark.parametrize("platform,k", [(None, 5), ("tiktok", 50), (None, 1)])
+def test_dense_top_k(stored, platform, k):
+    _, chunks, _ = stored
+    query = unit(np.random.default_rng(5))
+    want = sorted((cosine_distance(p[8], query), p[0]) for p in PARTS if platform in (None, p[2]))[:k]
+    got = retrieval.dense_top_k(chunks, query, k, platform=platform).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == [i for _, i in want] and [r["rank"] for r in got] == list(range(1, len(want) + 1))
+    assert [r["distance"] for r in got] == pytest.approx([d for d, _ in want], abs=1e-6)
+
+
+def test_dense_top_k_of_a_model(stored):
+    _, chunks, _ = stored
+    query = PARTS[3][8]
+    near = sorted((cosine_distance(p[8], query), p[0], p[7]) for p in PARTS)[:6]
+    cut = lambda **kw: [r["chunk_id"] for r in retrieval.dense_top_k(chunks, query, 6, model_version=MODEL, **kw).orderBy("rank").collect()]
+    assert cut() == [i for _, i, m in near if m == MODEL]
+    assert cut(prefilter=True) == [i for _, i in sorted((cosine_distance(p[8], query), p[0]) for p in PARTS if p[7] == MODEL)[:6]]
+    assert retrieval.dense_top_k(chunks, query, 9, model_version="none").count() == 0 and retrieval.dense_top_k(chunks, query[:-1], 9).count() == 0
+
+
+def bm25(rows, query):
+    """[(score, id)] in order, by a loop over (id, text)."""
+    words = query.lower().replace("?", " ").replace("_", " ").split()
+    bags = {i: t.lower().split() for i, t in rows}
+    mean = sum(map(len, bags.values())) / len(bags)
+    scores = {}
+    for w in words:
+        df = sum(w in b for b in bags.values())
+        idf = math.log((len(bags) - df + 0.5) / (df + 0.5))
+        for i, b in bags.items():
+            if w in b:
+                tf = b.count(w)
+                scores[i] = scores.get(i, 0) - (idf if idf > 0 else 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(b) / mean))
+    return sorted((s, i) for i, s in scores.items())
+
+
+@pytest.mark.parametrize("query", ["Fjord?", "kelp_kelp lagoon", "cedar nowhere ember"])
+def test_sparse_top_k(spark, stored, tmp_path, query):
+    _, chunks, _ = stored
+    want = bm25([(p[0], p[6]) for p in PARTS], query)
+    got = retrieval.sparse_top_k(chunks, query, 50).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == [i for _, i in want] and [r["score"] for r in got] == pytest.approx([s for s, _ in want])
+    some = {p[0] for p in PARTS if p[2] == "instagram"}
+    assert [r["chunk_id"] for r in retrieval.sparse_top_k(chunks, query, 50, where=F.col("platform") == "instagram").orderBy("rank").collect()] == [i for _, i in want if i in some]
+    text_index.build_index(chunks, f"{tmp_path}/index")
+    stored_hits = text_index.search_index(spark, f"{tmp_path}/index", query).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in stored_hits] == [i for _, i in want] and [r["score"] for r in stored_hits] == pytest.approx([s for s, _ in want])
+
+
+def test_queries_without_words(spark, stored, tmp_path):
+    _, chunks, _ = stored
+    text_index.build_index(chunks, f"{tmp_path}/index")
+    assert retrieval.sparse_top_k(chunks, "-- _ !", 50).count() == 0 and text_index.search_index(spark, f"{tmp_path}/index", "-- _ !").count() == 0
+
+
+def test_one_rule_cuts_query_and_text(spark):
+    composed, parted = "caf\u00e9", "cafe\u0301"
+    df = spark.createDataFrame([(1, f"x {composed}"), (2, f"{parted} y_z"), (3, "none")], "chunk_id bigint, chunk_text string")
+    hits = lambda q: {r["chunk_id"] for r in retrieval.sparse_top_k(df, q, 9).collect()}
+    assert hits(composed) == {1} and hits(parted) == {2} and hits("z") == {2} and hits("y_z") == {2}
+
+
+def test_sync_index(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    rows = spark.createDataFrame([(1, "a b"), (2, "b c")], "chunk_id bigint, chunk_text string")
+    assert [text_index.sync_index(rows, path) for _ in range(2)] == [0, 0]
+    more = rows.unionByName(spark.createDataFrame([(3, "c c")], rows.schema))
+    assert text_index.sync_index(more, path) == 1 and text_index.newest(spark, path) == 1
+    assert {r["chunk_id"] for r in text_index.search_index(spark, path, "c").collect()} == {2, 3}
+    assert {r["chunk_id"] for r in text_index.search_index(spark, path, "c", version=0).collect()} == {2}
+    changed = more.withColumn("chunk_text", F.when(F.col("chunk_id") == 3, "a").otherwise(F.col("chunk_text")))
+    assert text_index.sync_index(changed, path) == 2 and {r["chunk_id"] for r in text_index.search_index(spark, path, "a").collect()} == {1, 3}
 
 
-def test_hybrid_caps_each_video(spark, vault):
-    _, chunks = vault
-    got = retrieval.hybrid_search(chunks, [("dense", ranks(spark, [1, 2, 3, 4, 6, 99]))]).collect()
-    assert [r["chunk_id"] for r in got] == [1, 2, 6]
+def ranks(spark, ids):
+    return spark.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "chunk_id bigint, rank int")
 
 
-def test_find_similar(vault):
-    _, chunks = vault
-    got = [r["video_id"] for r in retrieval.find_similar(chunks, "yt:abc123", 10, model_version=MODEL, dim=DIM).collect()]
-    assert set(got) == {"ig:DEF456", "tt:789xyz"}
+def fuse(dense, sparse):
+    """[(id, score)] of two lists by reciprocal ranks; ties go to the list and place an id came from first."""
+    score, first = {}, {}
+    for place, ids in enumerate((dense, sparse)):
+        for r, i in enumerate(ids, 1):
+            score[i] = score.get(i, 0) + 1 / (60 + r)
+            first.setdefault(i, (place, r))
+    return sorted(score.items(), key=lambda x: (-x[1], first[x[0]], x[0]))
+
+
+def test_fusion_and_caps(spark, stored):
+    _, chunks, _ = stored
+    rng = np.random.default_rng(17)
+    ids = [p[0] for p in PARTS] + [77_777]  # one id is of no chunk
+    dense, sparse = rng.permutation(ids)[:20].tolist(), rng.permutation(ids)[:20].tolist()
+    want = fuse(dense, sparse)
+    lists = [("dense", ranks(spark, dense)), ("sparse", ranks(spark, sparse))]
+    got = retrieval.rrf(lists).orderBy(*retrieval.fused_order("chunk_id")).collect()
+    assert [r["chunk_id"] for r in got] == [i for i, _ in want] and [r["score"] for r in got] == pytest.approx([s for _, s in want])
+    assert all(r["dense_rank"] == (dense.index(r["chunk_id"]) + 1 if r["chunk_id"] in dense else None) for r in got)
+    video = {p[0]: p[1] for p in PARTS}
+    best = capped([i for i, _ in want if i in video], video.get, 2)[:15]
+    assert [r["chunk_id"] for r in retrieval.hybrid_search(chunks, lists).orderBy("place").collect()] == best
+
+
+def test_find_similar(stored):
+    _, chunks, _ = stored
+    for anchor in ("v00", "v05"):
+        own = [np.asarray(p[8], dtype=float) for p in PARTS if p[1] == anchor and p[3] == "body" and p[7] == MODEL]
+        heads = sorted((cosine_distance(p[8], np.mean(own, axis=0)), p[0], p[1], p[7]) for p in PARTS if p[3] == "header")
+        want = [v for _, _, v, m in heads if v != anchor and m == MODEL]
+        assert [r["video_id"] for r in retrieval.find_similar(chunks, anchor, 10, model_version=MODEL, dim=DIM).collect()] == want
     assert retrieval.find_similar(chunks, "none", 10, model_version=MODEL, dim=DIM).count() == 0
 
 
-def test_search_frames(spark, vault):
-    videos, _ = vault
-    frames = spark.createDataFrame([(1, "yt:abc123", "youtube", 10000, vector(1)), (2, "yt:abc123", "youtube", 20000, vector(2)), (3, "ig:DEF456", "instagram", 15000, vector(3)), (4, "tt:789xyz", "tiktok", 12000, vector(4))], "frame_id bigint, video_id string, platform string, frame_ms bigint, embedding array<float>")
-    assert retrieval.search_frames(frames, videos, vector(2)).first()["frame_id"] == 2
-    top = retrieval.search_frames(frames, videos, vector(3)).first()
-    assert (top["video_id"], top["frame_label"]) == ("ig:DEF456", "[0:15]")
+def test_search_frames(stored):
+    videos, _, frames = stored
+    query = unit(np.random.default_rng(23))
+    near = capped(sorted((cosine_distance(f[4], query), f[0], f[1], f[3]) for f in FRAMES), lambda f: f[2], 3)[:10]
+    got = retrieval.search_frames(frames, videos, query).orderBy(F.col("score").desc()).collect()
+    assert [r["frame_id"] for r in got] == [f[1] for f in near]
+    assert [r["frame_label"] for r in got] == [f"[{f[3] // 60_000}:{f[3] // 1000 % 60:02d}]" for f in near]
 
 
-def test_frames_for_chunks(spark, vault):
-    videos, chunks = vault
-    frames = spark.createDataFrame([(v, i, ms) for v in ("yt:abc123", "ig:DEF456", "tt:789xyz") for i, ms in enumerate((0, 438000, 468000))], "video_id string, frame_id bigint, frame_ms bigint")
+def test_frames_for_chunks(stored):
+    videos, chunks, frames = stored
     got = {r["chunk_id"]: r["frame_ids"] for r in asof.frames_for_chunks(chunks.join(videos.select("video_id", "duration_ms"), "video_id"), frames).collect()}
-    assert got[3] == [1, 2] and got[8] == [0] and got[1] == [] and got[2] == []
+    for cid, video, _, kind, start, end, *_ in PARTS:
+        own = [(f[3], f[0]) for f in FRAMES if f[1] == video]
+        want = []
+        if kind == "body" and own:
+            middle = (start + end) // 2 if end > start else start
+            nearest = lambda t: min(own, key=lambda f: (abs(f[0] - t), -f[0]))[1]
+            want = [nearest(middle)]
+            if DURATION[video] >= 30_000 and nearest(middle + 10_000) != want[0]:
+                want.append(nearest(middle + 10_000))
+        assert got[cid] == want
 
 
 def test_asof_against_brute_force(spark):
@@ -182,7 +304,9 @@ def test_library(spark):
     frames = embed_column(spark.createDataFrame([(1, "yt:a", "youtube", 10000, "p1"), (2, "yt:a", "youtube", 30000, "p2"), (3, "tt:b", "tiktok", 5000, "p3")], "frame_id bigint, video_id string, platform string, frame_ms bigint, frame_path string"), "frame_path", e)
     lib = Library(videos, chunks, frames, e)
     got = lib.search("bread").collect()
-    assert got[0]["video_id"] == "yt:a" and {r["chunk_id"]: r["frame_ids"] for r in got}[2] == [1, 2]
+    assert got[0]["video_id"] == "yt:a" and {r["chunk_id"]: r["frame_ids"] for r in got}[2] == [2]  # on a tie the later frame, which is the nearest ten seconds on as well
+    late = Library(videos, chunks.withColumn("chunk_end_ms", F.when(F.col("chunk_id") == 2, 26_000).otherwise(F.col("chunk_end_ms"))), frames, e)
+    assert {r["chunk_id"]: r["frame_ids"] for r in late.search("bread").collect()}[2] == [1, 2]
     assert {r["video_id"] for r in lib.search("bread", platform="tiktok").collect()} == {"tt:b"}
     assert {r["video_id"] for r in lib.search("bread", since_iso="1970-01-01T00:00:00.015Z").collect()} == {"tt:b"}
     assert lib.search_frames("p3", 1).first()["frame_id"] == 3
