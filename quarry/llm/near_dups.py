@@ -13,15 +13,21 @@ text one partner, the one of its buckets' leads that it meets most often; texts
 found similar become one class, and later rounds and buckets know a class by
 one of its texts.  So a round verifies no more pairs than there are texts.
 What buckets
-of several classes are left is finished exactly, by prefixes: with elements in
-one order for all, rarest first, two texts of similarity 0.8 have an element in
-common among the first fifth of each, so only texts that share such an element
-are compared, however much text a template gives them all.  A large class meets
-the others of all its elements at once.  Members are dealt into blocks; a task
-compares the texts of two blocks and returns no more links than join their
-classes.  So each pair that shares a bucket is compared or already in one
-class, and none is lost but those that share no bucket.  Every link is verified
-on the whole texts.  Classes are connected components.
+of several classes are left is finished exactly.  Members are dealt into
+blocks; a task compares the texts of two blocks and returns no more links than
+join their classes; blocks of the largest class meet those of the others only.
+So each pair that shares a bucket is compared or already in one class, and none
+is lost but those that share no bucket.
+
+Blocks cost the square of a bucket, so two kinds of crowd are first made small,
+without any loss.  A class of over ``CROWD`` texts lies in many buckets that are
+nearly alike: it meets the others of all of them at once.  A bucket with over
+``CROWD`` texts outside its largest class (a template that much text shares) is
+parted by prefixes: with elements in one order for all, rarest first, two texts
+of similarity 0.8 have an element in common among the first fifth of each, so
+only texts that share such an element are compared.  Below that size blocks
+move less.  Every link is verified on the whole texts.  Classes are connected
+components.
 
 Defined results: equal texts are one class, the empty text (and null) among
 them; a text of fewer than five words is one shingle of all its words; a text
@@ -54,9 +60,11 @@ DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
 #: Pairs with one partner that one task verifies.
 PARTNER_SHARE = 512
 #: Rounds with one partner for each text, before what is left is finished exactly.
-PARTNER_ROUNDS = 3
+PARTNER_ROUNDS = 5
 #: Texts and bytes of a block, about, and elements whose overlaps are counted at a time.
 BLOCK_ROWS, BLOCK_BYTES, ELEMENTS = 256, 4 << 20, 4_096
+#: Texts of a class or of a bucket's lesser classes from which on blocks cost more than parting them.
+CROWD = 4_096
 #: Cells in which elements are counted to order them: a fixed size, whatever the corpus.
 CELLS = 1 << 18
 
@@ -302,8 +310,10 @@ def _by_class(now: DataFrame, spent: list[DataFrame]) -> DataFrame:
     A large class lies in many buckets that are nearly alike; so its texts meet
     what else is there once, not once a bucket.
     """
-    large = materialize(now.select("class", "node").distinct().groupBy("class").count().where(F.col("count") > BLOCK_ROWS).select("class"), "large")
+    large = materialize(now.select("class", "node").distinct().groupBy("class").count().where(F.col("count") > CROWD).select("class"), "large")
     spent.append(large)
+    if large.isEmpty():
+        return now
     there = now.join(large, "class").select("key", F.col("class").alias("large")).distinct()
     other = now.join(there, "key").where("class != large").select("large", "node", "class", "bytes")
     own = now.join(large, "class").select(F.col("class").alias("large"), "node", "class", "bytes")
@@ -311,16 +321,25 @@ def _by_class(now: DataFrame, spent: list[DataFrame]) -> DataFrame:
     return now.join(large, "class", "left_anti").select("key", "node", "class", "bytes").unionByName(groups)
 
 
-def _finished(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
-    """Links (u, v) of all similar texts of different classes among those of rows (key, node, class); spent gets what it writes.
-
-    It looks at all texts of buckets that are still open, and so at every pair that shares one.
-    """
-    heads = materialize(prefixes(texts.join(now.select("node", "class").distinct(), "node")), "heads")
+def _parted(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """Rows (key, node, class, bytes) with buckets of many texts outside their largest class parted by prefixes."""
+    kinds = now.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    many = materialize(kinds.where(F.col("n") - F.col("top") > CROWD).select("key"), "crowds")
+    spent.append(many)
+    if many.isEmpty():
+        return now
+    inside = materialize(now.join(many, "key", "left_semi").select("node", "class").distinct(), "crowd-texts")
+    heads = materialize(prefixes(texts.join(inside, "node")), "heads")
+    spent += [inside, heads]
     several = heads.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
-    rows = materialize(heads.join(several, "key", "left_semi"), "shared")
-    spent += [heads, rows]
-    rows = _by_class(rows, spent)
+    return now.join(many, "key", "left_anti").unionByName(heads.join(several, "key", "left_semi"))
+
+
+def _finished(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """Links (u, v) of all similar texts of different classes that share a bucket, for rows (key, node, class); spent gets what it writes."""
+    rows = materialize(now.join(texts.select("node", F.octet_length("text").cast("bigint").alias("bytes")), "node").select("key", "node", "class", "bytes"), "open")
+    spent.append(rows)
+    rows = _parted(_by_class(rows, spent), texts, spent)
     # Buckets of the same texts are finished once.
     same = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g"))
     rows = rows.join(same.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")

@@ -281,7 +281,9 @@ def template_family(groups=4, large=250):
     return rows
 
 
-def test_similar_texts_in_a_crowded_bucket(spark):
+@pytest.mark.parametrize("crowd", [near_dups.CROWD, 40])
+def test_similar_texts_in_a_crowded_bucket(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_dups, "CROWD", crowd)
     rows = template_family()
     got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "class_id", "class_size").collect()
     want = [x for g in range(4) for x in true_classes([r for r in rows if r[0] // 1000 == g])]
@@ -355,10 +357,11 @@ def test_strings_that_defeat_powers_of_two_are_told_apart(spark):
     assert {r["class_id"] for r in near_dups.near_duplicates(spark.createDataFrame(pair, "doc_id bigint, text string")).collect()} == {0, 1}
 
 
-@pytest.mark.parametrize("block", [256, 7])
-def test_finished_buckets_equal_brute_force(spark, monkeypatch, block):
-    """Without partners all is left to the blocks, also those of several blocks and of classes already joined."""
+@pytest.mark.parametrize("block,crowd", [(256, 4096), (7, 4096), (7, 10), (256, 20)])
+def test_finished_buckets_equal_brute_force(spark, monkeypatch, block, crowd):
+    """Without partners all is left to the blocks, also those of several blocks, of classes already joined, and of parted crowds."""
     monkeypatch.setattr(near_dups, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_dups, "CROWD", crowd)
     rows = [(i, " ".join(["a b c d e f g h"] * (i % 3) + [f"w{i % 4}.{k // (1 + i % 5)}" for k in range(40)])) for i in range(40)]
     bags = [shingles(t) for _, t in rows]
     node = lambda i: bytes([i])
