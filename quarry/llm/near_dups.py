@@ -62,7 +62,7 @@ PARTNER_SHARE = 512
 #: Rounds with one partner for each text, before what is left is finished exactly.
 PARTNER_ROUNDS = 5
 #: Texts and bytes of a block, about, and elements whose overlaps are counted at a time.
-BLOCK_ROWS, BLOCK_BYTES, ELEMENTS = 256, 4 << 20, 4_096
+BLOCK_ROWS, BLOCK_BYTES, ELEMENTS = 512, 4 << 20, 4_096
 #: Texts of a class or of a bucket's lesser classes from which on blocks cost more than parting them.
 CROWD = 4_096
 #: Cells in which elements are counted to order them: a fixed size, whatever the corpus.
