@@ -132,9 +132,10 @@ def _joint(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[float, float, f
 def co_train(content: Sparse, metadata: Sparse, y: np.ndarray, *, rounds: int = ROUNDS, share: float = SHARE, seed: int = 3) -> CoTrained | None:
     """y is 1, 0 or -1 (not labelled)."""
     labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    held = np.random.default_rng(seed).random(len(labelled)) < HELD_OUT
-    fit, held = labelled[~held], labelled[held]
-    if len(np.unique(y[fit])) < 2 or len(np.unique(y[held])) < 2:
+    part = np.random.default_rng(seed).random(len(labelled))
+    # Some rows say how sure a view may be of its pseudo-labels, others calibrate and weigh the views at the end.
+    fit, gate, held = labelled[part >= HELD_OUT], labelled[part < HELD_OUT / 2], labelled[(part >= HELD_OUT / 2) & (part < HELD_OUT)]
+    if any(len(np.unique(y[rows])) < 2 for rows in (fit, gate, held)):
         return None
     views = [(content, Views.width, 0.3), (metadata, META_BUCKETS + 1, 1.0)]
     known: list[tuple[np.ndarray, np.ndarray]] = [(fit, y[fit].astype(float))] * 2
@@ -147,8 +148,8 @@ def co_train(content: Sparse, metadata: Sparse, y: np.ndarray, *, rounds: int =
         taken = []
         for me in (0, 1):
             x = views[me][0]
-            base = x.dot(weights[me])[held]
-            slope, offset = platt(base, y[held].astype(float))
+            base = x.dot(weights[me])[gate]
+            slope, offset = platt(base, y[gate].astype(float))
             p = 1 / (1 + np.exp(-np.clip(slope * x.dot(weights[me])[pool] + offset, -40, 40)))
             order = np.argsort(p, kind="stable")
             many = max(1, int(share * len(pool)))
@@ -178,7 +179,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS,
     ours = labelled_sample(base, labels.select("doc_id", "quality"), ["quality"], fit_rows)
     other = base.where(F.col("doc_id").isNotNull()).select("doc_id").join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
     other = other.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows)  # bounded: safe to broadcast
-    pool = base.join(F.broadcast(other), "doc_id").withColumn("quality", F.lit(-1))
+    pool = base.join(F.broadcast(other), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64(*COLUMNS)).limit(pool_rows).withColumn("quality", F.lit(-1))
     both = ours.select(*COLUMNS, "quality").unionByName(pool.select(*COLUMNS, "quality"))
     made: list[Views] = []
 

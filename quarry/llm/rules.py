@@ -233,10 +233,13 @@ def verdict(rules: list[tuple[Condition, ...]]) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int) -> DataFrame:
-    """docs rows of at most ``limit`` labelled ids (least label of an id counts), with ``columns`` of labels."""
+    """At most ``limit`` rows of docs that have a label (least label of an id counts), with ``columns`` of labels."""
     ids = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(*(F.min(F.col(c).cast("int")).alias(c) for c in columns))
     ids = ids.dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # bounded: safe to broadcast
-    return docs.join(F.broadcast(ids), "doc_id")
+    found = docs.join(F.broadcast(ids), "doc_id")
+    # An id may have any number of rows: the limit holds for rows too, the same ones every time.
+    mark = F.xxhash64(*found.columns)
+    return found.orderBy(F.xxhash64("doc_id"), mark).limit(limit)
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> list[tuple[Condition, ...]]:

@@ -9,7 +9,8 @@ The table is a fixed parameter, ``TABLE_SIZE`` entries of one small number,
 whatever the data's size, so it is broadcast.
 
 Defined results: a null key goes to the slot of its own hash value; repeated
-keys land together; an empty table gives an empty result; other columns pass.
+keys land together; an empty table gives an empty result; other columns pass, but a table that
+has a column ``slot`` or ``shard`` is refused.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ def lookup_table(names: list[str], size: int = TABLE_SIZE) -> np.ndarray:
 
 
 def place(df: DataFrame, keys: list[str], names: list[str], *, size: int = TABLE_SIZE) -> DataFrame:
-    """df with slot and shard (an index into names)."""
+    """df with slot and shard (an index into names); columns of df with these names, in any case, are refused."""
+    if {c.lower() for c in df.columns} & {"slot", "shard"}:
+        raise ValueError("df has a column slot or shard already; rename it first")
     spark = df.sparkSession
     table = lookup_table(names, size)
     slots = spark.createDataFrame([(i, int(s)) for i, s in enumerate(table)], "slot long, shard int")

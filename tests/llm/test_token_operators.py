@@ -291,6 +291,10 @@ def test_lookup_table_is_even_and_steady():
         sharding.lookup_table(names, 2004)
 
 
+def mixing_hash(doc_id):
+    return 42 if doc_id is None else spark_hash((doc_id,))
+
+
 def test_rows_are_placed(spark, edge, empty, tmp_path):
     names = sharding.shard_names(5)
     table = sharding.lookup_table(names, 101)
@@ -298,6 +302,11 @@ def test_rows_are_placed(spark, edge, empty, tmp_path):
     assert len(got) == edge.count() and all(table[r["slot"]] == r["shard"] for r in got)
     assert len({r["shard"] for r in got if r["doc_id"] == 12}) == 1
     assert sharding.place(empty, ["doc_id"], names, size=101).count() == 0
+    want = np.array([table[mixing_hash(r[0]) % 101] for r in edge_rows()])
+    assert sorted(np.bincount(want, minlength=5).tolist()) == sorted(np.bincount([r["shard"] for r in got], minlength=5).tolist())
+    for clash in ("slot", "Shard"):
+        with pytest.raises(ValueError):
+            sharding.place(edge.withColumn(clash, F.lit(1)), ["doc_id"], names, size=101)
     sharding.write_shards(edge.select("doc_id", "text"), ["doc_id"], names, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == edge.count()
 
@@ -321,6 +330,15 @@ def test_co_training_on_held_out_rows(spark):
     assert np.mean([(r["metadata_score"] > 0.7) == bool(g) for r, g in late]) > 0.75
 
 
+def test_fits_stay_bounded_when_ids_repeat(spark):
+    from quarry.llm.rules import labelled_sample
+
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = spark.createDataFrame([(7, 1)], "doc_id bigint, quality int")
+    some = [sorted(r["text"] for r in labelled_sample(docs, labels, ["quality"], 10).collect()) for _ in range(2)]
+    assert len(some[0]) == 10 and some[0] == some[1]
+
+
 def test_scores_of_awkward_rows(edge, empty, labels):
     assert cotrain.fit_quality(edge, labels) is None
     assert {r["score"] for r in cotrain.score(edge, None).collect()} == {0.5}
