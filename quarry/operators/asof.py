@@ -85,3 +85,27 @@ def even_sample(rows: DataFrame, by: list[str], order: list[Column], cap: int) -
     numbered = rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1)
     picks = F.when(F.lit(cap) <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(max(cap - 1, 0))), lambda i: F.bround(i * (n - 1) / F.lit(max(cap - 1, 1))).cast("long")))
     return numbered.where((n <= cap) | F.array_contains(picks, F.col("_i").cast("long"))).drop("_n", "_i")
+
+
+def locate_frames(targets: DataFrame, segments: DataFrame, samples: DataFrame) -> DataFrame:
+    """(video_id, target_id, segment, sample) of targets (video_id, target_id, pts).
+
+    segments has (video_id, segment, pts), samples (video_id, segment, sample,
+    pts).  A target lies in the last segment that begins at or before it, else
+    in the first; there the first sample in order of decoding that is shown at
+    or after it counts, else the last one, and none where the segment has none.
+    """
+    starts = segments.groupBy("video_id", "pts").agg(F.max("segment").alias("segment"))
+    placed = backward(targets.select("video_id", "target_id", F.col("pts").alias("at")), starts.select("video_id", F.col("pts").alias("start"), "segment"), key="video_id", left_time="at", right_time="start", right_id="segment")
+    rows = placed.where(F.col("match_id").isNotNull()).select("video_id", F.col("match_id").alias("segment"), F.col("at").alias("pts"), "target_id", F.lit(None).cast(samples.schema["sample"].dataType).alias("sample"), F.lit(True).alias("_asked"))
+    kept = samples.join(rows.select("video_id", "segment").distinct(), ["video_id", "segment"], "left_semi")
+    both = rows.unionByName(kept.select("video_id", "segment", "pts", F.lit(None).cast(targets.schema["target_id"].dataType).alias("target_id"), "sample", F.lit(False).alias("_asked")))
+    own = Window.partitionBy("video_id", "segment")
+    ahead = F.min("sample").over(own.orderBy(F.col("pts").desc(), "_asked").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_s", F.coalesce(ahead, F.max("sample").over(own))).where("_asked").select("video_id", "target_id", "segment", F.col("_s").alias("sample"))
+
+
+def segment_jobs(located: DataFrame) -> DataFrame:
+    """(video_id, segment, targets, last_sample): what to load of each segment; targets are those a user asked of it."""
+    point = F.struct("target_id", "sample")
+    return located.groupBy("video_id", "segment").agg(F.array_sort(F.collect_list(point)).alias("targets"), F.max("sample").alias("last_sample"))

@@ -90,3 +90,42 @@ def screen_lines(lines: DataFrame, *, least_confidence: float = 0.4, least_lengt
     norm = T.normalized(F.col("text"))
     other = lambda c: T.normalized(F.coalesce(F.col(c), F.lit("")))
     return lines.where((F.col("confidence") >= least_confidence) & (F.length(norm) >= least_length) & (norm != other("title")) & (norm != other("channel")) & ~F.contains(other("transcript"), norm))
+
+
+#: Long edges of the heights that a user may ask for; any other counts as 1080.
+LONG_EDGES = {720: 1280, 1080: 1920, 1440: 2560, 2160: 3840}
+
+
+def long_edge(width: Column, height: Column, target: Column | int) -> Column:
+    """The long edge to save at: the target's, or the source's own where that is known and smaller."""
+    target = target if isinstance(target, Column) else F.lit(target)
+    cap = F.lit(LONG_EDGES[1080])
+    for asked, edge in LONG_EDGES.items():
+        cap = F.when(target == asked, F.lit(edge)).otherwise(cap)
+    source = F.greatest(width, height)
+    return F.when(F.coalesce(source, F.lit(0)) <= 0, cap).otherwise(F.least(source, cap))
+
+
+def output_size(width: Column, height: Column, most: Column | int) -> Column:
+    """struct<width, height> of the same aspect with no edge over most; never larger than the source, and the source's own where most is not positive."""
+    most = most if isinstance(most, Column) else F.lit(most)
+    w, h = F.abs(width).cast("double"), F.abs(height).cast("double")
+    scale = F.when((most > 0) & (F.greatest(w, h) > most), most / F.greatest(w, h)).otherwise(F.lit(1.0))
+    return F.struct(F.round(w * scale).cast("int").alias("width"), F.round(h * scale).cast("int").alias("height"))
+
+
+def pick_video(bitrates: Column, direct: Column, *, own_host: str = "www.tiktok.com") -> Column:
+    """The address to load of array<struct<codec, urls>>, null where none is usable.
+
+    Entries count by codec, in their own order among equals: H.264, then HEVC,
+    then unknown ones, never the kind that does not play.  Of the first entry
+    that has an https address outside the platform's own host that address is
+    taken, if it is its first such; else the direct one, if it is https.
+    """
+    codec = lambda b: F.lower(F.coalesce(b["codec"], F.lit("")))
+    rank = lambda b: F.when(codec(b).rlike("h264"), 0).when(codec(b).rlike("bytevc1|hevc"), 1).when(~codec(b).rlike("bytevc2"), 2)
+    first = lambda b: F.get(F.filter(b["urls"], lambda u: ~F.contains(u, F.lit(own_host))), F.lit(0))
+    secure = lambda u: F.coalesce(F.startswith(F.lower(u), F.lit("https://")), F.lit(False))
+    ranked = F.transform(bitrates, lambda b, i: F.struct(rank(b).alias("rank"), i.alias("place"), first(b).alias("url")))
+    usable = F.array_sort(F.filter(ranked, lambda r: r["rank"].isNotNull() & secure(r["url"])))
+    return F.coalesce(F.get(usable, F.lit(0))["url"], F.when(secure(direct), direct))

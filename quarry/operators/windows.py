@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -38,25 +39,32 @@ def drop_held(df: DataFrame, by: list[str], order: list[str], text: str) -> Data
 def drop_near(df: DataFrame, by: str, order: str, vector: str, threshold: float = 0.3) -> DataFrame:
     """Rows at least threshold (Euclidean) from the last kept row of their group; a row without a vector is kept and forgets it.
 
-    What is kept depends on all rows before, so this is a fold: one group is
-    one task's work, in order of ``order``.
+    What is kept depends on all rows before, so this is a fold in order of
+    ``order``: a group's rows pass through one task, which sorts them (and
+    spills) and holds a batch and the last kept vector only.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        last, keep = None, []
-        for v in frame[vector]:
-            if v is None:
-                keep.append(True)
-                last = None
-                continue
-            v = np.asarray(v, dtype=float)
-            far = last is None or len(last) != len(v) or float(np.linalg.norm(v - last)) >= threshold
-            keep.append(far)
-            last = v if far else last
-        return frame[np.array(keep, dtype=bool)] if keep else frame
-
-    return df.groupBy(by).applyInPandas(fold, StructType(df.schema.fields))
+    names = df.columns
+    at, vec = names.index(by), names.index(vector)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, begun = None, None, False
+        for batch in found:
+            column = batch.column(vec)
+            ends, valid = column.offsets.to_numpy(), column.is_valid().to_pylist()
+            flat = column.values.to_numpy(zero_copy_only=False).astype(float)
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for i, key in enumerate(batch.column(at).to_pylist()):
+                if not begun or key != group:
+                    group, last, begun = key, None, True
+                if not valid[i]:
+                    last = None
+                    continue
+                v = flat[ends[i] : ends[i + 1]]
+                keep[i] = last is None or len(last) != len(v) or float(np.linalg.norm(v - last)) >= threshold
+                last = v if keep[i] else last
+            yield batch.filter(pa.array(keep))
+
+    return df.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, df.schema)
 
 
 def batches(df: DataFrame, order: list[Column], size: int, by: list[str] | None = None) -> DataFrame:

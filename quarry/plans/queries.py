@@ -233,11 +233,11 @@ WITH s AS (SELECT a.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY li
 f AS (SELECT vec_id, min(r) FILTER (same) AS r FROM s GROUP BY vec_id)
 SELECT round(avg(CASE WHEN r <= 1 THEN 1 ELSE 0 END), 9) AS hit_at_1, round(avg(CASE WHEN r <= 5 THEN 1 ELSE 0 END), 9) AS hit_at_5 FROM f""")
 def hit_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """Queries are the vectors whose id 50 divides, against all; a hit shares the label."""
+    """Queries are the vectors whose id 50 divides, against all; a hit shares the label.  Each task shuffles a query's five best only."""
     rows = read(spark, sf, "embeddings")
     asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
     pairs = asked.join(rows, F.col("q") != F.col("vec_id")).select("q", (F.col("ql") == F.col("label")).alias("same"), V.cosine(F.col("qe"), F.col("embedding")).alias("c"), "vec_id")
-    placed = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("c").desc(), "vec_id"))).groupBy("q").agg(F.min(F.when(F.col("same"), F.col("r"))).alias("rank"))
+    placed = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("c").desc(), "vec_id"))).where("r <= 5").groupBy("q").agg(F.min(F.when(F.col("same"), F.col("r"))).alias("rank"))
     return retrieval.hit_rate(placed, [1, 5]).select(F.round("hit_at_1", 9).alias("hit_at_1"), F.round("hit_at_5", 9).alias("hit_at_5"))
 
 
@@ -489,6 +489,63 @@ def json_fields(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
+# --- frames of a stream, sizes, state ------------------------------------------------
+
+
+@query("""
+WITH t AS (SELECT event_id AS target_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error'),
+g AS (SELECT max(event_id) AS segment, user_id, epoch_us(ts) AS p FROM events WHERE event_type = 'view' GROUP BY ALL),
+w AS (SELECT t.*, g.segment, row_number() OVER (PARTITION BY target_id ORDER BY CASE WHEN p <= t THEN 0 ELSE 1 END, abs(p - t)) AS n FROM t JOIN g USING (user_id)),
+s AS (SELECT segment, i AS sample, p + (i * 2 % 3) * 3600000000 AS pts FROM g, range(3) r(i))
+SELECT target_id, w.segment, coalesce(min(sample) FILTER (pts >= t), max(sample)) AS sample FROM w JOIN s USING (segment) WHERE n = 1 GROUP BY target_id, w.segment""")
+def frame_locate(spark: SparkSession, sf: str) -> DataFrame:
+    """Views stand for segments, each with three samples whose times are out of order; errors are the targets."""
+    e = read(spark, sf, "events").select(F.col("user_id").alias("video_id"), "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("pts"))
+    segments = e.where("event_type = 'view'").groupBy("video_id", "pts").agg(F.max("event_id").alias("segment"))
+    samples = segments.select("video_id", "segment", "pts", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))).alias("sample"))
+    samples = samples.select("video_id", "segment", "sample", (F.col("pts") + F.col("sample") * 2 % 3 * 3_600_000_000).alias("pts"))
+    targets = e.where("event_type = 'error'").select("video_id", F.col("event_id").alias("target_id"), "pts")
+    return asof.locate_frames(targets, segments, samples).select("target_id", "segment", "sample")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size * 97 AS w, p_partkey % 41 * 90 AS h, [720, 1080, 1440, 2160, 480][p_partkey % 5 + 1] AS target FROM part),
+e AS (SELECT *, CASE target WHEN 720 THEN 1280 WHEN 1440 THEN 2560 WHEN 2160 THEN 3840 ELSE 1920 END AS cap FROM p),
+f AS (SELECT *, CASE WHEN greatest(w, h) <= 0 THEN cap ELSE least(greatest(w, h), cap) END AS edge FROM e),
+g AS (SELECT *, CASE WHEN greatest(w, h) > 1000 THEN 1000::DOUBLE / greatest(w, h) ELSE 1.0 END AS s FROM f)
+SELECT p_partkey, edge::INT AS edge, round(w * s)::INT AS width, round(h * s)::INT AS height FROM g""")
+def output_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "part").select("p_partkey", (F.col("p_size") * 97).alias("w"), (F.col("p_partkey") % 41 * 90).alias("h"), F.element_at(F.array(*(F.lit(t) for t in (720, 1080, 1440, 2160, 480))), (F.col("p_partkey") % 5 + 1).cast("int")).alias("target"))
+    size = select.output_size(F.col("w"), F.col("h"), 1000)
+    return rows.select("p_partkey", select.long_edge(F.col("w"), F.col("h"), F.col("target")).cast("int").alias("edge"), size["width"].alias("width"), size["height"].alias("height"))
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'begun' WHEN 'error' THEN 'failed' ELSE 'indexed' END AS state FROM events),
+b AS (SELECT user_id, max(event_id) AS f FROM l WHERE state = 'begun' GROUP BY ALL),
+e AS (SELECT l.user_id, arg_max(state, event_id) AS state, max(event_id) AS last FROM l JOIN b USING (user_id) WHERE l.state <> 'begun' AND event_id > f GROUP BY ALL)
+SELECT b.user_id, coalesce(e.state, 'indexing') AS state, e.last AS finished FROM b LEFT JOIN e USING (user_id)""")
+def index_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Views begin, errors fail, all other events finish."""
+    state = F.when(F.col("event_type") == "view", "begun").when(F.col("event_type") == "error", "failed").otherwise("indexed")
+    log = read(spark, sf, "events").select(F.col("user_id").alias("folder"), F.col("event_id").alias("seq"), state.alias("state"), F.col("event_type").alias("reason"), F.col("event_id").alias("at"))
+    return maintain.statuses(log).select(F.col("folder").alias("user_id"), "state", F.col("finished_at").alias("finished"))
+
+
+@query("""
+WITH v AS (SELECT doc_id, 'f' || (doc_id + CASE WHEN doc_id % 3 = 0 THEN 1000000 ELSE 0 END) AS folder FROM documents),
+d AS (SELECT doc_id, min('f' || doc_id) AS folder FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 > 0 GROUP BY ALL)
+SELECT v.doc_id, CASE WHEN v.folder NOT IN (SELECT folder FROM d) AND d.folder IS NOT NULL THEN d.folder ELSE v.folder END AS folder, v.folder NOT IN (SELECT folder FROM d) AND d.folder IS NOT NULL AS healed
+FROM v LEFT JOIN d USING (doc_id)""")
+def healed_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third document is stored with a folder that is not there; odd ones of them are found nowhere."""
+    docs = read(spark, sf, "documents").select("doc_id")
+    name = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    stored = docs.select(F.col("doc_id").alias("video_id"), name(F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 1_000_000).otherwise(0)).alias("folder"))
+    there = docs.where("doc_id % 2 = 0 OR doc_id % 3 > 0").select(F.col("doc_id").alias("video_id"), name(F.col("doc_id")).alias("folder"))
+    return maintain.heal_folders(stored, there).select(F.col("video_id").alias("doc_id"), "folder", "healed")
+
+
 # --- chunking ----------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -29,9 +29,17 @@ def write_notes(videos: DataFrame, path: str, *, short_form: bool = False) -> No
 
 
 def write_manifest(entries: DataFrame, path: str) -> None:
-    """Entries as one JSON array, newest first; a manifest is one document, so one task writes it."""
-    rows = entries.agg(F.sort_array(F.collect_list(F.struct(F.col("dateSaved").alias("_d"), F.struct(*entries.columns).alias("e"))), asc=False).alias("r"))
-    rows.select(F.to_json(F.transform("r", lambda x: x["e"]), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Entries that have an id and a folder inside the vault as one JSON array, newest first, an entry a line.
+
+    A manifest is one document, so one task writes it; it sorts with spilling
+    and holds no more than a row.
+    """
+    own = entries.where((F.coalesce("videoID", F.lit("")) != "") & ~F.coalesce(T.escapes_folder(F.col("folder")), F.lit(False)))
+    place = F.row_number().over(Window.orderBy(F.col("dateSaved").desc(), "videoID"))
+    line = F.concat(F.when(F.col("_n") == 1, "[").otherwise(","), F.to_json(F.struct(*entries.columns), {"ignoreNullFields": "false"}))
+    rows = own.withColumn("_n", place).select(line.alias("value"))
+    end = own.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, "[]").otherwise("]").alias("value"))
+    rows.unionAll(end).coalesce(1).write.mode("overwrite").text(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:

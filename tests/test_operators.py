@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import vectors as V
 from quarry.operators import asof, chunking, maintain, retrieval, select, text_index, windows
+from quarry.sources import sinks
 
 MODEL, DIM = "hash/48", 48
 VOCABULARY = "amber basalt cedar delta ember fjord grove harbor inlet juniper kelp lagoon meadow nectar orchard prairie".split()
@@ -315,3 +317,75 @@ def test_library(spark):
     assert [r["video_id"] for r in lib.list_videos().collect()] == ["tt:b", "yt:a"] and lib.get_video("yt:a").first()["frames"] == [10000, 30000]
     assert lib.get_transcript("yt:a").first()["chunk_text"].startswith("knead") and lib.stats().count() == 3
     assert truncated(list(range(300)))[-2:] == [254, 299]
+
+
+def test_pick_video_by_codec(spark):
+    urls = lambda *u: list(u)
+    rows = [
+        (1, [("bytevc1_x", urls("https://a/1")), ("H264_y", urls("https://www.tiktok.com/x", "https://a/2")), ("h264_z", urls("https://a/3"))], None),
+        (2, [("bytevc2", urls("https://a/4"))], "https://a/5"), (3, [("other", urls("ftp://a/6", "https://a/7")), ("hevc", None)], "http://a/8"), (4, None, None), (5, [(None, urls("https://a/9"))], "https://b"),
+    ]
+    df = spark.createDataFrame(rows, "id int, b array<struct<codec: string, urls: array<string>>>, d string")
+    got = {r["id"]: r["u"] for r in df.select("id", select.pick_video(F.col("b"), F.col("d")).alias("u")).collect()}
+    assert got == {1: "https://a/2", 2: "https://a/5", 3: None, 4: None, 5: "https://a/9"}
+
+
+def test_locate_frames_and_jobs(spark):
+    segments = spark.createDataFrame([("v", 0, 0), ("v", 1, 100), ("w", 0, 5)], "video_id string, segment int, pts bigint")
+    samples = spark.createDataFrame([("v", 0, 0, 0), ("v", 0, 1, 60), ("v", 0, 2, 30), ("v", 1, 0, 100), ("v", 1, 1, 130)], "video_id string, segment int, sample int, pts bigint")
+    targets = spark.createDataFrame([("v", 1, 20), ("v", 2, 70), ("v", 3, 130), ("v", 4, -5), ("w", 5, 1), ("x", 6, 1)], "video_id string, target_id int, pts bigint")
+    located = asof.locate_frames(targets, segments, samples)
+    assert sorted(map(tuple, located.collect())) == [("v", 1, 0, 1), ("v", 2, 0, 2), ("v", 3, 1, 1), ("v", 4, 0, 0), ("w", 5, 0, None)]
+    jobs = {(r["video_id"], r["segment"]): ([tuple(t) for t in r["targets"]], r["last_sample"]) for r in asof.segment_jobs(located).collect()}
+    assert jobs[("v", 0)] == ([(1, 1), (2, 2), (4, 0)], 2) and jobs[("w", 0)] == ([(5, None)], None)
+
+
+def test_state_of_the_index(spark):
+    log = [("a", 1, "begun", None, 1), ("a", 2, "failed", "x", 2), ("a", 3, "begun", None, 3), ("b", 1, "begun", None, 1), ("b", 2, "failed", "y", 2), ("c", 1, "indexed", None, 1)]
+    log = spark.createDataFrame(log, "folder string, seq int, state string, reason string, at int")
+    assert sorted(map(tuple, maintain.statuses(log).collect())) == [("a", "indexing", None, None), ("b", "failed", "y", 2)]
+    videos = spark.createDataFrame([("1", "p/old", 7), ("2", "p/2", 8), ("3", "p/gone", 9)], "video_id string, folder string, n int")
+    found = spark.createDataFrame([("1", "p/z"), ("1", "p/new"), ("2", "p/2")], "video_id string, folder string")
+    assert sorted(map(tuple, maintain.heal_folders(videos, found).collect())) == [("1", "p/new", 7, True), ("2", "p/2", 8, False), ("3", "p/gone", 9, False)]
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id int, embedding array<float>")
+    kept, again = maintain.rebuilt_width(vectors, 2)
+    assert [r["id"] for r in kept.collect()] == [1] and sorted(r["id"] for r in again.collect()) == [2, 3] and again.columns == ["id"]
+    tables, version = maintain.upgraded({"v": vectors}, 1, {1: lambda t: 1 / 0, 3: lambda t: {**t, "w": t["v"]}, 2: lambda t: {"v": t["v"].limit(0)}})
+    assert version == 3 and tables["w"].count() == 0 and maintain.has_rows(vectors) and not maintain.has_rows(tables["v"])
+
+
+def test_backfill_and_jobs_run_once(spark):
+    head = "---\nvideo_id: x\n---\n## Transcript\n\nhi\n"
+    section = head + "## On-screen text\n\n"
+    notes = spark.createDataFrame([("1", "a", head), ("2", "b", section + "[0:01] hi"), ("3", "c", section + "[0:01] hi"), ("4", "d", section + "_No on-screen text detected._"), ("5", "e", head), ("6", "f", None)], "video_id string, folder string, raw string")
+    chunks = spark.createDataFrame([("2", "frame_text", "old"), ("3", "body", "new")], "video_id string, chunk_type string, model_version string")
+    frames = spark.createDataFrame([(f, 1) for f in "abcdf"] + [("a", 2)], "folder string, frame_ms int")
+    assert sorted(r["video_id"] for r in maintain.to_backfill(notes, chunks, frames).collect()) == ["1", "3", "6"]
+    meta = spark.createDataFrame([], "key string, value string")
+    runs = []
+    meta = maintain.once(meta, "ocr", 1, lambda: runs.append(1))
+    meta = maintain.once(meta, "ocr", 1, lambda: runs.append(2))
+    with pytest.raises(ZeroDivisionError):
+        maintain.once(meta, "ocr", 2, lambda: 1 / 0)
+    assert runs == [1] and [tuple(r) for r in meta.collect()] == [("ocr", "1")]
+    videos = notes.select("video_id")
+    assert maintain.migration_offer(chunks, videos, meta, "new") == (1, 1) and maintain.migration_offer(chunks.where("model_version = 'new'"), videos, meta, "new") is None
+    assert maintain.migration_offer(chunks, videos, maintain.set_meta(meta, "migration_offered_for", "new"), "new") is None
+
+
+def test_blobs_with_nulls(spark):
+    df = spark.createDataFrame([(1, bytearray(b"")), (2, None), (3, bytearray(b"abc")), (4, bytearray(np.array([1.5, -2], "<f4").tobytes()))], "id int, b binary")
+    rows = {r["id"]: (r["v"], r["back"]) for r in df.withColumn("v", V.from_blob("b")).withColumn("back", V.to_blob("v")).collect()}
+    assert rows[1] == ([], b"") and rows[2] == rows[3] == (None, None) and rows[4][0] == [1.5, -2.0] and len(rows[4][1]) == 8
+    assert df.limit(0).select(V.from_blob("b")).collect() == []
+
+
+def test_manifest_lines(spark, tmp_path):
+    import json
+
+    cols = "folder string, videoID string, dateSaved string"
+    rows = spark.createDataFrame([("a", "1", "2024-01-01"), ("b", "2", "2024-03-01"), ("../c", "3", "2024-04-01"), ("d", "", "2024-05-01"), ("e", "5", None)], cols)
+    for name, df, want in (("some", rows, ["2", "1", "5"]), ("none", rows.limit(0), [])):
+        sinks.write_manifest(df, f"{tmp_path}/{name}")
+        files = list((tmp_path / name).glob("part-*"))
+        assert len(files) == 1 and [e["videoID"] for e in json.loads(files[0].read_text())] == want
