@@ -74,4 +74,6 @@ def write_shards(df: DataFrame, keys: list[str], names: list[str], path: str) ->
 
 
 def op5_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(documents(spark, sf_dir).select("doc_id"), ["doc_id"], shard_names()).select("doc_id", "slot", "shard")
+    """Every document with all its columns, its slot and its shard."""
+    placed = place(documents(spark, sf_dir), ["doc_id"], shard_names())
+    return placed.select("doc_id", "slot", "shard", *(c for c in placed.columns if c not in ("doc_id", "slot", "shard")))

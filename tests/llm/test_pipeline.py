@@ -1,14 +1,18 @@
 """The pipeline's stages on a small corpus: decisions take effect, clean documents stay, nothing is lost between stages."""
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import near_dups, registry
+from quarry.llm import mixing, packing, registry
 
-from .conftest import DOCS, prose
+from .conftest import DOCS, edge_rows, prose
+from .test_text_operators import true_classes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,9 +51,52 @@ def test_stages(spark, corpus):
     assert packed.groupby("sequence_id")["length"].sum().max() <= 1024
 
 
-def test_run(spark, corpus):
-    got = corpus_pipeline.run(spark, corpus)
-    assert got.count() > 60 and "sequence_id" in got.columns
+def pieces_of(ids, size=1024):
+    """(piece, start, length, checksum) of one document's ids; only the first piece may be shorter."""
+    head = len(ids) % size or size
+    cuts = [0, *range(head, len(ids) + 1, size)]
+    return [(i, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def test_run_equals_brute_force(spark, corpus, tmp_path):
+    """Rules, classes and redaction by loops, the mix of what they leave, the library's ids: the rows of run()."""
+    rng = np.random.default_rng(8)
+    template = prose(4000, 220).split()
+    family = []
+    for i in range(50):
+        words = list(template)
+        for at in rng.choice(220, size=int(rng.integers(0, 14)), replace=False):
+            words[at] = f"w{i}x{at}"
+        family.append((300 + i, " ".join(words), "en", "s0", 1))
+    rows = [tuple(r) for r in spark.read.parquet(f"{corpus}/documents.parquet").collect()] + family
+    top = str(tmp_path)
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{top}/documents.parquet")
+    spark.read.parquet(f"{corpus}/labels.parquet").write.parquet(f"{top}/labels.parquet")
+    left = [r for r in rows if r[0] < 100 or r[0] in (100, 101, 104) or r[0] >= 300]
+    classes = true_classes([r[:2] for r in left])
+    kept = [r for r, (i, least, _) in zip(left, classes) if i == least]
+    assert 1 < sum(r[0] >= 300 for r in kept) < 50  # the family is neither one class nor all apart
+    kept = [(r[0], r[1].replace("bob.x@mail.example.com", "[EMAIL]"), *r[2:]) for r in kept]
+    mixed = mixing.mixed_documents(spark, spark.createDataFrame(kept, DOCS), top).collect()
+    encode = Tokenizer.from_file(packing.vocabulary())
+    want = Counter((r["doc_id"], *p) for r in mixed for p in pieces_of([*encode.encode(r["text"], add_special_tokens=False).ids, 2]))
+    got = corpus_pipeline.run(spark, top).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in bins.values():
+        ends = np.cumsum([0, *(n for _, n in sorted(held))])
+        assert [at for at, _ in sorted(held)] == ends[:-1].tolist() and ends[-1] <= 1024
+
+
+def test_run_on_awkward_tables(spark, edge, empty, labels, tmp_path):
+    for name, docs in (("edge", edge), ("empty", empty)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        ids = {r[0] for r in edge_rows()}
+        assert {r["doc_id"] for r in got} <= ids and bool(got) == (name == "edge")
 
 
 def test_registry_names():

@@ -1,5 +1,8 @@
 """Tokens, files, packing, mixing, sharding, classifier and pipeline: exact round trips and held-out accuracy."""
 
+import tempfile
+import struct
+import hashlib
 import math
 import re
 import zlib
@@ -311,6 +314,38 @@ def test_rows_are_placed(spark, edge, empty, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == edge.count()
 
 
+def claimed_in_turn(names, size):
+    """The table by whole preference lists: each shard in turn takes the first slot of its list that is free."""
+    number = lambda t: int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big")
+    lists = []
+    for n in names:
+        offset, skip = number(f"{n}/offset") % size, number(f"{n}/skip") % (size - 1) + 1
+        lists.append([(offset + j * skip) % size for j in range(size)])
+        assert len(set(lists[-1])) == size
+    owner = {}
+    turn = 0
+    while len(owner) < size:
+        free = next(slot for slot in lists[turn % len(names)] if slot not in owner)
+        owner[free] = turn % len(names)
+        turn += 1
+    return owner
+
+
+def test_placing_equals_brute_force(spark, edge):
+    names = sharding.shard_names(7)
+    owner = claimed_in_turn(names, 211)
+    for r in sharding.place(edge, ["doc_id"], names, size=211).collect():
+        hashed = 42 if r["doc_id"] is None else xxhash.xxh64(struct.pack("<q", r["doc_id"]), seed=42).intdigest()
+        slot = (hashed - (1 << 64) if hashed >> 63 else hashed) % 211
+        assert (r["slot"], r["shard"]) == (slot, owner[slot])
+    top = tempfile.mkdtemp(prefix="quarry-test-")
+    edge.write.parquet(f"{top}/documents.parquet")
+    whole = sharding.op5_shard_lookup(spark, top)
+    assert whole.columns[:3] == ["doc_id", "slot", "shard"] and set(whole.columns) == {*edge.columns, "slot", "shard"}
+    text = lambda df: sorted(repr((r["doc_id"], r["text"])) for r in df.collect())
+    assert text(whole) == text(edge)
+
+
 # --- op1 ---------------------------------------------------------------------
 
 
