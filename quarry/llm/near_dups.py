@@ -60,7 +60,7 @@ DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
 #: Pairs with one partner that one task verifies.
 PARTNER_SHARE = 512
 #: Rounds with one partner for each text, before what is left is finished exactly.
-PARTNER_ROUNDS = 5
+PARTNER_ROUNDS = 2
 #: Texts and bytes of a block, about, and elements whose overlaps are counted at a time.
 BLOCK_ROWS, BLOCK_BYTES, ELEMENTS = 512, 4 << 20, 4_096
 #: Texts of a class or of a bucket's lesser classes from which on blocks cost more than parting them.
