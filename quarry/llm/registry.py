@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, divergence, imatch, mixing, near_dups, packing, pii, rans, repeats, rules, sharding, tries
+from . import cotrain, divergence, imatch, mincut, mixing, near_dups, packing, pii, rans, repeats, rules, sharding, tries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": cotrain.op1_quality_classifier,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": imatch.op8_document_fingerprints,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_main_text": mincut.op11_main_text,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_prefix_trie": tries.op13_prefix_trie,
 }
