@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, tidy
 
-#: A term: a run of ASCII letters and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms, which are runs of ASCII letters and characters beyond ASCII.
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of its language that a kept term is in, at least.
 LEAST_DOCS = 10
 #: Characteristic terms of a group.
@@ -37,13 +37,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, d): occurrences, and documents with the term, of every group."""
-    found = docs.select(tidy(F.col("lang")).alias("lang"), tidy(F.col("source")).alias("source"), F.regexp_extract_all(F.translate(tidy(F.col("text")), UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("found"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    marks = F.concat(
-        F.transform("found", lambda t: F.struct(t.alias("term"), one.alias("n"), none.alias("d"))),
-        F.transform(F.array_distinct("found"), lambda t: F.struct(t.alias("term"), none.alias("n"), one.alias("d"))),
-    )
-    rows = found.select("lang", "source", F.explode(marks).alias("mark")).select("lang", "source", "mark.*")
+    terms = F.array_remove(F.split(F.translate(tidy(F.col("text")), UPPER, LOWER), GAP), "")
+    found = docs.select(tidy(F.col("lang")).alias("lang"), tidy(F.col("source")).alias("source"), terms.alias("found"))
+    # Every occurrence, then every term once: what comes after the last occurrence counts documents.
+    rows = found.select("lang", "source", F.size("found").alias("last"), F.posexplode(F.concat("found", F.array_distinct("found"))).alias("at", "term"))
+    once = F.col("at") >= F.col("last")
+    rows = rows.select("lang", "source", "term", F.when(once, 0).otherwise(1).cast("long").alias("n"), once.cast("long").alias("d"))
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
