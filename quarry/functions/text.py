@@ -26,6 +26,11 @@ def match_query(query: Column) -> Column:
     return F.array_join(F.transform(match_tokens(query), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
 
 
+def search_words(text: Column) -> Column:
+    """Words of a text by SEARCH_WORD, in lower case, as they come: what the runs of other characters leave."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
+
+
 def bracket_label(ms: Column) -> Column:
     """[m:ss] of milliseconds, minutes unbounded; null stays null."""
     s = F.floor(ms / 1000)

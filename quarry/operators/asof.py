@@ -3,7 +3,10 @@
 Both sides are merged per key in order of time; running first/last values give
 each left row its neighbours, so work and memory follow the number of rows,
 not of pairs.  All rows of one key are sorted in one task, which spills what it
-cannot hold; a key is a video here, so its rows are bounded by its length.
+cannot hold; a key is a video here, so its rows are bounded by its length.  With
+``spread`` the merged rows lie in ranges of (key, time) instead and what ranges
+leave open is carried on (see ``scan``), for keys that may hold any share of
+all rows.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 
-def _sides(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str) -> DataFrame:
+
+def _sides(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str, spread: bool = False) -> DataFrame:
     """left with _prev and _next: the last right row at or before its time, the first at or after it, as struct<time, id>."""
     point = F.struct(F.col(right_time).alias("time"), F.col(right_id).alias("id"))
     kind = right.select(F.col(key), F.col(right_time)).schema
@@ -22,6 +27,11 @@ def _sides(left: DataFrame, right: DataFrame, key: str, left_time: str, right_ti
     both = left.select(F.col(key).alias("_k"), F.col(left_time).cast(kind[right_time].dataType).alias("_t"), row.alias("_l"), some.alias("_r"))
     both = both.unionByName(right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), none.alias("_l"), point.alias("_r")))
     isright = F.col("_r").isNotNull()
+    if spread:
+        side = F.when(isright, 0).otherwise(1)
+        both = scan.scanned(both, "_k", [F.col("_t"), side, F.col("_r.id").desc()], last=("_r",), name="up").withColumnRenamed("last__r", "_prev")
+        both = scan.scanned(both, "_k", [F.col("_t").desc(), side, F.col("_r.id").desc()], last=("_r",), name="down").withColumnRenamed("last__r", "_next")
+        return both.where(F.col("_l").isNotNull()).select("_l.*", "_prev", "_next")
     # Right rows of a left row's own time count on both sides: first them, then it, going either way.
     up = Window.partitionBy("_k").orderBy("_t", F.when(isright, 0).otherwise(1), F.col("_r.id").desc()).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("_k").orderBy(F.col("_t").desc(), F.when(isright, 0).otherwise(1), F.col("_r.id").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -29,12 +39,12 @@ def _sides(left: DataFrame, right: DataFrame, key: str, left_time: str, right_ti
     return both.where(F.col("_l").isNotNull()).select("_l.*", "_prev", "_next")
 
 
-def nearest(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str, right_id: str, tie: str = "later") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str, right_id: str, tie: str = "later", spread: bool = False) -> DataFrame:
     """left with match_id and match_time, the right row of least distance in time; tie is "later" or "earlier".
 
     Of right rows at one time the least id counts.
     """
-    rows = _sides(left, right, key, left_time, right_time, right_id)
+    rows = _sides(left, right, key, left_time, right_time, right_id, spread)
     t = F.col(left_time)
     back, ahead = t - F.col("_prev.time"), F.col("_next.time") - t
     take_next = (ahead <= back) if tie == "later" else (ahead < back)
@@ -42,16 +52,16 @@ def nearest(left: DataFrame, right: DataFrame, *, key: str, left_time: str, righ
     return rows.withColumn("_m", best).select(*left.columns, F.col("_m.id").alias("match_id"), F.col("_m.time").alias("match_time"))
 
 
-def backward(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str, right_id: str, clamp: bool = True) -> DataFrame:
+def backward(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str, right_id: str, clamp: bool = True, spread: bool = False) -> DataFrame:
     """The last right row at or before; with clamp the first after where there is none."""
-    rows = _sides(left, right, key, left_time, right_time, right_id)
+    rows = _sides(left, right, key, left_time, right_time, right_id, spread)
     best = F.coalesce("_prev", "_next") if clamp else F.col("_prev")
     return rows.withColumn("_m", best).select(*left.columns, F.col("_m.id").alias("match_id"), F.col("_m.time").alias("match_time"))
 
 
-def forward(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str, right_id: str, clamp: bool = True) -> DataFrame:
+def forward(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str, right_id: str, clamp: bool = True, spread: bool = False) -> DataFrame:
     """The first right row at or after; with clamp the last before where there is none."""
-    rows = _sides(left, right, key, left_time, right_time, right_id)
+    rows = _sides(left, right, key, left_time, right_time, right_id, spread)
     best = F.coalesce("_next", "_prev") if clamp else F.col("_next")
     return rows.withColumn("_m", best).select(*left.columns, F.col("_m.id").alias("match_id"), F.col("_m.time").alias("match_time"))
 

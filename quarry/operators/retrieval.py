@@ -65,8 +65,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
 
 def postings(df: DataFrame, *, id: str = "chunk_id", text: str = "chunk_text") -> tuple[DataFrame, DataFrame]:
     """(term, id, tf) and (id, doc_len); terms are lower-case runs of letters, marks and numbers."""
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.SEARCH_WORD), F.lit(0))
-    rows = df.select(id, tokens.alias("tokens"))
+    rows = df.select(id, T.search_words(F.col(text)).alias("tokens"))
     terms = rows.select(id, F.explode("tokens").alias("term")).groupBy("term", id).agg(F.count("*").alias("tf"))
     return terms, rows.select(id, F.size("tokens").alias("doc_len"))
 
@@ -83,7 +82,7 @@ def sparse_top_k(df: DataFrame, query: str, k: int = POOL, *, id: str = "chunk_i
     if not words:
         return spark.createDataFrame([], StructType([df.schema[id], StructField("score", DoubleType()), StructField("rank", IntegerType())]))
     distinct = sorted(set(words))
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.SEARCH_WORD), F.lit(0))
+    tokens = T.search_words(F.coalesce(F.col(text), F.lit("")))
     counts = [F.size(F.filter("tokens", _equals(w))).alias(f"_{i}") for i, w in enumerate(distinct)]
     flag = (where if where is not None else F.lit(True)).alias("_in")
     rows = df.select(id, flag, tokens.alias("tokens")).select(id, "_in", F.size("tokens").alias("_len"), *counts)

@@ -8,7 +8,6 @@ benchmark for queries.
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Callable
 
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import asof, chunking, maintain, retrieval, select, text_index, windows
+from ..operators import asof, chunking, maintain, retrieval, scan, select, text_index, vector_index, windows
+from ..sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,17 +42,6 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for all its machines; one of our own only where all runs on one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: executors and the driver share no folder")
-        named = tempfile.mkdtemp(prefix="quarry-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def vector_of(spark: SparkSession, sf: str, vec_id: int) -> list[float]:
     """The query's vector: one row."""
     row = read(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
@@ -106,25 +95,41 @@ idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 EL
 bm AS (SELECT doc_id, lang, source, -sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / adl))) AS score FROM post JOIN idf USING (term) JOIN len USING (doc_id), stat GROUP BY ALL)"""
 
 
-@query(_BM25 + ", top AS (SELECT * FROM bm ORDER BY score, doc_id LIMIT 50) SELECT doc_id, round(score, 6) AS score FROM top")
+_TOP50 = _BM25 + ", top AS (SELECT * FROM bm ORDER BY score, doc_id LIMIT 50) SELECT doc_id, round(score, 6) AS score FROM top"
+
+
+def index_of(spark: SparkSession, sf: str) -> text_index.TextIndex:
+    """The stored index of the documents, made or brought up to date where their files changed."""
+    return text_index.open_index(chunks(spark, sf), f"{shared_folder(spark)}/bm25-index-{zlib.crc32(sf.encode()):08x}", kind="platform")
+
+
+def vectors_of(spark: SparkSession, sf: str) -> vector_index.VectorIndex:
+    """The stored vectors in cells."""
+    path = f"{shared_folder(spark)}/vector-index-{zlib.crc32(sf.encode()):08x}"
+    return vector_index.open_vectors(read(spark, sf, "embeddings"), path, id="vec_id", vector="embedding", dim=DIM, keep=("label",))
+
+
+@query(_TOP50)
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return index_of(spark, sf).search(WORDS, 50).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_TOP50)
+def bm25_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without an index, by one pass over the texts."""
     top = retrieval.sparse_top_k(read(spark, sf, "documents"), WORDS, 50, id="doc_id", text="text")
     return top.select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(_BM25 + ", top AS (SELECT * FROM bm ORDER BY score, doc_id LIMIT 50) SELECT doc_id, round(score, 6) AS score FROM top")
+@query(_TOP50)
 def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from a stored index, which is built where the session's shared folder has none for these rows."""
-    rows = chunks(spark, sf)
-    path = f"{shared_folder(spark)}/bm25-index-{zlib.crc32(sf.encode()):08x}"
-    version = text_index.sync_index(rows, path)
-    return text_index.search_index(spark, path, WORDS, 50, version=version).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+    """The same from an index that was made in one segment, from all segments of what is there."""
+    return index_of(spark, sf).compact().search(WORDS, 50).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_BM25 + ", top AS (SELECT * FROM bm WHERE lang = 'fr' ORDER BY score, doc_id LIMIT 50) SELECT doc_id, round(score, 6) AS score FROM top")
 def bm25_topk_platform(spark: SparkSession, sf: str) -> DataFrame:
-    top = retrieval.sparse_top_k(read(spark, sf, "documents"), WORDS, 50, id="doc_id", text="text", where=F.col("lang") == "fr")
-    return top.select("doc_id", F.round("score", 6).alias("score"))
+    return index_of(spark, sf).search(WORDS, 50, kind="fr").select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -147,7 +152,7 @@ top AS (SELECT * FROM capped WHERE n <= 2 ORDER BY score DESC, p, fr, doc_id LIM
 
 def _lists(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
     dense = retrieval.dense_top_k(read(spark, sf, "embeddings"), vector_of(spark, sf, 0), 50, id="vec_id").withColumnRenamed("vec_id", "chunk_id")
-    sparse = retrieval.sparse_top_k(chunks(spark, sf), WORDS, 50)
+    sparse = index_of(spark, sf).search(WORDS, 50)
     return [("dense", dense.select("chunk_id", "rank")), ("sparse", sparse.select("chunk_id", "rank"))]
 
 
@@ -233,14 +238,20 @@ WITH s AS (SELECT a.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY li
 f AS (SELECT vec_id, min(r) FILTER (same) AS r FROM s GROUP BY vec_id)
 SELECT round(avg(CASE WHEN r <= 1 THEN 1 ELSE 0 END), 9) AS hit_at_1, round(avg(CASE WHEN r <= 5 THEN 1 ELSE 0 END), 9) AS hit_at_5 FROM f""")
 def hit_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """Queries are the vectors whose id 50 divides, against all; a hit shares the label.  Each task shuffles a query's five best only."""
-    rows = read(spark, sf, "embeddings")
-    asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    pairs = asked.join(rows, F.col("q") != F.col("vec_id")).select("q", (F.col("ql") == F.col("label")).alias("same"), V.cosine(F.col("qe"), F.col("embedding")).alias("c"), "vec_id")
-    placed = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("c").desc(), "vec_id"))).where("r <= 5").groupBy("q").agg(F.min(F.when(F.col("same"), F.col("r"))).alias("rank"))
+    """Queries are the vectors whose id 50 divides, against all; a hit shares the label."""
+    asked = read(spark, sf, "embeddings").where(F.col("vec_id") % 50 == 0)
+    near = vectors_of(spark, sf).nearest_join(asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 5, keep=("label",))
+    placed = asked.select(F.col("vec_id").alias("query"), F.col("label").alias("own")).join(near, "query", "left").groupBy("query").agg(F.min(F.when(F.col("own") == F.col("label"), F.col("place"))).alias("rank"))
     return retrieval.hit_rate(placed, [1, 5]).select(F.round("hit_at_1", 9).alias("hit_at_1"), F.round("hit_at_5", 9).alias("hit_at_5"))
 
 
+@query(_DENSE.format(where="WHERE label IN (1, 3, 5)", k=50) + " SELECT vec_id, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, vec_id) AS place FROM top")
+def dense_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors of three labels, from the stored cells that can hold them."""
+    top = vectors_of(spark, sf).search(vector_of(spark, sf, 0), 50, where=F.col("label").isin(1, 3, 5), id="vec_id")
+    return top.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"), F.col("rank").cast("long").alias("place"))
+
+
 # --- listing and keyword search ------------------------------------------------
 
 
@@ -302,6 +313,12 @@ def forward_event(spark: SparkSession, sf: str) -> DataFrame:
     return asof.forward(*_event_sides(spark, sf), **_ASOF).select("event_id", "match_id")
 
 
+@query(_PICK.format(order="abs(rt - t) NULLS LAST, rt DESC, rid"))
+def nearest_event_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """As nearest_event_later, with a key's rows over as many tasks as they ask for."""
+    return asof.nearest(*_event_sides(spark, sf), **_ASOF, spread=True).select("event_id", "match_id")
+
+
 # --- windows -------------------------------------------------------------------
 
 
@@ -312,6 +329,15 @@ def segment_lead(spark: SparkSession, sf: str) -> DataFrame:
     return windows.running_before(rows, ["conv_id"], ["turn"], "n", name="before_chars")
 
 
+@query("SELECT event_type, event_id, lag(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before, sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id)::BIGINT AS upto FROM events")
+def events_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbour and running sum within a few large keys, over all tasks."""
+    rows = read(spark, sf, "events").select("event_type", "event_id", "ts", "user_id")
+    order = [F.col("ts"), F.col("event_id")]
+    summed = scan.scanned(rows, "event_type", order, sums=("user_id",), name="sums").withColumnRenamed("upto_user_id", "upto")
+    return scan.previous(summed, "event_type", order, "event_id", "before").select("event_type", "event_id", "before", "upto")
+
+
 @query("""
 WITH p AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
 SELECT event_id, user_id, event_type FROM p WHERE b IS NULL OR b <> event_type""")
