@@ -241,3 +241,31 @@ def caption_title(caption: Column, fallback: Column, limit: int = 80) -> Column:
     head = F.left(pick, F.lit(limit))
     at_word = F.regexp_replace(head, r"\s+\S*$", "")
     return F.when(F.length(pick) <= limit, pick).when(F.length(at_word) * 2 >= limit, at_word).otherwise(head)
+
+
+def is_supported_link(url: Column) -> Column:
+    """Whether an address is of a known platform."""
+    return platform_of(url).isNotNull()
+
+
+def truncated_ids(ids: Column, limit: int = 256) -> Column:
+    """At most limit ids, the last of all among them: an encoder's end mark stays."""
+    return F.when(F.size(ids) <= limit, ids).otherwise(F.concat(F.slice(ids, 1, limit - 1), F.slice(ids, -1, 1)))
+
+
+def wrapped(text: Column, width: int = 80) -> Column:
+    """The text's words in lines of at most width characters, as an array; a longer word has a line of its own."""
+    one = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    cut = F.regexp_replace(one, rf"(?s)([^ ]{{{width + 1},}}|.{{1,{width}}})(?: |$)", "$1\n")
+    return F.when(one == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(cut, r"\n$", ""), "\n"))
+
+
+def markdown_page(title: Column, texts: Column, width: int = 80) -> Column:
+    """A page of a title and texts, an array, wrapped."""
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), F.array_join(wrapped(F.array_join(texts, " "), width), "\n"), F.lit("\n"))
+
+
+def longest_ms(claimed: Column, measured: Column) -> Column:
+    """The larger of a claimed and a measured duration; what was measured counts only if it is finite and above nothing."""
+    real = F.when((measured > 0) & ~F.isnan(measured.cast("double")) & (measured.cast("double") < F.lit(float("inf"))), measured)
+    return F.greatest(claimed, real)

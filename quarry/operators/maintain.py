@@ -136,6 +136,18 @@ def with_known_types(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks.where(known), chunks.where(~known)
 
 
+def to_v2(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The second version of the tables: every chunk with its id as it was, orphans too, one a (video_id, chunk_type, chunk_index)."""
+    key = ["video_id", "chunk_type", "chunk_index"]
+    chunks = tables["chunks"]
+    first = chunks.groupBy(*key).agg(F.min("chunk_id").alias("chunk_id"))
+    return tables | {"chunks": chunks.join(first, [*key, "chunk_id"], "left_semi").select(*chunks.columns)}
+
+
+#: What makes tables of a version out of those before it.
+STEPS = {2: to_v2}
+
+
 def statuses(log: DataFrame) -> DataFrame:
     """(folder, state, reason, finished_at) now, from a log (folder, seq, state, reason, at) of begun, indexed and failed.
 

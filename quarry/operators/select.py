@@ -69,6 +69,12 @@ def list_videos(videos: DataFrame, *, platform: str | None = None, channel: str
     return videos.orderBy(F.col("date_saved").desc(), "video_id").limit(max(1, min(int(limit), 1000)))
 
 
+def platform_flag(value: str | None) -> str | None:
+    """A platform as a command line gives it: any case, blanks around it; nothing given is none."""
+    folded = (value or "").strip().lower()
+    return folded or None
+
+
 def keyword_search(entries: DataFrame, query: str, limit: int = 10, *, id: str = "video_id", fields: tuple[str, ...] = ("title", "channel", "tags", "platform"), date: str = "date_saved") -> DataFrame:
     """Entries that have all the query's words in one of the fields; a word at the start of one counts double; no words, no rows."""
     hay = F.lower(F.concat_ws(" ", *(F.concat_ws(" ", F.col(f)) for f in fields)))

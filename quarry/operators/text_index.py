@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
@@ -43,8 +44,8 @@ from . import retrieval
 BLOCK, FAN, SMALLEST = 512, 4, 1_000
 #: Postings that a folder of terms is for, and documents that a folder of forward rows is for.
 FOLDER_POSTINGS, FOLDER_DOCS = 2_000_000, 50_000
-#: Candidates of the first blocks that are scored in full; candidates of the second reading that are looked up by a list of ids.
-LOOK, LISTED = 200, 2_000
+#: Candidates that are looked up by a list of ids; words whose statistics a handle keeps; words of a query that are weighed by an expression.
+LISTED, WORDS_KEPT, INLINE = 2_000, 10_000, 32
 #: Bounds are compared with this much room for rounding.
 ROOM = 1e-9
 
@@ -129,6 +130,7 @@ class TextIndex:
         self.log = Snapshots(self.spark, self.path)
         self.version = self.log.latest() if self.version is None else self.version
         self.manifest = self.log.manifest(self.version) if self.version is not None else {"segments": [], "token": None}
+        self._known: dict[str, list] = {}
 
     # --- writing -----------------------------------------------------------------
 
@@ -275,7 +277,16 @@ class TextIndex:
         return n, sum(s["len"] - s["len_dead"] for s in self.manifest["segments"]) / n if n else 0.0
 
     def _statistics(self, words: list[str]) -> list[dict[str, list]]:
-        """For each segment, of each word [documents, blocks, greatest share]: a row for each word and segment comes to the driver."""
+        """For each segment, of each word [documents, blocks, greatest share]: a row for each word and segment comes to the driver, once for a handle."""
+        asked = [w for w in words if w not in self._known]
+        if len(self._known) + len(asked) > WORDS_KEPT:
+            self._known.clear()
+            asked = words
+        for w, held in zip(asked, zip(*[[s.get(w) for w in asked] for s in self._looked_up(asked)])) if asked else ():
+            self._known[w] = list(held)
+        return [{w: self._known[w][i] for w in words if self._known[w][i] is not None} for i in range(len(self.manifest["segments"]))]
+
+    def _looked_up(self, words: list[str]) -> list[dict[str, list]]:
         found: DataFrame | None = None
         for i, s in enumerate(self.manifest["segments"]):
             own = F.col("bucket").isin(self._folders(words, s["term_folders"])) & F.col("term").isin(words)
@@ -291,9 +302,11 @@ class TextIndex:
         return out
 
     def _folders(self, words: list[str], n: int) -> list[int]:
-        if n == 1:
-            return [0]
-        return [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(_bucket("w", n)).distinct().collect()]
+        return self._buckets(words, "string", n)
+
+    def _buckets(self, values: list, kind: str, n: int) -> list[int]:
+        """Folders of these values, by Spark's own hash."""
+        return [0] if n == 1 else sorted(set(self.spark.sql("SELECT 1").select(F.transform(F.lit(values).cast(f"array<{kind}>"), lambda v: _bucket(v, n))).first()[0]))
 
     def _postings(self, cuts: list[dict[str, float]], lead: bool = False) -> list[tuple[dict, DataFrame]]:
         """Blocks of each segment whose greatest share reaches the word's cut, before they are taken apart."""
@@ -310,7 +323,6 @@ class TextIndex:
 
     def _summed(self, blocks: list[tuple[dict, DataFrame]], weights: dict[str, float], average: float, kind: str | None) -> DataFrame:
         """(id, part): what the blocks' words add to each living document's score, as a positive number."""
-        table = self.spark.createDataFrame(list(weights.items()), "term string, weight double")
         if not blocks:
             return self.spark.createDataFrame([], f"id {self.manifest['segments'][0]['id']}, part double")
         out: DataFrame | None = None
@@ -321,8 +333,14 @@ class TextIndex:
             flat = flat.select("term", "id", "tf", "len")
             out = flat if out is None else out.unionByName(flat)
         norm = retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("len") / F.lit(average or 1.0))
+        if len(weights) <= INLINE:
+            weight = F.coalesce(*(F.when(F.col("term") == w, F.lit(x)) for w, x in weights.items()))
+            out = out.withColumn("weight", weight)
+        else:
+            table = self.spark.createDataFrame(list(weights.items()), "term string, weight double")
+            out = out.join(F.broadcast(table), "term")  # a row for each word of the query
         part = F.col("weight") * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + norm)
-        return out.join(F.broadcast(table), "term").groupBy("id").agg(F.sum(part).alias("part"))  # a row for each word of the query
+        return out.groupBy("id").agg(F.sum(part).alias("part"))
 
     def _in_full(self, ids: list | DataFrame, weights: dict[str, float], average: float) -> DataFrame:
         """(id, score) of these documents from their forward rows, as a positive number."""
@@ -330,8 +348,7 @@ class TextIndex:
         for s in self.manifest["segments"]:
             rows = self._read(s["docs"], docs_schema(s["id"]))
             if isinstance(ids, list):
-                folders = [0] if s["doc_folders"] == 1 else [r[0] for r in self.spark.createDataFrame([(i,) for i in ids], f"id {s['id']}").select(_bucket("id", s["doc_folders"])).distinct().collect()]
-                rows = rows.where(F.col("bucket").isin(folders) & F.col("id").isin(ids))
+                rows = rows.where(F.col("bucket").isin(self._buckets(ids, s["id"], s["doc_folders"])) & F.col("id").isin(ids))
             else:
                 rows = rows.join(ids.select("id"), "id", "left_semi")
             rows = rows.join(self._dead(s), "id", "left_anti") if s["dead"] else rows
@@ -370,9 +387,8 @@ class TextIndex:
             return self.spark.createDataFrame([], schema), report
 
         first = self._postings([{w: s[w][2] for w in s if w in weights} for s in found], lead=True)
-        look = max(LOOK, 4 * k)
-        ids = [r[0] for r in self._summed(first, weights, average, kind).orderBy(F.desc("part"), "id").limit(look).collect()]
-        known = sorted((r[1] for r in self._in_full(ids, weights, average).collect()), reverse=True) if ids else []
+        # What a document has in the first blocks is its score or less.
+        known = [r[0] for r in self._summed(first, weights, average, kind).select("part").orderBy(F.desc("part")).limit(k).collect()]
         least = known[k - 1] * (1 - ROOM) if len(known) >= k else 0.0
 
         cut, spare = self._cuts(most, least)
@@ -389,8 +405,8 @@ class TextIndex:
         else:  # more that may be among the first k than a list of ids is good for
             full = self._in_full(scored, weights, average)
         top = full.orderBy(F.desc("score"), "id").limit(k).collect() if full is not None else []
-        rows = [(r[0], -float(r[1]), i) for i, r in enumerate(top, 1)]
-        return self.spark.createDataFrame(rows, schema), report
+        columns = [[r[0] for r in top], [-float(r[1]) for r in top], list(range(1, len(top) + 1))]
+        return self.spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(schema)), schema), report
 
     def _cuts(self, most: dict[str, float], least: float) -> tuple[dict[str, float], float]:
         """(what a block of each word must be able to add to be read, what unread blocks may add to a candidate at most).
@@ -431,9 +447,18 @@ def blocks_schema(id: str) -> str:
     return f"term string, top double, lead boolean, n int, ids array<{id}>, kinds array<string>, tfs array<int>, lens array<int>, bucket int"
 
 
+#: The last handle of each path that this process opened: it keeps what it looked up while its snapshot is the newest.
+_OPEN: dict[tuple[str, str], TextIndex] = {}
+
+
 def open_index(df: DataFrame, path: str, *, id: str = "chunk_id", text: str = "chunk_text", kind: str | None = None) -> TextIndex:
     """The index below path, brought up to df's rows."""
-    return TextIndex(df.sparkSession, path).sync(df, id=id, text=text, kind=kind)
+    at = (df.sparkSession.sparkContext.applicationId, path)
+    index = _OPEN.get(at)
+    if index is None or index.version != index.log.latest():
+        index = TextIndex(df.sparkSession, path)
+    _OPEN[at] = index = index.sync(df, id=id, text=text, kind=kind)
+    return index
 
 
 def newest(spark: SparkSession, path: str) -> int | None:

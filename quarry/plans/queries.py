@@ -582,3 +582,6 @@ def chunk_buckets(spark: SparkSession, sf: str) -> DataFrame:
     rows = windows.segment_ends(rows, ["video_id", "kind"], "seq")
     videos = rows.select("video_id").distinct().select("video_id", F.lit("t").alias("title"), F.lit("c").alias("channel"), F.lit("youtube").alias("platform"), F.array(F.lit("x")).alias("tags"))
     return chunking.chunk_segments(rows, videos).select("video_id", "chunk_index", "chunk_start_ms", "chunk_end_ms", F.length("chunk_text").alias("n_chars"))
+
+
+from . import source_queries  # noqa: E402, F401  registers its queries with the same decorator

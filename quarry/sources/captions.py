@@ -128,3 +128,12 @@ def rendered_segments(html: Column) -> Column:
         return F.struct(label.alias("label"), text.alias("text"))
 
     return F.filter(F.transform(items, one), lambda s: s["text"] != "")
+
+
+#: Characters that a page's description and its summary are kept to (fixed values).
+DESCRIPTION_CUT, SUMMARY_CUT = 2000, 3000
+
+
+def page_texts(description: Column, summary: Column) -> Column:
+    """struct<description, summary> as a page's details hold them: cut to their lengths, empty where there is none."""
+    return F.struct(F.left(F.coalesce(description, F.lit("")), F.lit(DESCRIPTION_CUT)).alias("description"), F.left(F.coalesce(summary, F.lit("")), F.lit(SUMMARY_CUT)).alias("summary"))

@@ -50,3 +50,24 @@ def as_json(df: DataFrame) -> DataFrame:
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Overwrites only the partitions that df has rows of."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+#: The heading of on-screen text in a note, and what stands there where none was found (fixed values).
+SCREEN_HEADING, NO_SCREEN_TEXT = "## On-screen text", "_No on-screen text detected._"
+
+
+def with_screen_text(notes: DataFrame, lines: DataFrame, frames: DataFrame) -> DataFrame:
+    """notes (video_id, folder, raw) with a section of their recognised lines (video_id, ms, text), and written, whether it was added.
+
+    A note that has the section already, or whose folder has no frames (folder)
+    yet, stays as it is; one without lines gets a placeholder, so that it counts
+    as done.
+    """
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    own = lines.where(text != "").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ms", F.concat(F.lit("["), T.clock_label(F.col("ms")), F.lit("] "), text).alias("line")))).alias("_l"))
+    rows = notes.join(own, "video_id", "left").join(frames.select("folder").distinct().withColumn("_f", F.lit(True)), "folder", "left")
+    due = F.coalesce("_f", F.lit(False)) & ~F.contains("raw", F.lit(SCREEN_HEADING))
+    body = F.when(F.size("_l") > 0, F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).otherwise(F.lit(NO_SCREEN_TEXT))
+    end = F.when(F.endswith("raw", F.lit("\n")), F.lit("")).otherwise(F.lit("\n"))
+    raw = F.when(due, F.concat("raw", end, F.lit(f"\n{SCREEN_HEADING}\n\n"), body, F.lit("\n"))).otherwise(F.col("raw"))
+    return rows.select(*(raw.alias("raw") if c == "raw" else F.col(c) for c in notes.columns), due.alias("written"))

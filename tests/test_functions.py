@@ -118,3 +118,21 @@ def test_centroid_skips_other_widths(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("a", [9.0])], "k string, v array<double>")
     got = V.centroid(df, ["k"], "v", 2).first()["v"]
     assert got == pytest.approx([math.sqrt(0.5)] * 2)
+
+
+def test_wrapping_equals_a_loop(spark):
+    import random
+
+    from quarry.operators.chunking import markdown, wrap
+    from quarry.operators.select import platform_flag
+
+    rng = random.Random(8)
+    texts = [" ".join("\u00e9x"[i % 2] * rng.randrange(1, 30 if i % 9 else 120) for i in range(rng.randrange(0, 60))) for _ in range(40)] + ["", "  ", "a", "x" * 200, "a " + "y" * 81 + " b", "z" * 80 + " c", "\U0001f600 " * 100, "word " * 200_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", T.wrapped(F.col("t")).alias("lines"), T.markdown_page(F.lit("T"), F.array("t")).alias("page")).collect():
+        assert r["lines"] == wrap(texts[r["i"]]) and r["page"] == markdown("T", [texts[r["i"]]])
+    assert [platform_flag(x) for x in (" TikTok ", "", None)] == ["tiktok", None, None]
+    ids = spark.createDataFrame([(n, list(range(n))) for n in (0, 3, 256, 300)], "n int, ids array<int>").select("n", T.truncated_ids(F.col("ids")).alias("x")).collect()
+    assert all(r["x"] == (list(range(r["n"])) if r["n"] <= 256 else [*range(255), r["n"] - 1]) for r in ids)
+    durations = spark.createDataFrame([(5.0, 7.0), (9.0, 2.0), (4.0, None), (4.0, float("nan")), (4.0, float("inf")), (None, 3.0)], "a double, b double").select(T.longest_ms(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in durations] == [7.0, 9.0, 4.0, 4.0, 4.0, 3.0]
