@@ -28,6 +28,31 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
+def distance_to(query: list[float], metric: str = "cosine"):
+    """A function of a vector column: its distance to one query, a product a batch instead of a fold a value.
+
+    Vectors of another width, and those with a null component, have none.
+    """
+    q = np.array(query, dtype=float)
+    length = float(np.sqrt((q * q).sum()))
+
+    @arrow_udf("double")
+    def distance(vectors: pa.Array) -> pa.Array:
+        sizes = np.asarray(vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False))
+        whole = np.flatnonzero(sizes == len(q))
+        rows = vectors.take(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
+        if metric == "l2":
+            found = np.sqrt(((rows - q) ** 2).sum(axis=1))
+        else:
+            found = (rows * q).sum(axis=1)
+            found = 1 - (found if metric == "dot" else found / np.maximum(np.sqrt((rows * rows).sum(axis=1)) * length, 1e-9))
+        out = np.full(len(sizes), np.nan)
+        out[whole] = found
+        return pa.array(out, mask=np.isnan(out))
+
+    return distance
+
+
 def normalized(v: Column) -> Column:
     """Unit length; a zero vector stays."""
     n = norm(v)

@@ -34,14 +34,22 @@ def distance(vector: Column, query: list[float] | Column, metric: str = "cosine"
     raise ValueError(f"no such metric: {metric}")
 
 
+def distance_of(query: list[float], metric: str = "cosine"):
+    """distance of a vector column to one query, by batches."""
+    if metric not in ("cosine", "l2", "dot"):
+        raise ValueError(f"no such metric: {metric}")
+    return V.distance_to([float(x) for x in query], metric)
+
+
 def dense_top_k(
     df: DataFrame, query: list[float], k: int = POOL, *, id: str = "chunk_id", vector: str = "embedding", metric: str = "cosine", platform: str | None = None, chunk_types: list[str] | None = None, model_version: str | None = None, prefilter: bool = False
 ) -> DataFrame:
     """(id, distance, rank) of the nearest vectors.
 
     Partition predicates come before the cut; the model's version is compared
-    after it, so that it may leave fewer than k, unless prefilter is set.  Each
-    task keeps its own k nearest: nothing is shuffled but those.
+    after it, so that it may leave fewer than k, unless prefilter is set.  A vector
+    with a null or NaN component is near nothing.  Each task keeps its own k
+    nearest: nothing is shuffled but those.
     """
     if platform is not None:
         df = df.where(F.col("platform") == platform)
@@ -52,7 +60,7 @@ def dense_top_k(
     df = df.where(V.width_is(F.col(vector), len(query)))
     keep = [id, "model_version"] if model_version is not None else [id]
     k = max(1, min(int(k), HIT_ROWS))
-    top = df.select(*keep, distance(F.col(vector), query, metric).alias("distance")).orderBy("distance", id).limit(k)
+    top = df.select(*keep, distance_of(query, metric)(F.col(vector)).alias("distance")).where(F.col("distance").isNotNull()).orderBy("distance", id).limit(k)
     if model_version is not None:
         top = top.where(F.col("model_version") == model_version).drop("model_version")
     return ranked(top, [F.col("distance"), F.col(id)])

@@ -40,6 +40,8 @@ from ..functions import text as T
 from ..sources.snapshots import Snapshots
 from . import retrieval
 
+#: The layout of what is stored.
+FORMAT = 2
 #: Postings in a block; segments of a size class that become one; documents of the smallest class.
 BLOCK, FAN, SMALLEST = 512, 4, 1_000
 #: Postings that a folder of terms is for, and documents that a folder of forward rows is for.
@@ -129,7 +131,9 @@ class TextIndex:
     def __post_init__(self) -> None:
         self.log = Snapshots(self.spark, self.path)
         self.version = self.log.latest() if self.version is None else self.version
-        self.manifest = self.log.manifest(self.version) if self.version is not None else {"segments": [], "token": None}
+        self.manifest = self.log.manifest(self.version) if self.version is not None else {}
+        if self.manifest.get("format") != FORMAT:  # another layout is built anew
+            self.manifest = {"format": FORMAT, "segments": [], "token": None}
         self._known: dict[str, list] = {}
 
     # --- writing -----------------------------------------------------------------
@@ -160,7 +164,7 @@ class TextIndex:
 
     def _replaced(self, df: DataFrame, id: str, text: str) -> TextIndex:
         made = self._segment(self._forward(self._named(df, id, text, None)))
-        return TextIndex(self.spark, self.path, self.log.commit({"segments": [made] if made["n"] else [], "token": freshness(df)}, self.version))
+        return TextIndex(self.spark, self.path, self.log.commit({"format": FORMAT, "segments": [made] if made["n"] else [], "token": freshness(df)}, self.version))
 
     def update(self, changes: DataFrame | None = None, gone: DataFrame | None = None, *, id: str = "chunk_id", text: str = "chunk_text", kind: str | None = None) -> TextIndex:
         """The handle of a snapshot with these rows new or changed and these ids gone, where the caller knows them."""
@@ -184,7 +188,7 @@ class TextIndex:
             made = self._segment(self._forward(rows))
             segments += [made] if made["n"] else []
         segments = self._merged(segments)
-        return TextIndex(self.spark, self.path, self.log.commit({"segments": segments, "token": token}, self.version))
+        return TextIndex(self.spark, self.path, self.log.commit({"format": FORMAT, "segments": segments, "token": token}, self.version))
 
     def _forward(self, rows: DataFrame) -> DataFrame:
         rows = rows.select("id", "kind", F.xxhash64("kind", "text").alias("digest"), T.search_words(F.col("text")).alias("tokens"))
@@ -242,7 +246,7 @@ class TextIndex:
     def compact(self) -> TextIndex:
         """The handle of a snapshot with all segments in one."""
         made = self._segment(self._living(self.manifest["segments"], ["id", "kind", "digest", "len", "terms", "tfs"]))
-        return TextIndex(self.spark, self.path, self.log.commit({"segments": [made] if made["n"] else [], "token": self.manifest["token"]}, self.version))
+        return TextIndex(self.spark, self.path, self.log.commit({"format": FORMAT, "segments": [made] if made["n"] else [], "token": self.manifest["token"]}, self.version))
 
     # --- reading -----------------------------------------------------------------
 

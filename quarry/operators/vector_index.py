@@ -34,9 +34,13 @@ from ..sources.snapshots import Snapshots
 from . import retrieval
 from .text_index import freshness
 
+#: The layout of what is stored.
+FORMAT = 2
 #: Rows that the centres are fitted on, and cells at most: what comes to the driver.
 SAMPLE, CELLS = 20_000, 2_048
 ROUNDS = 12
+#: Rows of each cell that a join's queries look at first, for how far they have to look at all.
+SCOUTS = 8
 #: Rows of a part of a cell, and queries of a block, that meet in one task.
 PART, BLOCK = 4_096, 1_024
 #: Norm below which a vector has no direction; room for rounding in bounds.
@@ -93,6 +97,8 @@ class VectorIndex:
         self.log = Snapshots(self.spark, self.path)
         self.version = self.log.latest() if self.version is None else self.version
         self.manifest = self.log.manifest(self.version) if self.version is not None else {}
+        if self.manifest.get("format") != FORMAT:  # another layout is built anew
+            self.manifest = {}
         if self.manifest:
             rows = self.spark.read.parquet(f"{self.log.path}/{self.manifest['cells']}").orderBy("cell").collect()  # CELLS rows at most, and two
             self.cells = np.array([r["cell"] for r in rows], dtype=int)
@@ -128,7 +134,10 @@ class VectorIndex:
         held = self.spark.read.parquet(f"{self.log.path}/{folder}").groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.min("away").alias("least"))
         points = self.spark.createDataFrame([(i, c) for i, c in enumerate(centres.tolist())], "cell int, centre array<double>")
         cells = self.log.put(held.join(F.broadcast(points), "cell", "left").coalesce(1), "cells")  # a row for each centre
-        manifest = {"token": token, "rows": folder, "cells": cells, "dim": dim, "metric": metric, "schema": made.schema.jsonValue()}
+        nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
+        some = self.spark.read.parquet(f"{self.log.path}/{folder}").where(F.col("cell") >= 0).select("id", "vector", nth.alias("nth")).where(F.col("nth") <= SCOUTS)
+        scouts = self.log.put(some.select("id", "vector").coalesce(1), "scouts")  # SCOUTS rows a cell
+        manifest = {"format": FORMAT, "token": token, "rows": folder, "cells": cells, "scouts": scouts, "dim": dim, "metric": metric, "schema": made.schema.jsonValue()}
         return VectorIndex(self.spark, self.path, self.log.commit(manifest, self.version))
 
     def rows(self) -> DataFrame:
@@ -150,7 +159,8 @@ class VectorIndex:
         k, metric = max(1, min(int(k), retrieval.HIT_ROWS)), self.manifest["metric"]
         scaled, pointed = _scaled(np.array([query], dtype=float), metric)
         rows = self.rows() if where is None else self.rows().where(where)
-        scored = lambda df: df.select(F.col("id").alias(id), retrieval.distance(F.col("vector"), query, metric).alias("distance"))
+        away = retrieval.distance_of(query, metric)
+        scored = lambda df: df.select(F.col("id").alias(id), away(F.col("vector")).alias("distance")).where(F.col("distance").isNotNull())
         report = {"cells": len(self.cells), "rows": int(self.sizes.sum())}
         ask = self.cells != ODD
         if pointed[0]:
@@ -188,34 +198,31 @@ class VectorIndex:
         in_part = spark.createDataFrame([(int(c), int(p)) for c, p in zip(self.cells, parts)], "cell int, parts int")
         rows = self.rows().join(F.broadcast(in_part), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))  # a row a cell
         kind = queries.schema["query"].dataType.simpleString()
-        handle = (self.cells, self.centres, self.radius, self.least)
-
-        def routed(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-            """(query, vector, cell) of the cells a query has to see: its nearest with rows enough, or those that its limit reaches."""
-            cells, centres, radius, least = handle
-            for batch in batches:
-                found, at = _matrix(batch.column("vector"), dim)
-                unit, pointed = _scaled(found, "cosine")
-                unit, at = unit[pointed], at[pointed]
-                apart = np.sqrt(np.maximum(0.0, 1 + (centres**2).sum(axis=1) - 2 * unit @ centres.T))
-                if first:
-                    seen = np.zeros(apart.shape, dtype=bool)
-                    if len(unit):
-                        order = np.argsort(np.where(np.isnan(apart), np.inf, apart), axis=1, kind="stable")
-                        enough = np.minimum((np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1, len(cells))
-                        for i, n in enumerate(enough):
-                            seen[i, order[i, :n]] = True
-                    seen &= cells >= FLAT
-                else:
+        scouts = self.spark.read.parquet(f"{self.log.path}/{self.manifest['scouts']}").collect()  # SCOUTS rows a cell at most
+        names = np.array([r["id"] for r in scouts], dtype=object)
+        known, _ = _scaled(np.array([r["vector"] for r in scouts], dtype=float).reshape(-1, dim), "cosine")
+        cells, centres, radius, least = self.cells, self.centres, self.radius, self.least
+
+        def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """(query, vector, cell) of the cells that hold rows as near as the query's k-th scout, or could."""
+            for whole in batches:
+                for batch in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows, BLOCK)):
+                    found, at = _matrix(batch.column("vector"), dim)
+                    unit, pointed = _scaled(found, "cosine")
+                    unit, at = unit[pointed], at[pointed]
+                    near = unit @ known.T
+                    if other and len(names):
+                        own = np.array(batch.column("query").to_pylist(), dtype=object)[at]
+                        near[own[:, None] == names[None, :]] = -np.inf
+                    edge = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] >= k else np.full(len(unit), -np.inf)
+                    limit = np.sqrt(np.maximum(0.0, 2 - 2 * edge))
+                    apart = np.sqrt(np.maximum(0.0, 1 + (centres**2).sum(axis=1) - 2 * unit @ centres.T))
                     low = np.maximum(0.0, np.maximum(apart - radius, least - apart))
-                    low[:, cells == FLAT], low[:, cells == ODD] = 0.0, np.inf
-                    limit = np.asarray(batch.column("limit").to_numpy(zero_copy_only=False), dtype=float)[at]
-                    seen = low <= limit[:, None] + ROOM
-                q, c = np.nonzero(seen)
-                picked = pa.array(at[q])
-                yield pa.RecordBatch.from_arrays([batch.column("query").take(picked), batch.column("vector").take(picked), pa.array(cells[c].astype(np.int32))], names=["query", "vector", "cell"])
-
-        sizes = self.sizes
+                    low[:, cells == FLAT], low[:, cells == ODD] = 0.0, np.nan
+                    q, c = np.nonzero(low <= limit[:, None] + ROOM)
+                    picked = pa.array(at[q])
+                    yield pa.RecordBatch.from_arrays([batch.column("query").take(picked), batch.column("vector").take(picked), pa.array(cells[c].astype(np.int32))], names=["query", "vector", "cell"])
+
         vectors = queries.schema["vector"].dataType.simpleString()
         answer = StructType.fromDDL(f"query {kind}, id {rows.schema['id'].dataType.simpleString()}, qv {vectors}, rv {rows.schema['vector'].dataType.simpleString()}, {''.join(f'`{c}` {rows.schema[c].dataType.simpleString()}, ' for c in keep)}near double")
 
@@ -244,13 +251,7 @@ class VectorIndex:
             return spread.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(meet, answer)
 
         shape = f"query {kind}, vector {vectors}, cell int"
-        asked = queries.select("query", "vector")
-        nearest = met(asked.mapInArrow(lambda b: routed(b, True), shape))
-        edge = Window.partitionBy("query").orderBy(F.desc("near"))
-        kth = nearest.select("query", "near").withColumn("n", F.row_number().over(edge)).where(F.col("n") <= k).groupBy("query").agg(F.count("*").alias("n"), F.min("near").alias("near"))
-        limit = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("near")))).otherwise(F.lit(float("inf")))
-        limited = asked.join(kth.select("query", limit.alias("limit")), "query", "left").na.fill(float("inf"), ["limit"])
-        found = met(limited.mapInArrow(lambda b: routed(b, False), shape))
+        found = met(queries.select("query", "vector").mapInArrow(routed, shape))
         exact = found.select("query", "id", V.cosine(F.col("qv"), F.col("rv")).alias("similarity"), *keep)
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
         return exact.withColumn("place", place).where(F.col("place") <= k)
