@@ -32,6 +32,8 @@ LEAST_DOCS = 10
 #: Characteristic terms of a group.
 TOP_TERMS = 10
 UNIT = 1_000_000_000
+#: Rows of groups with terms that a part of a language's vocabulary makes, about.
+PART_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,8 +61,6 @@ def distance(p: Column, q: Column) -> Column:
 
 def source_divergence(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank): see op12_source_divergence."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group, word = ["lang", "source"], ["lang", "term"]
     counts = materialize(term_counts(docs), "term-counts")
     vocabulary = materialize(counts.groupBy(*word).agg(F.sum("n").alias("of_lang"), F.sum("d").alias("docs")).where(F.col("docs") >= least_docs).select(*word, "of_lang"), "vocabulary")
@@ -73,9 +73,10 @@ def source_divergence(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top_term
     )
 
     # Every group with every term of its language; the language's terms come in parts, each with a copy of its groups.
-    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("nth")
-    copies = groups.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dense = vocabulary.select("*", part).join(copies, ["lang", "nth"]).drop("nth").join(counts.select(*group, "term", "n"), [*group, "term"], "left").na.fill(0, ["n"])
+    parts = groups.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.max("terms") / PART_ROWS)).cast("int").alias("parts"))
+    copies = groups.join(parts, "lang").withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    part = F.pmod(F.xxhash64("term"), F.col("parts")).cast("int")
+    dense = vocabulary.join(parts, "lang").withColumn("nth", part).drop("parts").join(copies, ["lang", "nth"]).drop("nth").join(counts.select(*group, "term", "n"), [*group, "term"], "left").na.fill(0, ["n"])
     dense = materialize(
         dense.select(*group, "term", "n", smoothed(F.col("n"), F.col("total"), F.col("terms")).alias("p"), smoothed(F.col("of_lang"), F.col("lang_total"), F.col("terms")).alias("q")), "dense"
     )

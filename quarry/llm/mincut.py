@@ -167,7 +167,7 @@ def sample_pages(n: int = FIT_PAGES, seed: int = 11) -> list[tuple[str, list[tup
         if rng.random() < 0.4:
             parts.append(group("aside", "sidebar widget related", block("h3", phrase(1, 4), False) + links(4) + (block("p", sentences(1), False) if style != "plain" else "")))
         if rng.random() < 0.3 and style != "plain":
-            parts.append(f'<{pick("section", "div")} {pick("class", "id")}="{pick("comments", "comment-list", "replies")}">' + "".join(block("p", sentences(int(rng.integers(1, 4))), False) for _ in range(3)) + "</div></section>")
+            parts.append(f'<{pick("section", "div")} {pick("class", "id")}="{pick("comments", "comment-list", "replies")}">' + "".join(block("p", sentences(int(rng.integers(1, 4))), False) for _ in range(int(rng.integers(1, 12)))) + "</div></section>")
         if rng.random() < 0.3:
             parts.append(group("form", "newsletter login subscribe search-box", small()))
         if rng.random() < 0.9:

@@ -41,6 +41,11 @@ _TOKEN = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 SIDE_WORDS = frozenset(
     "ad ads adsense advert advertisement advertising advertorial adverts alert alerts aside banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus discussion feedback foot footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications outbrain overlay pager pagination paging paywall popular popup promo promoted promotion rail recommended recommendations register related replies reply respond responses search share sharing shoutbox sidebar signin signup skip social sponsor sponsored sponsors submenu subscribe subscription taboola tagcloud teaser teasers toolbar topbar trending widget widgets".split()
 )
+#: Of these, the ones that no wrapper of an article is named after.
+FIRM_WORDS = frozenset("comment commentlist comments discussion disqus foot footer menu nav navigation replies reply respond responses".split())
+#: The same where words are written as one.
+_RUN_ON = re.compile(r"cookie|sidebar|newsletter|sponsor|advert|breadcrumb|navigation|masthead|^ad(?:s|box|slot|unit|space|zone|wrap|wrapper|container|block)s?$|^(?:nav|menu)|(?:nav|menu)$")
+_RUN_ON_FIRM = re.compile(r"^comments?(?:$|area|box|form|list|section|thread|wrap|block|container)|comments?$|^footer|footer$")
 MAIN_WORDS = frozenset("article articlebody blogpost body content entry main post prose story text".split())
 SIDE_TAGS = frozenset("aside dialog footer form menu nav search".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -48,7 +53,7 @@ MAIN_TAGS = frozenset("article main".split())
 
 @dataclass
 class Element:
-    """side: 2 if its tag or role says boilerplate, 1 if a word does; main: the same of the article."""
+    """side: 2 if its tag, its role or a firm word says boilerplate, 1 if another word does; main: 2 if tag or role say article, 1 if a word does."""
 
     tag: str
     parent: int
@@ -85,11 +90,12 @@ def _hints(tag: str, attributes: str, in_main: bool) -> tuple[int, int]:
             side = 2
         else:
             words = {w.lower() for w in _TOKEN.findall(value)}
-            found = words & SIDE_WORDS
+            firm = words & FIRM_WORDS or any(_RUN_ON_FIRM.search(w) for w in words)
+            found = words & SIDE_WORDS | {w for w in words if _RUN_ON.search(w)} | ({"firm"} if firm else set())
             if found == {"header"} and (in_main or words & MAIN_WORDS):
                 found = set()
             if found:
-                side = max(side, 2 if name == "role" else 1)
+                side = max(side, 2 if firm or name == "role" else 1)
             if words & MAIN_WORDS:
                 main = max(main, 2 if name == "role" else 1)
     return side, (0 if side else main)

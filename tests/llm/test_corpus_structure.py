@@ -19,6 +19,7 @@ from .conftest import DOCS, prose
 
 # --- op11 ----------------------------------------------------------------------
 
+READERS = "".join(f"<div class='comment'><div class='content'><p>Reader {i} says that this was a very good article, and I think so too, because of many things.</p></div></div>" for i in range(12))
 #: Written by hand, none by the generator that the classifier is fitted on: (html, text).
 PAGES = {
     "semantic": (
@@ -64,6 +65,16 @@ PAGES = {
     "bare": ("Just a line of text without any markup at all.", "Just a line of text without any markup at all."),
     "cut off": ("<article><p>Hello there, this page was cut off in the mid<a hr", "Hello there, this page was cut off in the mid"),
     "script is no text": ('<article><p>Before it.</p><script>if (a < b) { x = "</p>"; }</script><style>p{}</style><noscript><p>Turn it on</noscript><p>After it.</p><select><option>1<option>2</select><p>End.</p></article>', "Before it.\nAfter it.\nEnd."),
+    "comments longer than the article": (f"<body><div id=page><div class='entry-content'><h1>T</h1><p>Short article text stands here.</p></div><div class='comments'>{READERS}</div></div></body>", "T\nShort article text stands here."),
+    "comments in the article": (f"<body><article><h1>T</h1><p>Short article text stands here.</p><section id='comments-section'>{READERS}</section></article></body>", "T\nShort article text stands here."),
+    "names written as one": (
+        """<body><div id='topnav'><a href=1>A</a><a href=2>B</a></div><div class='cookiebar'>This site stores data on your machine. Fine.</div><div class='adbox'>Buy it now, it is the best there is.</div><article><h1>T</h1><p>Text here stands.</p><div class='adslot'>Buy more of it.</div><p>More text.</p></article><div id='leftsidebar'><p>Something about the author, who lives in a town.</p></div><div class='usercomments'><p>Nice, I like it very much indeed.</p></div><div id='pagefooter'>Bye now</div></body>""",
+        "T\nText here stands.\nMore text.",
+    ),
+    "an article named commentary": ("<body><nav><a href=1>x</a></nav><div class='commentary'><h1>On things</h1><p>This is a commentary on things that happened yesterday.</p><p>It has two paragraphs, and ends.</p></div></body>", "On things\nThis is a commentary on things that happened yesterday.\nIt has two paragraphs, and ends."),
+    "several posts": ("<body><header><h1>Blog of X</h1><p>All about things that matter to us.</p></header><div class='post'><h2>Post title</h2><p>Post text is here, and it is good.</p></div><div class='post'><h2>Other title</h2><p>Other text is here as well.</p></div></body>", "Post title\nPost text is here, and it is good.\nOther title\nOther text is here as well."),
+    "a page laid out by a table": ("<body><table><tr><td class='menu'><a href=1>Home</a><br><a href=2>Links</a></td><td class='content'><h1>Old page</h1><p>Old pages were made of tables, and this is one of them.</p><p>It still works.</p></td></tr></table></body>", "Old page\nOld pages were made of tables, and this is one of them.\nIt still works."),
+    "links and small print in the article": ("<body><nav><a href=1>x</a></nav><article><h1>Links</h1><p><a href=1>All of this paragraph is one link to somewhere else.</a></p><ul><li><a href=2>One</a></li><li><a href=3>Two</a></li></ul><p>© 2020 is what the stone says, and all rights reserved.</p></article></body>", "Links\nAll of this paragraph is one link to somewhere else.\nOne\nTwo\n© 2020 is what the stone says, and all rights reserved."),
     "menu only": ("<nav><a href=1>a</a></nav>", ""),
     "empty": ("", ""),
     "null": (None, ""),
