@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
-from ..sources.snapshots import Snapshots
+from ..sources.snapshots import Conflict, Snapshots
 from . import retrieval
 
 #: The layout of what is stored.
@@ -244,7 +244,9 @@ class TextIndex:
             segments = [s for s in segments if not any(s is d for d in due)] + ([made] if made["n"] else [])
 
     def compact(self) -> TextIndex:
-        """The handle of a snapshot with all segments in one."""
+        """The handle of a snapshot with all segments in one: this one where there is one without dead rows."""
+        if len(self.manifest["segments"]) == 1 and not self.manifest["segments"][0]["n_dead"]:
+            return self
         made = self._segment(self._living(self.manifest["segments"], ["id", "kind", "digest", "len", "terms", "tfs"]))
         return TextIndex(self.spark, self.path, self.log.commit({"format": FORMAT, "segments": [made] if made["n"] else [], "token": self.manifest["token"]}, self.version))
 
@@ -458,11 +460,17 @@ _OPEN: dict[tuple[str, str], TextIndex] = {}
 def open_index(df: DataFrame, path: str, *, id: str = "chunk_id", text: str = "chunk_text", kind: str | None = None) -> TextIndex:
     """The index below path, brought up to df's rows."""
     at = (df.sparkSession.sparkContext.applicationId, path)
-    index = _OPEN.get(at)
-    if index is None or index.version != index.log.latest():
-        index = TextIndex(df.sparkSession, path)
-    _OPEN[at] = index = index.sync(df, id=id, text=text, kind=kind)
-    return index
+    for attempt in range(3):
+        index = _OPEN.get(at)
+        if index is None or index.version != index.log.latest():
+            index = TextIndex(df.sparkSession, path)
+        try:
+            _OPEN[at] = index = index.sync(df, id=id, text=text, kind=kind)
+            return index
+        except Conflict:  # another writer was first: what it left is brought up to date
+            if attempt == 2:
+                raise
+    raise AssertionError
 
 
 def newest(spark: SparkSession, path: str) -> int | None:

@@ -8,6 +8,7 @@ benchmark for queries.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -123,8 +124,17 @@ def bm25_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_TOP50)
 def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from an index that was made in one segment, from all segments of what is there."""
-    return index_of(spark, sf).compact().search(WORDS, 50).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+    """The same from an index that came to hold all documents by three syncs and a compaction.
+
+    At first some are missing, some have another text and some are there that
+    go; then all are there, some still with that text; then all as they are.
+    """
+    rows, path = chunks(spark, sf), f"{shared_folder(spark)}/bm25-steps-{uuid.uuid4().hex}"
+    old = rows.withColumn("chunk_text", F.when(F.col("chunk_id") % 5 == 0, F.lit("the old words of it")).otherwise(F.col("chunk_text")))
+    gone = rows.where("chunk_id % 7 = 0").withColumn("chunk_id", -1 - F.col("chunk_id"))
+    for step in (old.where("chunk_id % 3 > 0").unionByName(gone), old, rows):
+        index = text_index.TextIndex(spark, path).sync(step, kind="platform")
+    return index.compact().search(WORDS, 50).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_BM25 + ", top AS (SELECT * FROM bm WHERE lang = 'fr' ORDER BY score, doc_id LIMIT 50) SELECT doc_id, round(score, 6) AS score FROM top")
