@@ -15,8 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.listing import list_files, note_files
 from ..sources.snapshots import Tables
-from ..sources.vault import note_segments, parse_notes
+from ..sources.vault import note_segments, parse_notes, read_notes
 from . import maintain
 from .chunking import all_chunks
 
@@ -59,11 +60,19 @@ class Reindex:
         done = self.tables.read("work").where(F.col("model_version") == self.model).select(F.col("folder").alias("_f"), F.col("mtime_ms").alias("_m"))
         return notes.join(done, (F.col("folder") == F.col("_f")) & (F.col("mtime_ms") <= F.col("_m")), "left_anti")
 
-    def run(self, notes: DataFrame, *, batch: int = 1_000, progress: Callable[[Summary], None] | None = None) -> Summary:
-        """Drops what has no note any more, then works through what is pending, batch by batch, each one snapshot."""
+    def run_vault(self, root: str, *, batch: int = 1_000, progress: Callable[[Summary], None] | None = None) -> Summary:
+        """run over a vault's folder: its files are listed, and only pending notes are opened, a batch's at a time."""
+        notes = note_files(list_files(self.spark, root)).select("path", "folder", "mtime_ms")
+        return self.run(notes, batch=batch, read=lambda paths: read_notes(self.spark, paths), progress=progress)
+
+    def run(self, notes: DataFrame, *, batch: int = 1_000, read: Callable[[list[str]], DataFrame] | None = None, progress: Callable[[Summary], None] | None = None) -> Summary:
+        """Drops what has no note any more, then works through what is pending, batch by batch, each one snapshot.
+
+        notes has (path, folder, mtime_ms), and raw unless read gives it for a batch's paths.
+        """
         out = Summary()
         if self.tables.log.latest() is None:
-            self._begin(notes)
+            self._begin(notes if read is None else notes.withColumn("raw", F.lit("")))
         gone = maintain.missing(self.tables.read("work"), notes, "folder")
         if not gone.isEmpty():
             out.dropped = gone.count()
@@ -74,10 +83,15 @@ class Reindex:
             folders = gone.select("folder")
             self.tables.change({"videos": drop, "chunks": drop, "work": lambda rows: rows.join(folders, "folder", "left_anti")}, {"videos": ids, "chunks": ids, "work": folders})
         while True:
-            names = [r[0] for r in self.pending(notes).select("folder").distinct().orderBy("folder").limit(batch).collect()]  # a batch's names
-            if not names:
+            due = self.pending(notes).groupBy("folder").agg(F.min("path").alias("path"), F.max("mtime_ms").alias("mtime_ms")).orderBy("folder").limit(batch).collect()  # a batch's names
+            if not due:
                 break
-            self._batch(notes.where(F.col("folder").isin(names)), out)
+            names = [r["folder"] for r in due]
+            rows = notes.where(F.col("folder").isin(names))
+            if read is not None:  # what is listed counts: a note that went or changed since is seen by the next run
+                listed = self.spark.createDataFrame([(r["folder"], r["path"], r["mtime_ms"]) for r in due], "folder string, path string, mtime_ms long")
+                rows = listed.join(read([r["path"] for r in due]).select("folder", "raw"), "folder", "left")
+            self._batch(rows, out)
             if progress:
                 progress(out)
         out.off_model = self.tables.read("chunks").where(F.col("model_version") != self.model).count()

@@ -29,6 +29,12 @@ def scan_notes(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("folder", F.element_at(F.split("path", "/"), -2)).withColumn("mtime_ms", F.unix_millis("modificationTime")).drop("modificationTime")
 
 
+def read_notes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, folder, mtime_ms, raw) of these notes, no others are opened; one that is gone meanwhile has no row."""
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths)
+    return files.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("raw"))
+
+
 def frontmatter(raw: Column) -> Column:
     """The lines between a first line --- and the next; null where there are none."""
     return F.nullif(F.regexp_extract(raw, r"(?s)\A---[ \t]*\r?\n(.*?\n)---[ \t]*(?:\r?\n|\z)", 1), F.lit(""))

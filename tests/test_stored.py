@@ -392,6 +392,24 @@ def test_reindex_goes_on_where_it_was_killed(spark, tmp_path):
     assert other.tables.read("chunks").where("video_id = 'yt:id0'").count() == 0 and "news" in other.tables.read("chunks").where("video_id = 'yt:id1' AND chunk_type = 'body'").first()["chunk_text"]
 
 
+def test_reindex_of_a_vault_opens_pending_notes_only(spark, tmp_path, vault, monkeypatch):
+    from quarry.operators import reindex
+
+    opened = []
+    real = reindex.read_notes
+    monkeypatch.setattr(reindex, "read_notes", lambda s, paths: opened.append(sorted(os.path.basename(os.path.dirname(p)) for p in paths)) or real(s, paths))
+    embed = lambda chunks: chunks.withColumn("embedding", F.array(F.lit(1.0).cast("float"))).withColumn("model_version", F.lit("m"))
+    job = Reindex(spark, f"{tmp_path}/ix", embed, "m", buckets=2)
+    assert job.run_vault(str(vault), batch=2).videos == 3 and opened == [["one", "three"], ["two"]]
+    note = vault / "tiktok" / "two" / "video.md"
+    note.write_text(note.read_text() + "[0:50] news\n")
+    os.utime(note, (4_000_000_000, 4_000_000_000))
+    opened.clear()
+    assert job.run_vault(str(vault), batch=2).videos == 1 and opened == [["two"]]
+    assert "news" in job.tables.read("chunks").where("video_id = 'tt:700001' AND chunk_type = 'body'").first()["chunk_text"]
+    assert rows_of(job.tables.read("videos").select("video_id", "folder")) == [("ig:Cxy", "three"), ("tt:700001", "two"), ("yt:abc123xyz00", "one")]
+
+
 def test_library_answers_from_the_index(spark, tmp_path, vault):
     from quarry.plans.api import HashingEmbedder, Library, embed_column
     from quarry.sources.vault import parse_notes, scan_notes
