@@ -32,6 +32,7 @@ LEAST_DOCS = 10
 #: Characteristic terms of a group.
 TOP_TERMS = 10
 UNIT = 1_000_000_000
+LONGEST = 2**63 - 1
 #: Rows of groups with terms that a part of a language's vocabulary makes, about.
 PART_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,7 +40,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, d): occurrences, and documents with the term, of every group."""
-    terms = F.array_remove(F.split(F.translate(tidy(F.col("text")), UPPER, LOWER), GAP), "")
+    text = tidy(F.col("text"))
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))  # lower changes no more than A-Z of ASCII
+    terms = F.array_remove(F.split(lowered, GAP), "")
     found = docs.select(tidy(F.col("lang")).alias("lang"), tidy(F.col("source")).alias("source"), terms.alias("found"))
     # Every occurrence, then every term once: what comes after the last occurrence counts documents.
     rows = found.select("lang", "source", F.size("found").alias("last"), F.posexplode(F.concat("found", F.array_distinct("found"))).alias("at", "term"))
@@ -49,9 +52,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def smoothed(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(UNIT * (count + 2) / (total + 2 * terms)), exactly."""
-    share = (F.lit(UNIT) * (count + 2).cast("decimal(19,0)")).cast("decimal(38,0)")
-    return F.lit(1) + F.call_function("div", share, (total + 2 * terms).cast("decimal(38,0)"))
+    """1 + floor(UNIT * (count + 2) / (total + 2 * terms)), exactly: in 64 bits where the product fits, else in decimals."""
+    least, all_ = count + 2, total + 2 * terms
+    wide = F.call_function("div", (F.lit(UNIT) * least.cast("decimal(19,0)")).cast("decimal(38,0)"), all_.cast("decimal(38,0)"))
+    return F.lit(1) + F.when(least < LONGEST // UNIT, F.call_function("div", F.lit(UNIT).cast("long") * least, all_)).otherwise(wide)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -76,9 +80,10 @@ def source_divergence(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top_term
     parts = groups.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.max("terms") / PART_ROWS)).cast("int").alias("parts"))
     copies = groups.join(parts, "lang").withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     part = F.pmod(F.xxhash64("term"), F.col("parts")).cast("int")
-    dense = vocabulary.join(parts, "lang").withColumn("nth", part).drop("parts").join(copies, ["lang", "nth"]).drop("nth").join(counts.select(*group, "term", "n"), [*group, "term"], "left").na.fill(0, ["n"])
+    rated = vocabulary.join(parts, "lang").join(langs, "lang").select(*word, part.alias("nth"), smoothed(F.col("of_lang"), F.col("lang_total"), F.col("terms")).alias("q"))
+    dense = rated.join(copies, ["lang", "nth"]).drop("nth").join(counts.select(*group, "term", "n"), [*group, "term"], "left").na.fill(0, ["n"])
     dense = materialize(
-        dense.select(*group, "term", "n", smoothed(F.col("n"), F.col("total"), F.col("terms")).alias("p"), smoothed(F.col("of_lang"), F.col("lang_total"), F.col("terms")).alias("q")), "dense"
+        dense.select(*group, "term", "n", smoothed(F.col("n"), F.col("total"), F.col("terms")).alias("p"), "q"), "dense"
     )
 
     left = dense.select(*word, F.col("source").alias("a"), F.col("p"))
