@@ -11,8 +11,8 @@ from quarry.streaming import ingest
 NOTE = """---
 title: "A \\"quoted\\" title"
 platform: youtube
-video_id: abc123
-url: https://www.youtube.com/watch?v=abc123
+video_id: q7Zk2w
+url: https://www.youtube.com/watch?v=q7Zk2w
 channel: "Chan: nel"
 duration: "1:05"
 date_saved: 2024-05-06T07:08:09Z
@@ -57,8 +57,8 @@ def root(tmp_path_factory):
 
 def test_notes(spark, root):
     got = {r["video_id"]: r for r in vault.parse_notes(vault.scan_notes(spark, root)).collect()}
-    assert set(got) == {"yt:abc123", "tt:p1"}
-    r = got["yt:abc123"]
+    assert set(got) == {"yt:q7Zk2w", "tt:p1"}
+    r = got["yt:q7Zk2w"]
     assert (r["title"], r["channel"], r["duration_ms"], r["tags"], r["description"]) == ('A "quoted" title', "Chan: nel", 65000, ["x, y", "z"], "First line.")
     assert [(s["ms"], s["text"]) for s in r["transcript"]] == [(0, "hello there"), (5000, "general"), (65500, "end")]
     assert [(s["ms"], s["text"]) for s in r["screen"]] == [(7000, "SLIDE")]
@@ -69,7 +69,7 @@ def test_chunks_of_notes(spark, root):
     videos = vault.parse_notes(vault.scan_notes(spark, root))
     rows = all_chunks(videos, vault.note_segments(videos)).collect()
     kinds = sorted((r["video_id"], r["chunk_type"]) for r in rows)
-    assert kinds == [("tt:p1", "header"), ("yt:abc123", "body"), ("yt:abc123", "frame_text"), ("yt:abc123", "header")]
+    assert kinds == [("tt:p1", "header"), ("yt:q7Zk2w", "body"), ("yt:q7Zk2w", "frame_text"), ("yt:q7Zk2w", "header")]
     body = next(r for r in rows if r["chunk_type"] == "body")
     assert body["chunk_text"] == "[0:00] hello there\n[0:05] general\n[1:05] end" and (body["chunk_start_ms"], body["chunk_end_ms"]) == (0, 65500)
     assert "Timestamp: [0:00 – 1:05]" in body["embedding_input"]
@@ -80,15 +80,15 @@ def test_frames_and_manifest(spark, root, tmp_path):
     assert sorted(r["frame_ms"] for r in vault.list_frames(spark, root).collect()) == [0, 5, 438000]
     assert sorted(r["frame_ms"] for r in vault.list_frames(spark, root, least_digits=8).collect()) == [0, 438000]
     rows = vault.read_manifest(spark, root)
-    assert {r["videoID"] for r in rows.collect()} == {"abc123", "p1"}
+    assert {r["videoID"] for r in rows.collect()} == {"q7Zk2w", "p1"}
     sinks.write_manifest(rows, f"{tmp_path}/out")
     text = "".join(r["value"] for r in spark.read.text(f"{tmp_path}/out").collect())
     entries = json.loads(text)
-    assert [e["videoID"] for e in entries] == ["abc123", "p1"] and entries[0]["tags"] == ["x, y", "z"]
+    assert [e["videoID"] for e in entries] == ["q7Zk2w", "p1"] and entries[0]["tags"] == ["x, y", "z"]
     for kind, body in (("bare", text), ("held", json.dumps({"videos": entries}))):
         (tmp_path / kind).mkdir()
         (tmp_path / kind / "manifest.json").write_text(body)
-        assert {r["videoID"] for r in vault.read_manifest(spark, f"{tmp_path}/{kind}").collect()} == {"abc123", "p1"}
+        assert {r["videoID"] for r in vault.read_manifest(spark, f"{tmp_path}/{kind}").collect()} == {"q7Zk2w", "p1"}
 
 
 @pytest.mark.parametrize("garbage", ["", "text", "{", '{"a": 1}', "[1, 2, 3]", "x" * 10000, "﻿[]"])
@@ -153,7 +153,7 @@ def test_streaming_ingest(spark, root, tmp_path):
     for _ in range(2):  # the second run has no new note
         ingest.ingest(ingest.note_stream(spark, root), out, f"{tmp_path}/state").awaitTermination()
     rows = ingest.current_chunks(spark, out).collect()
-    assert sorted({r["video_id"] for r in rows}) == ["tt:p1", "yt:abc123"] and len(rows) == 4
+    assert sorted({r["video_id"] for r in rows}) == ["tt:p1", "yt:q7Zk2w"] and len(rows) == 4
 
 
 def test_queued_links(spark, tmp_path):

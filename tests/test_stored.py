@@ -124,8 +124,9 @@ def test_index_after_syncs_edits_deletes_and_compaction(spark, tmp_path, monkeyp
     rows[5000] = (5000, "tiktok", "w59 w59")
     rows.pop(1000)
     agree(spark, known, list(rows.values()), queries[:3])
+    assert whole.compact() is whole  # one segment, none dead
     with pytest.raises(Conflict):
-        whole.compact()
+        whole.update(gone=spark.createDataFrame([(1,)], "chunk_id long"))
 
 
 def test_few_blocks_of_a_frequent_word_are_read(spark, tmp_path, monkeypatch):
@@ -283,7 +284,7 @@ def test_queue_starts_one_link_at_a_time_and_takes_it_again_when_done(spark, tmp
 @pytest.fixture()
 def vault(tmp_path):
     root = tmp_path / "vault"
-    for platform, name, raw in (("youtube", "one", "abc123xyz00"), ("tiktok", "two", "700001"), ("instagram", "three", "Cxy")):
+    for platform, name, raw in (("youtube", "one", "Kq7Zk2wLm09"), ("tiktok", "two", "700001"), ("instagram", "three", "Cxy")):
         folder = root / platform / name
         folder.mkdir(parents=True)
         text = f"---\ntitle: Title {name}\nplatform: {platform}\nvideo_id: {raw}\nduration: 1:30\ndate_saved: 2024-05-06\ntags: [a, b]\n---\n\n## Transcript\n\n[0:00] hello from {name}\n[0:30] more words of it\n"
@@ -407,7 +408,7 @@ def test_reindex_of_a_vault_opens_pending_notes_only(spark, tmp_path, vault, mon
     opened.clear()
     assert job.run_vault(str(vault), batch=2).videos == 1 and opened == [["two"]]
     assert "news" in job.tables.read("chunks").where("video_id = 'tt:700001' AND chunk_type = 'body'").first()["chunk_text"]
-    assert rows_of(job.tables.read("videos").select("video_id", "folder")) == [("ig:Cxy", "three"), ("tt:700001", "two"), ("yt:abc123xyz00", "one")]
+    assert rows_of(job.tables.read("videos").select("video_id", "folder")) == [("ig:Cxy", "three"), ("tt:700001", "two"), ("yt:Kq7Zk2wLm09", "one")]
 
 
 def test_library_answers_from_the_index(spark, tmp_path, vault):
@@ -417,9 +418,9 @@ def test_library_answers_from_the_index(spark, tmp_path, vault):
     e = HashingEmbedder(64)
     raw = scan_notes(spark, str(vault))
     videos = parse_notes(raw).select("video_id", "title", "channel", "platform", "url", "duration_ms", "date_saved", "folder", "path")
-    rows = [(1, "yt:abc123xyz00", "youtube", "header", 0, None, None, "Title one bread"), (2, "yt:abc123xyz00", "youtube", "body", 0, 0, 40000, "knead the dough"), (3, "tt:700001", "tiktok", "body", 0, 0, 9000, "fast cars bread")]
+    rows = [(1, "yt:Kq7Zk2wLm09", "youtube", "header", 0, None, None, "Title one bread"), (2, "yt:Kq7Zk2wLm09", "youtube", "body", 0, 0, 40000, "knead the dough"), (3, "tt:700001", "tiktok", "body", 0, 0, 9000, "fast cars bread")]
     chunks = embed_column(spark.createDataFrame(rows, "chunk_id bigint, video_id string, platform string, chunk_type string, chunk_index int, chunk_start_ms bigint, chunk_end_ms bigint, chunk_text string"), "chunk_text", e)
-    frames = spark.createDataFrame([(1, "yt:abc123xyz00", "youtube", 10000, "p1")], "frame_id bigint, video_id string, platform string, frame_ms bigint, frame_path string")
+    frames = spark.createDataFrame([(1, "yt:Kq7Zk2wLm09", "youtube", 10000, "p1")], "frame_id bigint, video_id string, platform string, frame_ms bigint, frame_path string")
     notes = videos.select("video_id", "path").join(raw.select("path", "raw"), "path")
     plain = Library(videos, chunks, frames, e)
     lib = Library(videos, chunks, frames, e, index=text_index.TextIndex(spark, f"{tmp_path}/ix"), notes=notes, files=listing.list_files(spark, str(vault)))
