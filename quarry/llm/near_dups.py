@@ -23,10 +23,15 @@ Blocks cost the square of a bucket, so two kinds of crowd are first made small,
 without any loss.  A class of over ``CROWD`` texts lies in many buckets that are
 nearly alike: it meets the others of all of them at once.  A bucket with over
 ``CROWD`` texts outside its largest class (a template that much text shares) is
-parted by prefixes: with elements in one order for all, rarest first, two texts
-of similarity 0.8 have an element in common among the first fifth of each, so
-only texts that share such an element are compared.  Below that size blocks
-move less.  Every link is verified on the whole texts.  Classes are connected
+parted by prefixes.  Elements have one order for all, rarest first.  Texts of
+a and b elements, a <= b, that are similar share at least ``c (a + b)`` of
+them, so the first of them in that order lies among the first
+``a - c (a + b) + 1`` of the one and ``b - c (a + b) + 1`` of the other.  The
+smaller text is filed under its size and its first ninth, which does for every
+larger one; the larger looks each size up with just the prefix which that size
+allows.  So what a template's texts share is looked up by none of them whose
+own parts keep it under the threshold, and such a family costs its texts, not
+their pairs.  Every link is verified on the whole texts.  Classes are connected
 components.
 
 Defined results: equal texts are one class, the empty text (and null) among
@@ -63,8 +68,12 @@ PARTNER_SHARE = 512
 PARTNER_ROUNDS = 2
 #: Texts and bytes of a block, about, and elements whose overlaps are counted at a time.
 BLOCK_ROWS, BLOCK_BYTES, ELEMENTS = 512, 4 << 20, 4_096
-#: Texts of a class or of a bucket's lesser classes from which on blocks cost more than parting them.
-CROWD = 4_096
+#: Texts of a class or of a bucket's lesser classes that a block holds; more are parted.
+CROWD = BLOCK_ROWS
+#: Elements that two similar texts share, as a part of what both have together.
+SHARED = SIMILARITY / (1 + SIMILARITY)
+#: Sizes of texts that are filed together differ by an 80th at most.
+SIZES = 80
 #: Cells in which elements are counted to order them: a fixed size, whatever the corpus.
 CELLS = 1 << 18
 
@@ -270,12 +279,23 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([o[0] for o in out], pa.binary()), "v": pa.array([o[1] for o in out], pa.binary())})
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
-    """(key, node, class, bytes): for each of texts (node, class, text) the elements of which a similar text must share one.
+def size_edges() -> np.ndarray:
+    """The least size of each step of sizes: one size each up to SIZES, then an 80th more each time."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(edges[-1] + max(1, edges[-1] // SIZES))
+    return np.array(edges)
+
 
-    Any order of elements that all texts share will do; rarest first keeps the
-    buckets small.  Rarity is counted in CELLS cells, so what every task gets
-    of it has a fixed size.
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(key, node, class, bytes, own, low, high): for each of texts (node, class, text) the elements of which a similar text must share one.
+
+    own is the step of the text's size, where the element is one it is filed
+    under, else null; low to high are the steps it looks up with the element.
+    Of two similar texts the smaller one's own step is among those that the
+    larger looks up, with an element that both have.  Any order of elements
+    that all texts share will do; rarest first keeps the buckets small.  Rarity
+    is counted in CELLS cells, so what every task gets of it has a fixed size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,17 +311,28 @@ def prefixes(texts: DataFrame) -> DataFrame:
     rarity[often["cell"].to_numpy(dtype=np.int64)] = often["n"].to_numpy(dtype=np.int64)
     shared = texts.sparkSession.sparkContext.broadcast(rarity)
 
+    edges = size_edges()
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         element, row, size = _elements(batch.column(2))
         order = np.lexsort((element, shared.value[(element % np.uint64(CELLS)).astype(np.int64)], row))
         element, row = element[order], row[order]
-        begin = np.searchsorted(row, np.arange(len(size)))
-        head = np.flatnonzero(np.arange(len(row)) - begin[row] <= (size - np.ceil(SIMILARITY * size - 1e-9))[row])
+        size = size.astype(np.int64)
+        place, long = np.arange(len(row)) - np.searchsorted(row, np.arange(len(size)))[row], size[row]
+        step = lambda n: np.searchsorted(edges, n, side="right") - 1
+        # The largest partner for which the element still lies in the prefix, and the least that a similar text may be.
+        most = np.floor((long - place + 1e-9) / SHARED - long).astype(np.int64)
+        least = np.ceil(SIMILARITY * long - 1e-9).astype(np.int64)
+        head = np.flatnonzero(most >= least)
+        place, long, most, least = place[head], long[head], most[head], least[head]
+        filed = place <= long - np.ceil(2 * SHARED * long - 1e-9)
         at = pa.array(row[head])
-        long = pc.cast(pc.binary_length(batch.column(2)), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(element[head].view(np.int64)), *(c.take(at) for c in (batch.column(0), batch.column(1), long))], ["key", "node", "class", "bytes"])
+        size_of = pc.cast(pc.binary_length(batch.column(2)), pa.int64())
+        steps = [pa.array(step(long), pa.int32(), mask=~filed), pa.array(step(least), pa.int32()), pa.array(np.minimum(step(long), step(most)), pa.int32())]
+        names = ["key", "node", "class", "bytes", "own", "low", "high"]
+        return pa.RecordBatch.from_arrays([pa.array(element[head].view(np.int64)), *(c.take(at) for c in (batch.column(0), batch.column(1), size_of)), *steps], names)
 
-    return map_arrow(texts.select("node", "class", "text"), run, "key bigint, node binary, class binary, bytes bigint")
+    return map_arrow(texts.select("node", "class", "text"), run, "key bigint, node binary, class binary, bytes bigint, own int, low int, high int")
 
 
 def _by_class(now: DataFrame, spent: list[DataFrame]) -> DataFrame:
@@ -321,38 +352,91 @@ def _by_class(now: DataFrame, spent: list[DataFrame]) -> DataFrame:
     return now.join(large, "class", "left_anti").select("key", "node", "class", "bytes").unionByName(groups)
 
 
-def _parted(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
-    """Rows (key, node, class, bytes) with buckets of many texts outside their largest class parted by prefixes."""
+def _parted(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (key, node, class, bytes) without the buckets of many texts outside their largest class, and rows (key, node, class, bytes, looks) of what prefixes make of those."""
     kinds = now.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
     many = materialize(kinds.where(F.col("n") - F.col("top") > CROWD).select("key"), "crowds")
     spent.append(many)
     if many.isEmpty():
-        return now
+        return now, None
     inside = materialize(now.join(many, "key", "left_semi").select("node", "class").distinct(), "crowd-texts")
     heads = materialize(prefixes(texts.join(inside, "node")), "heads")
     spent += [inside, heads]
-    several = heads.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
-    return now.join(many, "key", "left_anti").unionByName(heads.join(several, "key", "left_semi"))
+    # Most elements of a prefix are one text's own: only what several classes have is filed and looked up.
+    several = lambda df, *by: df.groupBy(*by).agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select(*by)
+    heads = heads.join(several(heads, "key"), "key", "left_semi")
+    filed = F.when(F.col("own").isNotNull(), F.array(F.struct(F.col("own").alias("step"), F.lit(False).alias("looks")))).otherwise(F.array())
+    looked = F.transform(F.sequence("low", "high"), lambda i: F.struct(i.alias("step"), F.lit(True).alias("looks")))
+    sides = heads.select("key", "node", "class", "bytes", F.inline(F.concat(filed, looked)))
+    both = sides.groupBy("key", "step").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("looks").alias("s0"), F.max("looks").alias("s1"))
+    sides = sides.join(both.where("c0 < c1 and s0 < s1").select("key", "step"), ["key", "step"], "left_semi")
+    sides = materialize(sides.select(F.xxhash64("key", "step").alias("key"), "node", "class", "bytes", "looks"), "sides")
+    spent.append(sides)
+    return now.join(many, "key", "left_anti"), sides
 
 
-def _finished(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
-    """Links (u, v) of all similar texts of different classes that share a bucket, for rows (key, node, class); spent gets what it writes."""
-    rows = materialize(now.join(texts.select("node", F.octet_length("text").cast("bigint").alias("bytes")), "node").select("key", "node", "class", "bytes"), "open")
-    spent.append(rows)
-    rows = _parted(_by_class(rows, spent), texts, spent)
-    # Buckets of the same texts are finished once.
-    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g"))
-    rows = rows.join(same.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+def _once(rows: DataFrame) -> DataFrame:
+    """rows without the buckets that equal another one, whose texts would be compared twice."""
+    own = [c for c in rows.columns if c not in ("key", "class", "bytes")]
+    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*own)).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), *own)).alias("g"))
+    return rows.join(same.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _blocks(n: Column, size: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES)).cast("int")
+
+
+def _upto(low: Column, many: Column) -> Column:
+    """An array of so many numbers from low, none for 0."""
+    return F.when(many > 0, F.sequence(low, low + many - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(key, low, high, node, class, block) of blocks low and high that meet, for rows (key, node, class, bytes)."""
     parts = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES)).cast("int")
     buckets = parts.groupBy("key").agg(F.max(F.struct("n", "class", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > top.n")
-    buckets = buckets.select("key", F.col("top.class").alias("major"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("minors"), blocks(F.col("top.n"), F.col("top.bytes")).alias("majors"))
+    buckets = buckets.select("key", F.col("top.class").alias("major"), _blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("minors"), _blocks(F.col("top.n"), F.col("top.bytes")).alias("majors"))
     # Blocks of the largest class meet those of the others only.
     rows = rows.join(buckets, "key").withColumn("in_major", F.col("class") == F.col("major"))
     own = F.xxhash64("key", "node")
     rows = rows.withColumn("block", F.when(F.col("in_major"), F.col("minors") + F.pmod(own, "majors")).otherwise(F.pmod(own, "minors")).cast("int"))
     others = F.sequence(F.lit(0), F.when(F.col("in_major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
-    met = rows.select("key", "node", "class", "block", F.explode(others).alias("other")).select("key", "node", "class", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    met = rows.select("key", "node", "class", "block", F.explode(others).alias("other"))
+    return met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "class", "block")
+
+
+def _looked_up(rows: DataFrame) -> DataFrame:
+    """The same for rows (key, node, class, bytes, looks): blocks of filed texts meet blocks of those that look them up.
+
+    Filed texts' blocks come first, those of the largest class after the others,
+    then the blocks of texts that look up, in the same order.
+    """
+    sums = {f"{name}{side}": F.sum(F.when(F.col("looks") == bool(side), value).otherwise(0)) for side in (0, 1) for name, value in (("n", F.lit(1)), ("b", F.col("bytes")))}
+    parts = rows.groupBy("key", "class").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in sums.items()))
+    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "class", *sums)).alias("top"), *(F.sum(k).alias(k) for k in sums))
+    number = [_blocks(v - F.col(f"top.n{side}") if rest else F.col(f"top.n{side}"), w - F.col(f"top.b{side}") if rest else F.col(f"top.b{side}")) for side in (0, 1) for v, w in [(F.col(f"n{side}"), F.col(f"b{side}"))] for rest in (True, False)]
+    buckets = buckets.select("key", F.col("top.class").alias("major"), *(v.alias(name) for name, v in zip(("filed", "filed_major", "look", "look_major"), number)))
+    buckets = buckets.where("filed > 0 and look + look_major > 0 or filed_major > 0 and look > 0")
+    rows = rows.join(buckets, "key").withColumn("in_major", F.col("class") == F.col("major"))
+    first = F.col("filed") + F.col("filed_major")
+    begin = F.when(F.col("looks"), first).otherwise(F.lit(0)) + F.when(F.col("in_major"), F.when(F.col("looks"), F.col("look")).otherwise(F.col("filed"))).otherwise(F.lit(0))
+    many = F.when(F.col("looks"), F.when(F.col("in_major"), F.col("look_major")).otherwise(F.col("look"))).otherwise(F.when(F.col("in_major"), F.col("filed_major")).otherwise(F.col("filed")))
+    rows = rows.withColumn("block", (begin + F.pmod(F.xxhash64("key", "node"), many)).cast("int"))
+    lookers = F.col("look") + F.when(F.col("in_major"), F.lit(0)).otherwise(F.col("look_major"))
+    kept = F.col("filed") + F.when(F.col("in_major"), F.lit(0)).otherwise(F.col("filed_major"))
+    others = F.when(F.col("looks"), _upto(F.lit(0), kept)).otherwise(_upto(first, lookers))
+    met = rows.select("key", "node", "class", "block", F.explode(others).alias("other"))
+    return met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "class", "block")
+
+
+def _finished(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """Links (u, v) of all similar texts of different classes that share a bucket, for rows (key, node, class); spent gets what it writes."""
+    rows = materialize(now.join(texts.select("node", F.octet_length("text").cast("bigint").alias("bytes")), "node").select("key", "node", "class", "bytes"), "open")
+    spent.append(rows)
+    rows, sides = _parted(_by_class(rows, spent), texts, spent)
+    met = _met(_once(rows))
+    if sides is not None:
+        met = met.unionByName(_looked_up(_once(sides)))
     met = met.join(texts, "node").select("key", "low", "high", "class", "block", "text")
     return met.groupBy("key", "low", "high").applyInArrow(_links, "u binary, v binary").distinct()
 

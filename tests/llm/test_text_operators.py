@@ -337,6 +337,82 @@ def test_prefixes_meet_in_all_similar_pairs(spark):
     assert near > 100 and max(map(len, own.values())) <= 25
 
 
+def sized_copies(n=70, words=160, seed=9):
+    """Copies of one text with words changed, added and left out: sizes differ, and pairs lie on both sides of the threshold."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        own = [f"b{k}" for k in range(words - int(rng.integers(0, 20)))] + [f"d{i}.{k}" for k in range(int(rng.integers(0, 20)))]
+        for k in rng.integers(0, len(own), rng.integers(0, 3)).tolist():
+            own[k] = f"c{i}.{k}"
+        rows.append((i, " ".join(own)))
+    return rows + [(900 + i, "short text " * i) for i in range(5)]
+
+
+def similar(a, b):
+    x, y = shingles(a), shingles(b)
+    both = sum((x & y).values())
+    return both > 0 and both >= 0.8 * (sum(x.values()) + sum(y.values()) - both)
+
+
+def named_texts(spark, rows):
+    return spark.createDataFrame([(bytearray(i.to_bytes(4, "big")), t) for i, t in rows], "node binary, text string").withColumn("class", F.col("node"))
+
+
+def test_the_smaller_of_two_similar_texts_is_looked_up_by_the_larger(spark):
+    rows = sized_copies()
+    filed, looked = {}, {}
+    for r in near_dups.prefixes(named_texts(spark, rows)).collect():
+        i = int.from_bytes(r["node"], "big")
+        if r["own"] is not None:
+            filed.setdefault(i, set()).add((r["key"], r["own"]))
+        looked.setdefault(i, set()).update((r["key"], q) for q in range(r["low"], r["high"] + 1))
+    near = sizes = 0
+    for i, a in rows:
+        for j, b in rows:
+            small, large = sum(shingles(a).values()), sum(shingles(b).values())
+            if i != j and small <= large and similar(a, b):
+                near, sizes = near + 1, sizes + (small < large)
+                assert filed[i] & looked[j]
+    assert near > 200 and sizes > 100
+
+
+def family(n, own, words=400):
+    """n texts with a template in common and ``own`` words each of their own."""
+    return [(i, " ".join([f"t{k}" for k in range(words - own)] + [f"o{i}.{k}" for k in range(own)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("own,low,high", [(69, 0.69, 0.71), (56, 0.74, 0.76), (46, 0.785, 0.795)])
+def test_a_template_family_costs_its_texts_and_not_their_pairs(spark, monkeypatch, own, low, high):
+    monkeypatch.setattr(near_dups, "CROWD", 40)
+    x, y = (shingles(t) for _, t in family(2, own))
+    assert low < sum((x & y).values()) / sum((x | y).values()) < high
+    for n in (150, 300):
+        texts = named_texts(spark, family(n, own))
+        now = texts.select(F.lit(1).cast("bigint").alias("key"), "node", "class", F.octet_length("text").cast("bigint").alias("bytes"))
+        rest, sides = near_dups._parted(now, texts.select("node", "text"), [])
+        assert rest.count() == 0 and near_dups._looked_up(near_dups._once(sides)).count() <= n
+
+
+def test_parted_texts_of_many_sizes_equal_brute_force(spark, monkeypatch):
+    for name, value in (("CROWD", 10), ("BLOCK_ROWS", 9)):
+        monkeypatch.setattr(near_dups, name, value)
+    rows = sized_copies(120)
+    group = {i: 0 if i % 4 == 0 and i < 900 else i for i, _ in rows}
+    name = lambda i: bytearray(i.to_bytes(4, "big"))
+    texts = named_texts(spark, rows).select("node", "text")
+    now = spark.createDataFrame([(1, name(i), name(group[i])) for i, t in rows if t], "key bigint, node binary, class binary")
+    up = {g: {g} for g in group.values()}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and similar(a, b) and up[group[i]] is not up[group[j]]:
+                one = up[group[i]] | up[group[j]]
+                up |= {g: one for g in one}
+    roots = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in components(near_dups._finished(now, texts, [])).collect()}
+    assert {g: roots.get(g, g) for g in up} == {g: min(up[g]) for g in up}
+    assert len(set(map(id, up.values()))) > 5
+
+
 THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
 MORSE = THUE.translate(str.maketrans("ab", "ba"))
 
