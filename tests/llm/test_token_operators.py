@@ -365,6 +365,73 @@ def test_co_training_on_held_out_rows(spark):
     assert np.mean([(r["metadata_score"] > 0.7) == bool(g) for r, g in late]) > 0.75
 
 
+def co_training_rows():
+    """Two sources that tell much of quality, a third that most rows have, repeated rows and rows without an id."""
+    rng = np.random.default_rng(18)
+    rows, truth = [], []
+    for i in range(700):
+        good = bool(rng.random() < 0.7)
+        text = prose(i, 40) if good or rng.random() < 0.1 else " ".join(w + "##" for w in prose(i, 40).split())
+        source = ("clean" if good else "dirty") if rng.random() < 0.4 else "hot" if rng.random() < 0.9 else None
+        rows.append((i if i % 50 else None, text, "en", source, len(text)))
+        if i < 260 and i % 50:
+            truth.append((i, int(good), 0))
+    return rows + rows[600:640], truth
+
+
+@pytest.mark.parametrize("take", [600, 7])
+def test_co_training_over_all_rows_equals_a_loop(spark, take):
+    import pyarrow as pa
+
+    rows, truth = co_training_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame(truth, "doc_id bigint, quality int, toxic int")
+    rounds = []
+    model = cotrain.fit_quality(docs, labels, take_rows=take, seen=rounds)
+    # The same by a loop over rows on the driver.
+    marks = [r["mark"] for r in spark.createDataFrame(rows, docs.schema).coalesce(1).select(F.xxhash64(*cotrain.COLUMNS).alias("mark")).collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(r[0], r[1], r[3], r[2], r[4]) for r in rows]), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], list(cotrain.COLUMNS))
+    content, metadata = cotrain.Views().content(batch), cotrain.Views().metadata(batch)
+    content.value = content.value.astype(np.float32).astype(float)
+    quality = {i: q for i, q, _ in truth}
+    mine = sorted((i for i, r in enumerate(rows) if r[0] in quality), key=lambda i: (rows[i][0], marks[i]))
+    pool = [i for i, r in enumerate(rows) if r[0] not in quality]
+    want, left = [], set(pool)
+
+    def teach(weights, fits, good):
+        p = [1 / (1 + np.exp(-np.clip(k * x.dot(w) + c, -40, 40))) for x, w, (k, c) in zip((content, metadata), weights, fits)]
+        many, picks, out = max(1, int(0.05 * len(left))), [], []
+        for v in (0, 1):
+            bins = {i: min(int(p[v][i] * 1000), 999) for i in left}
+            few = max(1, int(many * (1 - good))), max(1, int(many * good))
+            low, high = sorted(bins.values())[few[0] - 1], sorted(bins.values())[-few[1]]
+            for label, those in ((0, [i for i in left if bins[i] <= low and p[v][i] < 0.1]), (1, [i for i in left if bins[i] >= high and p[v][i] > 0.9])):
+                lanes = {}
+                for m, i in sorted({marks[i]: i for i in those}.items()):
+                    lanes.setdefault(rows[i][3], []).append(m)
+                turns = sorted((n, m) for lane in lanes.values() for n, m in enumerate(lane))
+                picks += [(v, label, m) for _, m in turns[: min(take, few[label])]]
+        first = {m: i for i, m in reversed(list(enumerate(marks)))}
+        for v in (0, 1):
+            own = sorted((m, label) for view, label, m in picks if view == v)
+            at = np.array([first[m] for m, _ in own], dtype=np.int64)
+            out.append(((content.take(at), metadata.take(at)), np.array([label for _, label in own], dtype=float)))
+        gone = {m for _, _, m in picks}
+        left.difference_update([i for i in left if marks[i] in gone])
+        want.append(sorted(picks))
+        return out
+
+    at = np.array(mine)
+    loop = cotrain.co_train(content.take(at), metadata.take(at), np.array([quality[rows[i][0]] for i in mine]), teach)
+    assert rounds == want and len(want) == 4 and all(want) and max(len(w) for w in want) <= 4 * take
+    assert {view for w in want for view, _, _ in w} == {0, 1}
+    for name in ("content", "metadata", "joint"):
+        assert np.allclose(getattr(model, name), getattr(loop, name), atol=1e-9)
+    # What one view is sure of moves the other one's weights.
+    alone = cotrain.fit_quality(docs, labels, rounds=0)
+    assert not np.allclose(alone.metadata, model.metadata) and not np.allclose(alone.content, model.content)
+
+
 def test_fits_stay_bounded_when_ids_repeat(spark):
     from quarry.llm.rules import labelled_sample
 
