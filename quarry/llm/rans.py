@@ -40,6 +40,8 @@ LANES = 32
 SPAN = 16_384
 BLOCK_TOKENS = 65_536
 GROUP_BLOCKS = 32
+#: Steps of all lanes whose frequencies are looked up at a time.
+STEPS = 64
 #: Ids in a file, about.
 FILE_TOKENS = 8_000_000
 LOW = np.uint64(1 << 31)
@@ -86,44 +88,43 @@ def encode_blocks(table: Table, blocks: list[tuple[np.ndarray, np.ndarray, np.nd
     """Each block (doc ids, null flags, ids per document, ids, ids before it in its file) as bytes."""
     size = np.array([len(b[3]) for b in blocks])
     steps = int(-(-size.max() // LANES)) if len(size) else 0
-    grid = np.zeros((len(blocks), steps * LANES), dtype=np.int64)
+    # Places after a block's last id have the whole range as their frequency, which leaves a state as it is.
+    freq, cum = np.append(table.freq, np.uint64(1 << SCALE)), np.append(table.cum, np.uint64(0))
+    grid = np.full((len(blocks), steps * LANES), len(table.freq), dtype=np.int32)
     for i, b in enumerate(blocks):
         grid[i, : len(b[3])] = b[3]
     grid = grid.reshape(len(blocks), steps, LANES)
-    live = np.arange(steps * LANES).reshape(steps, LANES)
     x = np.full((len(blocks), LANES), LOW, dtype=np.uint64)
-    words: list[np.ndarray] = []
-    owner: list[np.ndarray] = []
-    number = np.zeros((steps + 1, len(blocks)), dtype=np.int64)
+    words, out = np.empty((steps, *x.shape), dtype="<u4"), np.empty((steps, *x.shape), dtype=bool)
     per = SPAN // LANES
     marks: dict[int, np.ndarray] = {}
-    for s in range(steps - 1, -1, -1):
-        on = live[s][None, :] < size[:, None]
-        sym = grid[:, s, :]
-        f, c = table.freq[sym], table.cum[sym]
-        out = on & (x >= (f << np.uint64(63 - SCALE)))
-        words.append((x[out] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-        owner.append(np.nonzero(out)[0])
-        number[s] = out.sum(axis=1)
-        x = np.where(out, x >> np.uint64(32), x)
-        f = np.where(on, f, np.uint64(1))
-        q = x // f
-        x = np.where(on, (q << np.uint64(SCALE)) + (x - q * f) + c, x)
-        if s % per == 0:
-            marks[s] = x.copy()
-    stream = np.concatenate(words[::-1]) if words else np.zeros(0, dtype="<u4")
-    owners = np.concatenate(owner[::-1]) if owner else np.zeros(0, dtype=np.int64)
-    order = np.argsort(owners, kind="stable")
+    shift, q = np.empty_like(x), np.empty_like(x)
+    for low in range((steps - 1) // STEPS * STEPS, -1, -STEPS):
+        sym = np.ascontiguousarray(grid[:, low : low + STEPS].transpose(1, 0, 2))
+        f, c = freq[sym], cum[sym]
+        most, rest = f << np.uint64(63 - SCALE), np.uint64(1 << SCALE) - f
+        for k in range(len(sym) - 1, -1, -1):
+            s = low + k
+            np.greater_equal(x, most[k], out=out[s])
+            words[s] = x  # the low 32 bits
+            np.multiply(out[s], np.uint64(32), out=shift)
+            np.right_shift(x, shift, out=x)
+            # (x // f << SCALE) + x % f + c
+            np.floor_divide(x, f[k], out=q)
+            np.multiply(q, rest[k], out=q)
+            x += q
+            x += c[k]
+            if s % per == 0:
+                marks[s] = x.copy()
+    number = out.sum(axis=2)
     total = number.sum(axis=0)
-    ends = np.cumsum(total)
     before = np.cumsum(number, axis=0) - number
-    stream = stream[order]
     result = []
     for i, (doc, null, each, ids, base) in enumerate(blocks):
         spots = range(0, int(-(-len(ids) // LANES)), per)
         body = [HEAD.pack(MAGIC, len(doc), len(ids), int(total[i]), len(spots), base), doc.astype("<i8").tobytes(), null.astype("u1").tobytes(), each.astype("<u4").tobytes()]
         body += [struct.pack("<I", int(before[s, i])) + marks[s][i].astype("<u8").tobytes() for s in spots]
-        body.append(stream[ends[i] - total[i] : ends[i]].tobytes())
+        body.append(words[:, i][out[:, i]].tobytes())
         raw = b"".join(body)
         result.append(raw + struct.pack("<I", zlib.crc32(raw)))
     return result
@@ -131,9 +132,9 @@ def encode_blocks(table: Table, blocks: list[tuple[np.ndarray, np.ndarray, np.nd
 
 def decode_blocks(table: Table, raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """The inverse of encode_blocks; all spans between checkpoints at once."""
-    heads, streams, states, begins, counts, owner = [], [], [], [], [], []
+    heads, streams, states, begins, counts = [], [], [], [], []
     shift = 0
-    for i, raw in enumerate(raws):
+    for raw in raws:
         if zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
             raise ValueError("a block's checksum differs")
         magic, docs, n, words, spots, base = HEAD.unpack_from(raw)
@@ -149,28 +150,38 @@ def decode_blocks(table: Table, raws: list[bytes]) -> list[tuple[np.ndarray, np.
             begins.append(struct.unpack_from("<I", raw, at)[0] + shift)
             states.append(np.frombuffer(raw, "<u8", LANES, at + 4))
             counts.append(min(SPAN, n - k * SPAN))
-            owner.append(i)
             at += 4 + 8 * LANES
         streams.append(np.frombuffer(raw, "<u4", words, at))
         shift += words
     if not states:
         return [(d, z, e, np.zeros(0, dtype=np.uint32), b) for d, z, e, _, b in heads]
     stream = np.concatenate([*streams, np.zeros(1, dtype=np.uint32)]).astype(np.uint64)
-    x, at, n = np.array(states), np.array(begins), np.array(counts)
-    out = np.zeros((len(n), SPAN), dtype=np.uint32)
-    mask, lane = np.uint64((1 << SCALE) - 1), np.arange(LANES)
-    for s in range(int(-(-n.max() // LANES))):
-        on = (s * LANES + lane)[None, :] < n[:, None]
-        slot = x & mask
+    n = np.array(counts)
+    order = np.argsort(-n, kind="stable")  # the spans that still have ids at a step come first
+    x, at = np.array(states)[order], np.array(begins)[order]
+    steps = -(-n[order] // LANES)
+    flat = np.zeros((len(n), int(steps[0]) * LANES), dtype=np.uint32)
+    mask, last = np.uint64((1 << SCALE) - 1), len(stream) - 1
+    live = np.searchsorted(-steps, -np.arange(int(steps[0])), side="left")
+    for s, k in enumerate(live.tolist()):
+        slot = x[:k] & mask
         sym = table.symbol[slot]
-        out[:, s * LANES : (s + 1) * LANES] = sym
-        y = table.freq[sym] * (x >> np.uint64(SCALE)) + slot - table.cum[sym]
-        take = on & (y < LOW)
-        place = at[:, None] + np.cumsum(take, axis=1) - 1
-        y = np.where(take, (y << np.uint64(32)) | stream[np.where(take, place, 0)], y)
-        x = np.where(on, y, x)
-        at = at + take.sum(axis=1)
-    flat = gather(out.reshape(-1), np.arange(len(n)) * SPAN, n)
+        flat[:k, s * LANES : (s + 1) * LANES] = sym
+        y = x[:k] >> np.uint64(SCALE)
+        y *= table.freq[sym]
+        y += slot
+        y -= table.cum[sym]
+        # Lanes after a span's last id read anything: they are the last ones of its last step.
+        take = y < LOW
+        where = np.flatnonzero(take)
+        many = take.sum(axis=1)
+        place = np.arange(len(where)) + (at[:k] - (np.cumsum(many) - many))[where // LANES]
+        some = y.reshape(-1)
+        some[where] = (some[where] << np.uint64(32)) | stream[np.minimum(place, last)]
+        x, at = y, at[:k] + many
+    begin = np.empty(len(n), dtype=np.int64)
+    begin[order] = np.arange(len(n)) * flat.shape[1]
+    flat = gather(flat.reshape(-1), begin, n)
     cuts = np.concatenate([[0], np.cumsum([h[3] for h in heads])])
     return [(d, z, e, flat[cuts[i] : cuts[i + 1]], b) for i, (d, z, e, _, b) in enumerate(heads)]
 
@@ -200,8 +211,12 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
+            # A batch is counted as a whole: a count of each cell costs as much as the vocabulary is long.
+            kinds: dict[bool, list[bytes]] = {}
             for cell, n in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
-                part = np.bincount(_ids(cell, n))
+                kinds.setdefault(len(cell) == 2 * n, []).append(cell)
+            for narrow, cells in kinds.items():
+                part = np.bincount(np.frombuffer(b"".join(cells), dtype="<u2" if narrow else "<u4"))
                 if len(part) > len(total):
                     total = np.concatenate([total, np.zeros(len(part) - len(total), dtype=np.int64)])
                 total[: len(part)] += part
