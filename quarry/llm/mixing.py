@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize, tidy, word_count
+from .common import WORD, documents, forget, materialize, tidy, word_count
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -178,6 +178,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "source")}
     basic = flat.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source"))
     placed, _, drawn = plan(sized(basic))
+    # Written one after the other: as one plan their scans and broadcasts all lie in the driver at once, and placed is made twice.
+    placed, drawn = materialize(placed.select("doc_id", "size", "mark", "sid", "first"), "placed"), materialize(drawn, "drawn")
     part = pieces(placed).select("sid", "block", "first", "start", "length").join(drawn.select("sid", "block", "pass").hint("merge"), ["sid", "block"])
     # Neighbouring pieces of a document in a pass: their start less the words before them in the pass is alike.
     inside = Window.partitionBy("sid", "first", "pass").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -188,7 +190,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     wanted = keys.join(spans, ["sid", "first"])
     # Rows alike in doc_id, text and source are matched one to one by their number.
     alike = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(*c))
-    wanted = wanted.withColumn("nth", alike("d", "m"))
+    wanted = materialize(wanted.select("d", "m", "spans", alike("d", "m").alias("nth")), "spans")
+    forget(placed, drawn)
     marked = flat.withColumn("d", F.col(at["doc_id"]).cast("long")).withColumn("m", F.xxhash64(tidy(F.col(at["text"])), tidy(F.col(at["source"]))))
     marked = marked.withColumn("nth", alike("d", "m"))
     right = wanted.select(F.col("d").alias("d2"), F.col("m").alias("m2"), F.col("nth").alias("n2"), "spans")

@@ -467,9 +467,10 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
     forget(bands)
-    now = rows.withColumn("class", F.col("node"))
-    found = wanted.withColumn("class", F.col("node"))
-    old: list[DataFrame] = []
+    relabel = lambda df, moved: df.join(moved.withColumnRenamed("node", "class"), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
+    now, old = rows.withColumn("class", F.col("node")), [rows]
+    moves: list[DataFrame] = []
+    # What is used twice is written first: the driver holds the plan of one step at a time.
     for turn in range(PARTNER_ROUNDS + 1):
         if turn == PARTNER_ROUNDS:
             fresh = materialize(_finished(now, texts, old), "links")
@@ -477,18 +478,21 @@ def classes(docs: DataFrame) -> DataFrame:
             pairs = materialize(_partners(now, turn), "pairs")
             fresh = materialize(_verified(pairs, texts).distinct(), "links")
             forget(pairs)
-        moved = materialize(components(fresh), "classes")
-        relabel = lambda df: df.join(moved.withColumnRenamed("node", "class"), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")  # noqa: E731, B023
-        found = materialize(relabel(found), "found")
+        moves.append(materialize(components(fresh), "classes"))
+        forget(fresh)
         if turn < PARTNER_ROUNDS:
             # A bucket stays open while it holds several classes.
-            part = materialize(relabel(now).select("key", "node", "class"), "buckets")
+            part = materialize(relabel(now, moves[-1]).select("key", "node", "class"), "buckets")
             several = part.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
-            now = part.join(several, "key", "left_semi")
-        forget(*old, fresh, moved)
-        old = [found, part]
-    forget(texts, rows)
-    return found.select("node", F.col("class").alias("root"))
+            now = materialize(part.join(several, "key", "left_semi"), "open-buckets")
+            forget(*old, part)
+            old = [now]
+    found = texts.select("node").withColumn("class", F.col("node"))
+    for moved in moves:
+        found = relabel(found, moved)
+    found = materialize(found.select("node", F.col("class").alias("root")), "found")
+    forget(*old, *moves, texts)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

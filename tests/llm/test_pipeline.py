@@ -58,6 +58,12 @@ def pieces_of(ids, size=1024):
     return [(i, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
+def test_mixing_returns_a_small_plan(spark, corpus, capsys):
+    """What it is made of is written before: as one plan the scans and broadcasts of all of it lay in the driver at once."""
+    mixing.mixed_documents(spark, spark.read.parquet(f"{corpus}/documents.parquet"), corpus).explain()
+    assert 0 < capsys.readouterr().out.count("FileScan") <= 2
+
+
 def test_run_equals_brute_force(spark, corpus, tmp_path):
     """Rules, classes and redaction by loops, the mix of what they leave, the library's ids: the rows of run()."""
     rng = np.random.default_rng(8)
