@@ -362,11 +362,13 @@ def _parted(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> tuple[D
     inside = materialize(now.join(many, "key", "left_semi").select("node", "class").distinct(), "crowd-texts")
     heads = materialize(prefixes(texts.join(inside, "node")), "heads")
     spent += [inside, heads]
-    # Most elements of a prefix are one text's own: only what several classes have is filed and looked up.
-    several = lambda df, *by: df.groupBy(*by).agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select(*by)
-    heads = heads.join(several(heads, "key"), "key", "left_semi")
-    filed = F.when(F.col("own").isNotNull(), F.array(F.struct(F.col("own").alias("step"), F.lit(False).alias("looks")))).otherwise(F.array())
-    looked = F.transform(F.sequence("low", "high"), lambda i: F.struct(i.alias("step"), F.lit(True).alias("looks")))
+    # Most elements of a prefix are one text's own: only what several classes have is filed and looked up, in steps that the others' looks and files reach.
+    reach = heads.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("own").alias("f0"), F.max("own").alias("f1"), F.min("low").alias("l0"), F.max("high").alias("l1")).where("c0 < c1")
+    reach = reach.where("f0 <= l1 and l0 <= f1").select("key", "f0", "f1", "l0", "l1")
+    own, low, high = F.expr("own between l0 and l1"), F.greatest("low", "f0"), F.least("high", "f1")
+    heads = heads.join(reach, "key").where(own | (low <= high))
+    filed = F.when(own, F.array(F.struct(F.col("own").alias("step"), F.lit(False).alias("looks")))).otherwise(F.array())
+    looked = F.transform(_upto(low, high - low + 1), lambda i: F.struct(i.alias("step"), F.lit(True).alias("looks")))
     sides = heads.select("key", "node", "class", "bytes", F.inline(F.concat(filed, looked)))
     both = sides.groupBy("key", "step").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("looks").alias("s0"), F.max("looks").alias("s1"))
     sides = sides.join(both.where("c0 < c1 and s0 < s1").select("key", "step"), ["key", "step"], "left_semi")
@@ -376,10 +378,18 @@ def _parted(now: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> tuple[D
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """rows without the buckets that equal another one, whose texts would be compared twice."""
+    """rows with the hashes h and g, by which ``_differing`` tells buckets of equal texts, which would be compared twice."""
     own = [c for c in rows.columns if c not in ("key", "class", "bytes")]
-    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*own)).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), *own)).alias("g"))
-    return rows.join(same.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    return rows.withColumns({"h": F.xxhash64(*own), "g": F.xxhash64(F.lit(1), *own)})
+
+
+def _xors() -> list[Column]:
+    return [F.bit_xor(c).alias(c) for c in ("h", "g")]
+
+
+def _differing(buckets: DataFrame) -> DataFrame:
+    """buckets (key, n, h, g and more) without those that equal another one: of equal ones that of least key stays."""
+    return buckets.groupBy("n", "h", "g").agg(F.min(F.struct("key", *(c for c in buckets.columns if c not in ("key", "n", "h", "g")))).alias("one")).select("one.*")
 
 
 def _blocks(n: Column, size: Column) -> Column:
@@ -392,10 +402,11 @@ def _upto(low: Column, many: Column) -> Column:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(key, low, high, node, class, block) of blocks low and high that meet, for rows (key, node, class, bytes)."""
-    parts = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "class", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > top.n")
-    buckets = buckets.select("key", F.col("top.class").alias("major"), _blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("minors"), _blocks(F.col("top.n"), F.col("top.bytes")).alias("majors"))
+    """(key, low, high, node, class, block) of blocks low and high that meet, for rows (key, node, class, bytes) of ``_once``."""
+    parts = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), *_xors())
+    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "class", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), *_xors()).where("n > top.n")
+    buckets = buckets.select("key", "n", "h", "g", F.col("top.class").alias("major"), _blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("minors"), _blocks(F.col("top.n"), F.col("top.bytes")).alias("majors"))
+    buckets = _differing(buckets)
     # Blocks of the largest class meet those of the others only.
     rows = rows.join(buckets, "key").withColumn("in_major", F.col("class") == F.col("major"))
     own = F.xxhash64("key", "node")
@@ -406,17 +417,17 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def _looked_up(rows: DataFrame) -> DataFrame:
-    """The same for rows (key, node, class, bytes, looks): blocks of filed texts meet blocks of those that look them up.
+    """The same for rows (key, node, class, bytes, looks) of ``_once``: blocks of filed texts meet blocks of those that look them up.
 
     Filed texts' blocks come first, those of the largest class after the others,
     then the blocks of texts that look up, in the same order.
     """
     sums = {f"{name}{side}": F.sum(F.when(F.col("looks") == bool(side), value).otherwise(0)) for side in (0, 1) for name, value in (("n", F.lit(1)), ("b", F.col("bytes")))}
-    parts = rows.groupBy("key", "class").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in sums.items()))
-    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "class", *sums)).alias("top"), *(F.sum(k).alias(k) for k in sums))
+    parts = rows.groupBy("key", "class").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in sums.items()), *_xors())
+    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "class", *sums)).alias("top"), F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums), *_xors())
     number = [_blocks(v - F.col(f"top.n{side}") if rest else F.col(f"top.n{side}"), w - F.col(f"top.b{side}") if rest else F.col(f"top.b{side}")) for side in (0, 1) for v, w in [(F.col(f"n{side}"), F.col(f"b{side}"))] for rest in (True, False)]
-    buckets = buckets.select("key", F.col("top.class").alias("major"), *(v.alias(name) for name, v in zip(("filed", "filed_major", "look", "look_major"), number)))
-    buckets = buckets.where("filed > 0 and look + look_major > 0 or filed_major > 0 and look > 0")
+    buckets = buckets.select("key", "n", "h", "g", F.col("top.class").alias("major"), *(v.alias(name) for name, v in zip(("filed", "filed_major", "look", "look_major"), number)))
+    buckets = _differing(buckets.where("filed > 0 and look + look_major > 0 or filed_major > 0 and look > 0"))
     rows = rows.join(buckets, "key").withColumn("in_major", F.col("class") == F.col("major"))
     first = F.col("filed") + F.col("filed_major")
     begin = F.when(F.col("looks"), first).otherwise(F.lit(0)) + F.when(F.col("in_major"), F.when(F.col("looks"), F.col("look")).otherwise(F.col("filed"))).otherwise(F.lit(0))
@@ -473,7 +484,9 @@ def classes(docs: DataFrame) -> DataFrame:
     # What is used twice is written first: the driver holds the plan of one step at a time.
     for turn in range(PARTNER_ROUNDS + 1):
         if turn == PARTNER_ROUNDS:
-            fresh = materialize(_finished(now, texts, old), "links")
+            # What is left is what buckets of several classes hold; the rounds find no partner in the others.
+            several = now.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
+            fresh = materialize(_finished(now.join(several, "key", "left_semi"), texts, old), "links")
         else:
             pairs = materialize(_partners(now, turn), "pairs")
             fresh = materialize(_verified(pairs, texts).distinct(), "links")
@@ -481,11 +494,8 @@ def classes(docs: DataFrame) -> DataFrame:
         moves.append(materialize(components(fresh), "classes"))
         forget(fresh)
         if turn < PARTNER_ROUNDS:
-            # A bucket stays open while it holds several classes.
-            part = materialize(relabel(now, moves[-1]).select("key", "node", "class"), "buckets")
-            several = part.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
-            now = materialize(part.join(several, "key", "left_semi"), "open-buckets")
-            forget(*old, part)
+            now = materialize(relabel(now, moves[-1]).select("key", "node", "class"), "buckets")
+            forget(*old)
             old = [now]
     found = texts.select("node").withColumn("class", F.col("node"))
     for moved in moves:

@@ -394,6 +394,44 @@ def test_a_template_family_costs_its_texts_and_not_their_pairs(spark, monkeypatc
         assert rest.count() == 0 and near_dups._looked_up(near_dups._once(sides)).count() <= n
 
 
+def rows_of_joins(spark, work, kind):
+    """Rows that the joins whose plan has ``kind`` put out while work runs."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    several = lambda x: [x.apply(i) for i in range(x.size())]
+    old = {e.executionId() for e in several(store.executionsList())}
+    work()
+    bus.waitUntilEmpty(30_000)
+    total = 0
+    for e in several(store.executionsList()):
+        if e.executionId() not in old:
+            values = store.executionMetrics(e.executionId())
+            for node in several(store.planGraph(e.executionId()).allNodes()):
+                if "Join" in node.name() and kind in re.sub(r"#\d+L?", "", node.desc()):
+                    ids = [m.accumulatorId() for m in several(node.metrics()) if m.name() == "number of output rows"]
+                    total += sum(int(values.apply(i).replace(",", "")) for i in ids if values.contains(i))
+    return total
+
+
+def test_rows_of_buckets_are_joined_to_their_keys_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "CROWD", 40)
+    n = 160
+    docs = spark.createDataFrame(family(n, 69), "doc_id bigint, text string")
+    made = rows_of_joins(spark, lambda: near_dups.near_duplicates(docs).collect(), "[key], [key], LeftSemi")
+    assert n < made <= near_dups.BANDS * n
+
+
+def test_equal_buckets_meet_once(spark):
+    name = lambda i: bytearray(i.to_bytes(4, "big"))
+    rows = [(key, name(i), name(i), 10) for key, members in ((5, range(6)), (3, range(6)), (4, range(5)), (9, [7])) for i in members]
+    df = spark.createDataFrame(rows, "key bigint, node binary, class binary, bytes bigint")
+    assert sorted(r["key"] for r in near_dups._met(near_dups._once(df)).select("key", "node").distinct().collect()) == [3] * 6 + [4] * 5
+    sides = df.withColumn("looks", F.conv(F.hex("node"), 16, 10).cast("int") >= F.when(F.col("key") == 4, 2).otherwise(3)).where("key != 9")
+    again = sides.where("key = 4").withColumns({"key": F.lit(8).cast("bigint"), "looks": ~F.col("looks")})
+    met = near_dups._looked_up(near_dups._once(sides.unionByName(again)))
+    assert sorted(r["key"] for r in met.select("key", "node").distinct().collect()) == [3] * 6 + [4] * 5 + [8] * 5
+
+
 def test_parted_texts_of_many_sizes_equal_brute_force(spark, monkeypatch):
     for name, value in (("CROWD", 10), ("BLOCK_ROWS", 9)):
         monkeypatch.setattr(near_dups, name, value)
